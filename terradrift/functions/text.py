@@ -10,12 +10,12 @@ from terradrift.functions.geo import _c
 
 def words(text) -> Column:
     """Lower-cased whitespace tokens without empties."""
-    return F.filter(F.split(F.lower(_c(text)), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(_c(text)), r"(?U)\s+"), lambda w: w != "")
 
 
 def word_spans(text, max_words: int) -> Column:
     """Distinct runs of 1..max_words consecutive alphanumeric words, joined by one space."""
-    tokens = F.filter(F.split(F.lower(_c(text)), r"\W+"), lambda w: w != "")
+    tokens = F.filter(F.split(F.lower(_c(text)), r"(?U)\W+"), lambda w: w != "")
     runs = [
         F.transform(
             F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))),

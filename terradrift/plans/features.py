@@ -70,20 +70,19 @@ def measure_components(labelled: DataFrame, scene: DataFrame) -> DataFrame:
     )
 
 
-def extract_features(
-    score: DataFrame,
+def component_features(
+    mask: DataFrame,
     scene: DataFrame,
-    tau: float = DEFAULT_TAU,
     class_name: str = "Tactical Change Detection",
     min_area_sq_m: float = MIN_FEATURE_M2,
     tile: int = DEFAULT_TILE,
     geometry: bool = False,
 ) -> DataFrame:
-    """Feature records of a score map ``(scene_id, row, col, prob)``; an empty mask gives no rows.
+    """Feature records of a cleaned mask ``(scene_id, row, col, prob)``; an empty mask gives no rows.
 
     Feature ids are digests of scene and component, so a rerun gives the same ids.
     """
-    labelled = label_components(change_mask(score, tau, tile=tile), tile)
+    labelled = label_components(mask, tile)
     if geometry:
         labelled = save_table(labelled, "labelled")
     measured = measure_components(labelled, scene)
@@ -106,6 +105,19 @@ def extract_features(
     return kept
 
 
+def extract_features(
+    score: DataFrame,
+    scene: DataFrame,
+    tau: float = DEFAULT_TAU,
+    class_name: str = "Tactical Change Detection",
+    min_area_sq_m: float = MIN_FEATURE_M2,
+    tile: int = DEFAULT_TILE,
+    geometry: bool = False,
+) -> DataFrame:
+    """Threshold, clean, label, measure and filter a score map ``(scene_id, row, col, prob)``."""
+    return component_features(change_mask(score, tau, tile=tile), scene, class_name, min_area_sq_m, tile, geometry)
+
+
 def spectral_score(
     t1: DataFrame, t2: DataFrame, bands: Sequence[str], ksize: int = 5, tile: int = DEFAULT_TILE
 ) -> tuple[DataFrame, DataFrame]:
