@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from checks import graph_queries, raster_queries  # noqa: F401
+from checks import graph_queries, pipeline_queries, raster_queries  # noqa: F401

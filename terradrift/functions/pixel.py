@@ -59,4 +59,6 @@ def norm(u) -> Column:
 def unit(u) -> Column:
     """L2-normalised vector; a zero vector is returned unchanged."""
     length = norm(u)
-    return F.transform(_c(u), lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0))
+    # The length is paired with each element: inside the lambda it would be computed per element.
+    lengths = F.array_repeat(F.when(length > 0, length).otherwise(1.0), F.size(_c(u)))
+    return F.zip_with(_c(u), lengths, lambda x, n: x.cast("double") / n)

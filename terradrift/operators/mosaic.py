@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terradrift.operators.tiling import PIXEL_KEYS, SCENE
-from terradrift.session import save_table
 
 OVERLAP = 0.10
 MAX_TILE = 1024
@@ -125,10 +124,11 @@ def tiled_scores(
     return blend(scored.withColumn("weight", blend_weight(overlap, ref_border)))
 
 
-def screen_pixels(px: DataFrame, scene: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Pixels whose scene tile meets a candidate box, for scoring only what screening kept.
+def screen_windows(scene: DataFrame, boxes: DataFrame) -> DataFrame:
+    """One window request per candidate box and scene it may meet: ``(request_id, scene_id, box)``.
 
-    Boxes and scenes are matched on degree cells that a box or a scene covers, then exactly.
+    Boxes and scenes are matched on degree cells they cover; the window step then cuts exactly
+    and drops boxes that miss the scene.
     """
     t = F.col("affine")
     right, bottom = t["c"] + F.col("n_cols") * t["a"], t["f"] + F.col("n_rows") * t["e"]
@@ -139,20 +139,8 @@ def screen_pixels(px: DataFrame, scene: DataFrame, boxes: DataFrame) -> DataFram
 
         return df.withColumn("_cy", F.explode(span(lat0, lat1))).withColumn("_cx", F.explode(span(lon0, lon1)))
 
+    sides = ["min_lat", "min_lon", "max_lat", "max_lon"]
     placed = cells(scene.select(SCENE, "affine", "n_rows", "n_cols"), t["f"], bottom, t["c"], right)
-    wanted = cells(boxes.select("min_lat", "min_lon", "max_lat", "max_lon"), F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))
-    windows = (
-        placed.join(wanted, ["_cy", "_cx"])
-        .select(
-            SCENE,
-            F.floor((F.col("min_lon") - t["c"]) / t["a"]).alias("_c1"), F.ceil((F.col("max_lon") - t["c"]) / t["a"]).alias("_c2"),
-            F.floor((F.col("max_lat") - t["f"]) / t["e"]).alias("_r1"), F.ceil((F.col("min_lat") - t["f"]) / t["e"]).alias("_r2"),
-            "n_rows", "n_cols",
-        )
-        .filter("_c2 > 0 AND _r2 > 0 AND _c1 < n_cols AND _r1 < n_rows")
-        .distinct()
-    )
-    inside = (F.col("row") >= F.col("_r1")) & (F.col("row") < F.col("_r2")) & (F.col("col") >= F.col("_c1")) & (F.col("col") < F.col("_c2"))
-    windows = save_table(windows, "windows")
-    hits = px.join(windows, SCENE).filter(inside).select(*PIXEL_KEYS).distinct()
-    return px.join(hits, PIXEL_KEYS, "left_semi")
+    wanted = cells(boxes.select(*sides), F.col("min_lat"), F.col("max_lat"), F.col("min_lon"), F.col("max_lon"))
+    met = placed.join(wanted, ["_cy", "_cx"]).select(SCENE, *sides).distinct()
+    return met.withColumn("request_id", F.concat_ws("|", SCENE, *sides))

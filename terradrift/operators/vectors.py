@@ -17,33 +17,37 @@ BETA = 0.65
 BLOCK = 256  # queries per block
 
 
-def token_coordinates(df: DataFrame, key: str, text: str, dim: int = DIM, anchors: Mapping[str, str] | None = None) -> DataFrame:
-    """Signed feature-hash coordinates of a text: ``(key, idx, value)``, zero sums dropped.
-
-    Each word adds +1 or -1 at one place. ``anchors`` maps words to the text hashed in their
-    stead, which makes synonyms share a place.
-    """
-    tokens = df.select(key, F.explode(words(text)).alias("w"))
+def _hashed(df: DataFrame, key: str, text: str, dim: int, anchors: Mapping[str, str] | None) -> DataFrame:
+    """Summed signs per (key, place). A text without words keeps one row with a NULL place."""
+    tokens = df.select(key, F.explode_outer(words(text)).alias("w"))
     if anchors:
         named = F.create_map(*[F.lit(x) for pair in anchors.items() for x in pair])
         tokens = tokens.withColumn("w", F.coalesce(named[F.col("w")], F.col("w")))
     code = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long")
     sign = F.when(F.floor(code / (2 * dim)) % 2 == 0, 1.0).otherwise(-1.0)
-    return (
-        tokens.groupBy(key, (code % dim).cast("int").alias("idx"))
-        .agg(F.sum(sign).alias("value"))
-        .filter(F.col("value") != 0)
-    )
+    return tokens.groupBy(key, (code % dim).cast("int").alias("idx")).agg(F.sum(sign).alias("value"))
+
+
+def token_coordinates(df: DataFrame, key: str, text: str, dim: int = DIM, anchors: Mapping[str, str] | None = None) -> DataFrame:
+    """Signed feature-hash coordinates of a text: ``(key, idx, value)``, zero sums dropped.
+
+    Each word adds +1 or -1 at one place. ``anchors`` maps words to the text hashed in their
+    stead, which makes synonyms share a place. A text's words sit in one partition, so at
+    most ``dim`` rows per text are shuffled.
+    """
+    return _hashed(df, key, text, dim, anchors).filter("idx IS NOT NULL AND value <> 0")
 
 
 def embed_text(df: DataFrame, key: str, text: str, dim: int = DIM, anchors: Mapping[str, str] | None = None) -> DataFrame:
     """Unit vector ``array<double>`` per text; a text without words gets the first axis."""
-    coords = token_coordinates(df, key, text, dim, anchors)
-    sparse = coords.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))
-    axis = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    first = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (i == 0).cast("double"))
-    joined = df.select(key).join(sparse, key, "left")
-    return joined.select(key, F.when(F.col("m").isNull(), first).otherwise(unit(axis)).alias("vector"))
+    entries = F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "value")))
+    sparse = _hashed(df, key, text, dim, anchors).groupBy(key).agg(F.map_from_entries(entries).alias("m"))
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    zeros = F.map_from_arrays(places, F.array_repeat(F.lit(0.0), dim))
+    merged = F.map_entries(F.map_zip_with("m", zeros, lambda k, a, b: F.coalesce(a, b)))
+    listed = sparse.select(key, F.transform(F.array_sort(merged), lambda e: e["value"]).alias("v"))
+    first = F.transform(places, lambda i: (i == 0).cast("double"))
+    return listed.select(key, F.when(norm("v") > 0, unit("v")).otherwise(first).alias("vector"))
 
 
 def condition(positive, negative, beta: float = BETA) -> Column:

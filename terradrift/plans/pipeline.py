@@ -12,7 +12,7 @@ from terradrift.functions.pixel import luminance
 from terradrift.functions.text import cache_key
 from terradrift.operators import align, guards, raster
 from terradrift.operators.graph import candidate_boxes
-from terradrift.operators.mosaic import screen_pixels
+from terradrift.operators.mosaic import screen_windows
 from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE
 from terradrift.plans import features
 from terradrift.session import save_table
@@ -91,7 +91,7 @@ def analyze(
         verdicts.append(clouds)
     feasible = save_table(guards.overall_status(requests, *verdicts), "feasible")
     go = bounds.join(feasible.filter("status = 'COMPLETED'").select("request_id"), "request_id", "left_semi")
-    go = go.withColumnRenamed("coverage", "status")
+    go = save_table(go.withColumnRenamed("coverage", "status"), "go")
 
     n1 = raster.percentile_normalise(cut_windows(t1, go, bands), bands)
     n2 = raster.percentile_normalise(cut_windows(t2, go, bands), bands)
@@ -173,11 +173,10 @@ def screened_features(
     hits: DataFrame, t1: DataFrame, t2: DataFrame, scene: DataFrame, ref_lat: float, bands: Sequence[str] = ("b1", "b2", "b3"),
     padding_m: float = 2500.0, tau: float = features.DEFAULT_TAU, tile: int = DEFAULT_TILE,
 ) -> DataFrame:
-    """Score only the imagery inside padded boxes around structural-query hits."""
+    """Score only the imagery inside padded boxes around structural-query hits, one window per box."""
     boxes = save_table(candidate_boxes(hits.select("lat", "lon"), ref_lat, padding_m), "screen")
-    pairs = raster.bitemporal(screen_pixels(t1, scene, boxes), t2, bands)
-    left = save_table(pairs, "screened")
-    first = left.select(*PIXEL_KEYS, *[F.col(f"{b}_t1").alias(b) for b in bands])
-    second = left.select(*PIXEL_KEYS, *[F.col(f"{b}_t2").alias(b) for b in bands])
+    windows = save_table(request_windows(screen_windows(scene, boxes), scene).filter("status = 'OK'"), "screen-windows")
+    first, second = cut_windows(t1, windows, bands), cut_windows(t2, windows, bands)
     score, _ = features.spectral_score(first, second, bands, tile=tile)
-    return features.extract_features(score, scene, tau, tile=tile)
+    grid = windows.select(F.col("request_id").alias(SCENE), F.col("window_affine").alias("affine"))
+    return features.extract_features(score, grid, tau, tile=tile)

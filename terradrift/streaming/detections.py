@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,16 +43,16 @@ def first_sightings(detections: DataFrame, late: str = "2 hours", time: str = "t
 def latest_baseline(nodes: DataFrame, history: DataFrame, key: str = "site_id") -> DataFrame:
     """Each node with the latest strictly earlier record of the same site (as-of join).
 
-    The history is reduced per site and epoch first, so one row per epoch and site is joined.
+    Both sides are reduced to one row per site and epoch before a running "last" is taken,
+    so the sort of a busy site covers its distinct epochs and not its records.
     """
-    past = history.groupBy(key, F.col("epoch").alias("_e")).agg(
-        F.max_by(F.struct("node_id", "area_m2", "class"), F.col("node_id")).alias("_p")
-    )
-    joined = nodes.select(key, "node_id", "epoch").join(past, key).filter(F.col("_e") < F.col("epoch"))
-    best = joined.groupBy("node_id", "epoch").agg(F.max_by(F.struct("_e", "_p"), "_e").alias("_b"))
-    return nodes.join(best, ["node_id", "epoch"], "left").select(
-        *nodes.columns, F.col("_b._e").alias("baseline_epoch"), F.col("_b._p.node_id").alias("baseline_id"),
-        F.col("_b._p.area_m2").alias("baseline_area_m2"),
+    past = history.groupBy(key, "epoch").agg(F.max_by(F.struct("epoch", "node_id", "area_m2"), F.col("node_id")).alias("_p"))
+    asked = nodes.groupBy(key, "epoch").agg(F.lit(True).alias("_ask"))
+    line = W.partitionBy(key).orderBy("epoch").rowsBetween(W.unboundedPreceding, -1)
+    steps = past.join(asked, [key, "epoch"], "full").withColumn("_b", F.last("_p", ignorenulls=True).over(line))
+    return nodes.join(steps.filter("_ask").select(key, "epoch", "_b"), [key, "epoch"], "left").select(
+        *nodes.columns, F.col("_b.epoch").alias("baseline_epoch"), F.col("_b.node_id").alias("baseline_id"),
+        F.col("_b.area_m2").alias("baseline_area_m2"),
     )
 
 
