@@ -172,6 +172,18 @@ def _(spark, d):
 _ROUND = "(4 * pi() * area_m2 / greatest(perimeter_m * perimeter_m, 1e-4))"
 
 
+@check("p10_grid_ref_format", (
+    "SELECT o_orderkey, CASE length(t) WHEN 15 THEN substr(t, 1, 3) || ' ' || substr(t, 4, 2) || ' ' || substr(t, 6, 5) || ' ' || substr(t, 11, 5) "
+    "WHEN 14 THEN substr(t, 1, 2) || ' ' || substr(t, 3, 2) || ' ' || substr(t, 5, 5) || ' ' || substr(t, 10, 5) ELSE t END AS ref FROM "
+    "(SELECT o_orderkey, (o_orderkey % 60) || 'RBK' || lpad((o_orderkey * 7919 % 10000000000)::VARCHAR, CAST(9 + o_custkey % 3 AS INT), '0') AS t FROM orders)"))
+def _(spark, d):
+    from checks.views import table
+
+    digits = F.lpad((F.col("o_orderkey") * 7919 % 10000000000).cast("string"), F.lit(9) + (F.col("o_custkey") % 3).cast("int"), F.lit("0"))
+    t = F.concat((F.col("o_orderkey") % 60).cast("string"), F.lit("RBK"), digits)
+    return table(spark, d, "orders").select("o_orderkey", gridref.format_grid_ref(t).alias("ref"))
+
+
 @check("p11_geometry_class", with_ctes(NODE_SQL, select=(
     "SELECT node_id, CASE WHEN class IN ('WaterBody', 'MilitaryPost') THEN class "
     "WHEN aspect_ratio >= 8 AND area_m2 >= 5000 THEN 'Airstrip' WHEN aspect_ratio >= 4.5 THEN 'Road' "
@@ -309,6 +321,11 @@ def _(spark, d):
 _HAB = hav_sql("a", "b")
 
 
+@check("g1_triangulated_network")
+def _(spark, d):
+    return graph.triangulated_network(nodes_t1(spark, d), 1200.0, LAT0, LON0)
+
+
 @check("w4_ordered_network", with_ctes(NODE_SQL, "rk AS (SELECT *, row_number() OVER (ORDER BY node_id) AS k FROM node1)", select=(
     f"SELECT a.node_id AS source_id, b.node_id AS target_id, {_relation('a', 'b', _HAB)} AS relation_type, "
     f"round_even({_HAB}, 2) AS distance_m FROM rk a JOIN rk b ON b.k BETWEEN a.k + 1 AND a.k + 5 WHERE {_HAB} <= 1200")))

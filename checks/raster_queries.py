@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from checks import raster_sql as R
 from checks.registry import check, with_ctes
-from checks.views import PX_SQL, SCENE_SQL, pixels, scenes
+from checks.views import PX_SQL, SCENE_SQL, hav_sql, pixels, scenes
 from terradrift.functions import geo, pixel
-from terradrift.operators import components, polygons, raster
+from terradrift.operators import components, graph, polygons, raster
 from terradrift.plans import features
 from terradrift.sources import tiles
 from terradrift.session import save_table
@@ -375,6 +375,20 @@ def _(spark, d):
     )
 
 
+_MASK_NODES = (
+    "mn AS (SELECT 'prim_2025-01-15_' || scene_id || '_' || label AS node_id, round_even(lat0 - px * mean_row, 6) AS lat, "
+    "round_even(lon0 + px * mean_col, 6) AS lon FROM stats JOIN scene USING (scene_id))"
+)
+
+
+@check("g3_scene_graph", with_ctes(*R.TO_COMPONENTS, _STATS, _MASK_NODES, recursive=True, select=(
+    f"SELECT a.node_id AS source_id, b.node_id AS target_id, round_even({hav_sql('a', 'b')}, 2) AS distance_m "
+    f"FROM mn a JOIN mn b ON a.node_id < b.node_id WHERE {hav_sql('a', 'b')} <= 400")))
+def _(spark, d):
+    nodes = save_table(features.nodes_from_mask(_labelled(spark, d), scenes(spark, d), "2025-01-15"), "nodes")
+    return graph.radius_network(nodes, 400.0).select("source_id", "target_id", "distance_m")
+
+
 # --- grid differencing ------------------------------------------------------------------------
 
 

@@ -19,6 +19,12 @@ def _name(prefix: str, *steps: int) -> str:
     return prefix + "_".join(str(s).replace("-", "m") for s in steps)
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Pearson correlation over rows where ``b`` is present; NULL when either side is flat."""
+    spread = F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(b)
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def shift_scores(planes: DataFrame, reach: int = 2, tile: int = DEFAULT_TILE) -> DataFrame:
     """Correlation of ``l1[r, c]`` with ``l2[r + dy, c + dx]`` for every shift within ``reach``.
 
@@ -35,7 +41,7 @@ def shift_scores(planes: DataFrame, reach: int = 2, tile: int = DEFAULT_TILE) ->
 
     tiles = tiles.withColumns({_name("v", dy): moved("l2", "row", dy) for dy in steps})
     tiles = tiles.withColumns({_name("s", dy, dx): moved(_name("v", dy), "col", dx) for dy in steps for dx in steps})
-    scores = [F.corr("l1", _name("s", dy, dx)).alias(_name("s", dy, dx)) for dy in steps for dx in steps]
+    scores = [_correlation("l1", _name("s", dy, dx)).alias(_name("s", dy, dx)) for dy in steps for dx in steps]
     spread = F.least(F.stddev_pop("l1"), F.stddev_pop("l2")).alias("spread")
     wide = drop_halo(tiles, tile).groupBy(SCENE).agg(spread, *scores)
     listed = F.array(

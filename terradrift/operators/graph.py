@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terradrift.functions.classify import relation_type
 from terradrift.functions.geo import METRES_PER_DEGREE
 from terradrift.operators.spatial_join import GLOBE, Plane, distance_join, nearest_join
+from terradrift.operators.triangulate import delaunay_pairs
 from terradrift.session import save_table
 
 MATCH_RADIUS_M = 35.0
@@ -65,6 +66,23 @@ def knn_network(nodes: DataFrame, k: int, max_distance_m: float = PROXIMITY_M, c
     return as_edges(kept.dropDuplicates(["source_id", "target_id"]), connect_roads)
 
 
+def triangulated_network(
+    nodes: DataFrame, max_distance_m: float = PROXIMITY_M, lat0: float | None = None, lon0: float | None = None,
+    connect_roads: bool = True,
+) -> DataFrame:
+    """Edges of the Delaunay triangulation within reach. The plane touches at the given place, else mid-box."""
+    if lat0 is None or lon0 is None:
+        box = nodes.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+        if box[0] is None:
+            return radius_network(nodes, max_distance_m, connect_roads)
+        lat0, lon0 = (box[0] + box[1]) / 2, (box[2] + box[3]) / 2
+    pairs = delaunay_pairs(nodes, lat0, lon0)
+    left, right = _ends(nodes)
+    ends = pairs.withColumnsRenamed({"a": "source_id", "b": "target_id"}).join(left, "source_id").join(right, "target_id")
+    dist = GLOBE.distance("lat", "lon", "r_lat", "r_lon")
+    return as_edges(ends.withColumn("distance_m", dist).filter(F.col("distance_m") <= max_distance_m), connect_roads)
+
+
 def ordered_network(nodes: DataFrame, max_distance_m: float = PROXIMITY_M, follow: int = 5) -> DataFrame:
     """Fallback for collinear nodes: each joined to the next few in id order, per epoch.
 

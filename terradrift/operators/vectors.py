@@ -63,7 +63,7 @@ def condition(positive, negative, beta: float = BETA) -> Column:
 
 
 def cosine(u, v) -> Column:
-    return dot(u, v) / (norm(u) * norm(v))
+    return F.try_divide(dot(u, v), norm(u) * norm(v))
 
 
 def top_similar(

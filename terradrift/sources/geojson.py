@@ -57,7 +57,7 @@ def vertices(geometry_type: str = "geometry_type", coordinates: str = "coordinat
 
 def _first_number(props: Column, *names: str) -> Column:
     """First property that is present and not zero, else 0."""
-    found = [F.nullif(props.getItem(n).cast("double"), F.lit(0.0)) for n in names]
+    found = [F.nullif(props.getItem(n).try_cast("double"), F.lit(0.0)) for n in names]
     return F.coalesce(*found, F.lit(0.0))
 
 
@@ -115,7 +115,7 @@ def nodes_from_features(
         F.bround("aspect", 2).alias("aspect_ratio"),
         *[F.bround(c, 6).alias(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")],
         F.lit(epoch).cast("date").alias("epoch"),
-        F.coalesce(props.getItem("confidence").cast("double"), F.lit(DEFAULT_CONFIDENCE)).alias("confidence"),
+        F.coalesce(props.getItem("confidence").try_cast("double"), F.lit(DEFAULT_CONFIDENCE)).alias("confidence"),
         props.alias("properties"),
     )
 
