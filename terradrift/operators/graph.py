@@ -211,8 +211,15 @@ def edge_difference(e1: DataFrame, e2: DataFrame, matches: DataFrame | None = No
             names = matches.select(F.col("new_id").alias(end), F.col("old_id").alias("_old"))
             e2 = e2.join(names, end, "left").withColumn(end, F.coalesce("_old", end)).drop("_old")
         e2 = e2.select(*e1.columns)
-    a, b = undirected_edges(e1), undirected_edges(e2)
-    return b.join(a, "pair", "left_anti").drop("pair"), a.join(b, "pair", "left_anti").drop("pair")
+    cols = e1.columns
+    pair = F.array_sort(F.array("source_id", "target_id")).alias("pair")
+    rows = e1.select(pair, F.lit(1).alias("t"), F.struct(*cols).alias("e")).unionByName(
+        e2.select(pair, F.lit(2).alias("t"), F.struct(*cols).alias("e"))
+    )
+    # One aggregate for both directions: the last edge of each epoch per pair.
+    sides = [F.max_by(F.when(F.col("t") == t, F.col("e")), F.when(F.col("t") == t, F.col("e.edge_id"))).alias(f"e{t}") for t in (1, 2)]
+    met = rows.groupBy("pair").agg(*sides)
+    return met.filter("e1 IS NULL").select("e2.*"), met.filter("e2 IS NULL").select("e1.*")
 
 
 def change_points(added: DataFrame, modified: DataFrame) -> DataFrame:
@@ -293,6 +300,7 @@ def compile_delta(
     added, removed = added_nodes(n2, matches), removed_nodes(n1, matches)
     modified = modified_nodes(n1, n2, matches, area_change)
     plus, minus = edge_difference(e1, e2, matches if match_edge_ids else None)
-    boxes = candidate_boxes(change_points(added, modified), lat0, padding_m)
-    summary = delta_summary(n1, n2, tagged_delta(added, removed, modified), plus, minus, boxes)
+    tagged = save_table(tagged_delta(added, removed, modified), "delta")
+    boxes = candidate_boxes(tagged.filter("status <> 'REMOVED'"), lat0, padding_m)
+    summary = delta_summary(n1, n2, tagged, plus, minus, boxes)
     return GraphDelta(matches, added, removed, modified, plus, minus, boxes, summary)

@@ -61,17 +61,21 @@ class Globe:
         n = self._cells_in_band(F.floor(v), size)
         return v, F.least((F.pmod(F.col(lon) + 180.0, F.lit(360.0))) / 360.0 * n, n - 1e-9)
 
-    def around(self, lat: str, lon: str, size: float) -> Column:
+    def near_cells(self, points: DataFrame, size: float, lat: str, lon: str) -> DataFrame:
+        """Band and turn are computed once per point; only cheap arithmetic runs per copy."""
         band = F.floor(F.col(lat) / self._band_height(size))
+        counts = F.array(*[self._cells_in_band(band + dy, size) for dy in (-1, 0, 1)])
         turn = F.pmod(F.col(lon) + 180.0, F.lit(360.0)) / 360.0
-        cells = []
-        for dy in (-1, 0, 1):
-            n = self._cells_in_band(band + dy, size)
-            here = F.floor(F.least(turn * n, n - 1e-9))
-            for dx in (-1, 0, 1):
-                cx = F.pmod(here + dx, n.cast("long"))
-                cells.append(F.struct((band + dy).cast("long").alias("_cy"), cx.cast("long").alias("_cx")))
-        return F.array_distinct(F.array(*cells))
+        once = points.withColumns({"_band": band, "_turn": turn, "_counts": counts})
+        rows = once.select("*", F.explode(F.lit([-1, 0, 1])).alias("_dy")).withColumn("_n", F.col("_counts")[F.col("_dy") + 1])
+        here = F.floor(F.least(F.col("_turn") * F.col("_n"), F.col("_n") - 1e-9))
+        copies = rows.withColumn("_here", here).select("*", F.explode(F.lit([-1, 0, 1])).alias("_dx"))
+        # A band of one or two cells has fewer distinct neighbours.
+        real = (F.col("_n") >= 3) | (F.col("_dx") == 0) | ((F.col("_n") == 2) & (F.col("_dx") == 1))
+        return copies.filter(real).select(
+            *points.columns, (F.col("_band") + F.col("_dy")).alias("_cy"),
+            F.pmod(F.col("_here") + F.col("_dx"), F.col("_n").cast("long")).alias("_cx"),
+        )
 
 
 @dataclass(frozen=True)
@@ -96,10 +100,13 @@ class Plane:
         size = size * (1 + 1e-9)
         return tangent_y(lat, self.lat0) / size, tangent_x(lon, self.lat0, self.lon0) / size
 
-    def around(self, lat: str, lon: str, size: float) -> Column:
+    def near_cells(self, points: DataFrame, size: float, lat: str, lon: str) -> DataFrame:
         cy, cx = (F.floor(a) for a in self.axes(lat, lon, size))
-        steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-        return F.array(*[F.struct((cy + dy).alias("_cy"), (cx + dx).alias("_cx")) for dy, dx in steps])
+        once = points.withColumns({"_y0": cy, "_x0": cx})
+        rows = once.select("*", F.explode(F.lit([-1, 0, 1])).alias("_dy")).select("*", F.explode(F.lit([-1, 0, 1])).alias("_dx"))
+        return rows.select(
+            *points.columns, (F.col("_y0") + F.col("_dy")).alias("_cy"), (F.col("_x0") + F.col("_dx")).alias("_cx")
+        )
 
 
 GLOBE = Globe()
@@ -112,13 +119,13 @@ def with_cell(points: DataFrame, size: float, metric=GLOBE, lat: str = "lat", lo
 
 def with_near_cells(points: DataFrame, size: float, metric=GLOBE, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """One copy of each point per cell that can hold something within ``size`` of it."""
-    cells = F.explode(metric.around(lat, lon, size)).alias("_cell")
-    return points.select("*", cells).select(*points.columns, "_cell._cy", "_cell._cx")
+    return metric.near_cells(points, size, lat, lon)
 
 
-def _hot_cells(celled: DataFrame, limit: int) -> DataFrame:
+def _hot_cells(celled: DataFrame, limit: int) -> DataFrame | None:
+    """Cells holding more than ``limit`` rows with their count ``_n``; None when there are none."""
     counts = celled.groupBy(*CELL).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-    return save_table(counts, "hot-cells")
+    return save_table(counts, "hot-cells") if counts.take(1) else None
 
 
 def distance_join(
@@ -139,12 +146,13 @@ def distance_join(
     probes = with_near_cells(left, radius_m, metric, *left_pos)
     points = with_cell(right, radius_m, metric, *right_pos)
     hot_right = _hot_cells(points, hot_cell)
-    if hot_right.isEmpty():
+    if hot_right is None:
         joined = probes.join(points, CELL)
     else:
+        crowded_left = probes.groupBy(*CELL).agg(F.count("*").alias("_nl")).filter(F.col("_nl") > hot_cell)
         crowds = (
             hot_right.withColumnRenamed("_n", "_nr")
-            .join(_hot_cells(probes, hot_cell).withColumnRenamed("_n", "_nl"), CELL, "left")
+            .join(crowded_left, CELL, "left")
             .select(
                 *CELL, F.ceil(F.col("_nr") / hot_cell).cast("int").alias("_sr"),
                 F.ceil(F.coalesce("_nl", F.lit(1)) / hot_cell).cast("int").alias("_sl"),
@@ -163,8 +171,11 @@ def distance_join(
         left_rows = save_table(salted(probes, "_a", "_b", "_sl", "_sr"), "salted")
         right_rows = save_table(salted(points, "_b", "_a", "_sr", "_sl"), "salted")
         joined = left_rows.join(right_rows, [*CELL, "_a", "_b"]).drop("_a", "_b")
+    # Nine cells cover about three times the circle; the latitude band drops a third for one subtraction.
+    band = math.degrees(radius_m / EARTH_RADIUS_M) * (1 + 1e-9)
+    close = joined.filter(F.abs(F.col(left_pos[0]) - F.col(right_pos[0])) <= band)
     dist = metric.distance(*left_pos, *right_pos)
-    return joined.drop(*CELL).withColumn("distance_m", dist).filter(F.col("distance_m") <= radius_m)
+    return close.drop(*CELL).withColumn("distance_m", dist).filter(F.col("distance_m") <= radius_m)
 
 
 # --- bounds of whole groups of points ---------------------------------------------------------
@@ -275,7 +286,7 @@ def nearest_join(
         close = pairs.select("_pid", "_id", dist.alias("_d")).filter(F.col("_d") <= radius_m)
         return close.groupBy("_pid").agg(F.min(F.struct("_d", "_id")).alias("_b"))
 
-    if hot.isEmpty():
+    if hot is None:
         found = best(probes.join(places, CELL))
     else:
         calm = probes.join(hot, CELL, "left_anti").join(places.join(hot, CELL, "left_anti"), CELL)
@@ -313,7 +324,7 @@ def count_within(
         close = pairs.filter((dist <= radius_m) & (F.col("_pid") != F.col("_id")))
         return close.groupBy("_pid").agg(F.count("*").alias("_k"))
 
-    if hot.isEmpty():
+    if hot is None:
         counts = tally(probes.join(points, CELL))
     else:
         points = save_table(points, "points")

@@ -46,11 +46,9 @@ def _sector(dx: Column, dy: Column) -> Column:
 
 def _around(df: DataFrame, level: Column | int) -> DataFrame:
     """One copy per cell of the 3 x 3 block around each point at its level."""
-    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    cells = F.array(
-        *[F.struct((_at_level("iy", level) + dy).alias("cy"), (_at_level("ix", level) + dx).alias("cx")) for dy, dx in steps]
-    )
-    return df.withColumn("_c", F.explode(cells)).select(*df.columns, "_c.cy", "_c.cx")
+    placed = df.withColumns({"_y0": _at_level("iy", level), "_x0": _at_level("ix", level)})
+    rows = placed.select("*", F.explode(F.lit([-1, 0, 1])).alias("_dy")).select("*", F.explode(F.lit([-1, 0, 1])).alias("_dx"))
+    return rows.select(*df.columns, (F.col("_y0") + F.col("_dy")).alias("cy"), (F.col("_x0") + F.col("_dx")).alias("cx"))
 
 
 def _sightings(places: DataFrame, spots: DataFrame, n: int) -> DataFrame:

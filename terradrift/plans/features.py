@@ -119,15 +119,18 @@ def extract_features(
 
 
 def spectral_score(
-    t1: DataFrame, t2: DataFrame, bands: Sequence[str], ksize: int = 5, tile: int = DEFAULT_TILE
+    t1: DataFrame, t2: DataFrame, bands: Sequence[str], ksize: int = 5, tile: int = DEFAULT_TILE, dims: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Otsu-weighted change score per pixel and the threshold bin per scene.
 
+    ``dims`` is a scene table with sizes; without it they are found by one more pass over t1.
+
     The smoothed difference is read three times (range, histogram, score) and costs a join
     and a halo shuffle, so it is written once.
     """
     diff = raster.band_difference(raster.bitemporal(t1, t2, bands), bands)
-    smooth = save_table(raster.gaussian_blur(diff, "diff", raster.scene_dims(t1), ksize, tile), "difference")
+    dims = raster.scene_dims(t1) if dims is None else dims
+    smooth = save_table(raster.gaussian_blur(diff, "diff", dims, ksize, tile), "difference")
     scaled = raster.min_max_normalise(smooth, "diff", "norm")
     thresholds = save_table(raster.otsu_threshold(scaled, "norm"), "otsu")
     score = raster.otsu_score(scaled, "norm", thresholds).select(*PIXEL_KEYS, "prob")
@@ -145,7 +148,7 @@ def difference_features(
     geometry: bool = False,
 ) -> DataFrame:
     """End-to-end differencing of two epochs into feature records."""
-    score, _ = spectral_score(t1, t2, bands, tile=tile)
+    score, _ = spectral_score(t1, t2, bands, tile=tile, dims=scene if "n_rows" in scene.columns else None)
     name = f"Detected Surface Anomaly ({query_text[:30]})"
     return extract_features(score, scene, tau, name, tile=tile, geometry=geometry)
 
