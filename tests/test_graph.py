@@ -96,8 +96,7 @@ def cloud(rng, n, lat, lon, spread):
     return np.clip(la, -90, 90), (lo + 180) % 360 - 180
 
 
-@pytest.mark.parametrize("lat,lon", [(25, 75), (10, 179.999), (89.99, 0), (-60, -180)])
-@pytest.mark.parametrize("hot", [5000, 20])
+@pytest.mark.parametrize("lat,lon,hot", [(25, 75, 5000), (25, 75, 20), (10, 179.999, 20), (89.99, 0, 5000), (-60, -180, 5000)])
 def test_spatial_joins_match_brute_force(spark, lat, lon, hot):
     """A third of all points sit in one place; hot=20 sends them through the crowded-cell paths."""
     rng = np.random.default_rng(9)

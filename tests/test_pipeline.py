@@ -65,7 +65,7 @@ def epochs(spark):
     base = rng.integers(800, 1200, (100, 100)).astype(float)
     base = base + np.add.outer(np.arange(100), np.arange(100)) * 12.0
     later = base.copy()
-    later[30:50, 40:60] += 4000
+    later[30:50, 40:60] += 1200
     make = lambda a: pixel_frame(spark, {f"b{i}": a + i for i in (1, 2, 3)})
     return save_table(make(base), "t1"), save_table(make(later), "t2")
 
