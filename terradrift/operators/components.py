@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE, TILE_KEYS, with_tile
 from terradrift.session import save_table
 
-# The four neighbours that come later in row-major order; each 8-neighbour pair is met once.
-FORWARD = ((0, 1), (1, -1), (1, 0), (1, 1))
+# Neighbours that come later in row-major order, so that each touching pair is met once.
+FORWARD = {8: ((0, 1), (1, -1), (1, 0), (1, 1)), 4: ((0, 1), (1, 0))}
 _ROW_SHIFT = 32
 # Links of a cross-tile graph that one task solves in memory; larger graphs run in rounds.
 SMALL_GRAPH = 500_000
@@ -46,7 +46,7 @@ def _smallest_reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
-def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+def _label_tile(pdf: pd.DataFrame, connectivity: int) -> pd.DataFrame:
     """Component label of every mask pixel of one tile: the smallest row-major position."""
     pdf = pdf.sort_values(["row", "col"], ignore_index=True)
     r, c = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
@@ -55,7 +55,7 @@ def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
     index[r - top, c - left + 1] = np.arange(len(pdf))
     here = np.arange(len(pdf))
     starts, ends = [], []
-    for dr, dc in FORWARD:
+    for dr, dc in FORWARD[connectivity]:
         there = index[r - top + dr, c - left + 1 + dc]
         starts.append(here[there >= 0])
         ends.append(there[there >= 0])
@@ -64,11 +64,11 @@ def _label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
-def _seam_pairs(local: DataFrame, tile: int) -> DataFrame:
+def _seam_pairs(local: DataFrame, tile: int, connectivity: int) -> DataFrame:
     """Pairs of local labels that touch across a tile border."""
     r, c = F.col("row") % tile, F.col("col") % tile
     rim = local.filter((r == 0) | (r == tile - 1) | (c == 0) | (c == tile - 1)).select(*PIXEL_KEYS, "label")
-    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in FORWARD])
+    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in FORWARD[connectivity]])
     probes = (
         rim.select(SCENE, F.col("label").alias("a"), "row", "col", F.explode(steps).alias("s"))
         .select(SCENE, "a", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"))
@@ -129,8 +129,10 @@ def connected_roots(pairs: DataFrame, small_limit: int = SMALL_GRAPH) -> DataFra
             return edges.select(SCENE, "u", F.col("v").alias("root"))
 
 
-def label_components(mask: DataFrame, tile: int = DEFAULT_TILE, small_limit: int = SMALL_GRAPH) -> DataFrame:
-    """Add ``label``, the component of each row of a mask table, joining all 8 neighbours.
+def label_components(
+    mask: DataFrame, tile: int = DEFAULT_TILE, small_limit: int = SMALL_GRAPH, connectivity: int = 8
+) -> DataFrame:
+    """Add ``label``, the component of each row of a mask table, joining all 8 (or only 4) neighbours.
 
     ``mask`` holds only set pixels (``scene_id, row, col`` and any further columns). The
     label is the smallest row-major position in the component, so it does not depend on
@@ -139,8 +141,12 @@ def label_components(mask: DataFrame, tile: int = DEFAULT_TILE, small_limit: int
     """
     tiled = with_tile(mask, tile)
     schema = T.StructType(tiled.schema.fields + [T.StructField("label", T.LongType())])
-    local = save_table(tiled.groupBy(*TILE_KEYS).applyInPandas(_label_tile, schema).drop("tile_r", "tile_c"), "labels")
-    seams = save_table(_seam_pairs(local, tile), "seams")
+
+    def label_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _label_tile(pdf, connectivity)
+
+    local = save_table(tiled.groupBy(*TILE_KEYS).applyInPandas(label_tile, schema).drop("tile_r", "tile_c"), "labels")
+    seams = save_table(_seam_pairs(local, tile, connectivity), "seams")
     if seams.isEmpty():
         return local
     roots = connected_roots(seams, small_limit).withColumnRenamed("u", "label")

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terradrift.functions import geo
-from terradrift.operators.tiling import PIXEL_KEYS, SCENE
+from terradrift.operators.components import label_components
+from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE
 from terradrift.session import save_table
 
 # Unit sides run clockwise (rows grow downwards): east, south, west, north.
@@ -155,54 +156,39 @@ def rings(vertices: DataFrame) -> DataFrame:
     )
 
 
-def _crossings(outer: Column, px: Column, py: Column) -> Column:
-    """Times a ray to the east of (px, py) meets the vertical sides of a ring."""
-    closing = F.concat(F.slice(outer, F.lit(2), F.size(outer) - 1), F.slice(outer, 1, 1))
-    hits = F.zip_with(
-        outer, closing,
-        lambda p, n: ((p["x"] == n["x"]) & (p["x"] > px) & (F.least(p["y"], n["y"]) < py)
-                      & (py < F.greatest(p["y"], n["y"]))).cast("int"),
-    )
-    return F.aggregate(hits, F.lit(0), lambda acc, h: acc + h)
+def _with_part(ring_rows: DataFrame, labelled: DataFrame, tile: int) -> DataFrame:
+    """Add the 4-connected part each ring borders.
+
+    A ring starts at its top-left corner: for an outer ring that corner's own pixel belongs
+    to the part, for a hole it is the pixel above.
+    """
+    mask = labelled.select(SCENE, "row", "col")
+    parts = label_components(mask, tile, connectivity=4).withColumnRenamed("label", "part")
+    start = F.col("points")[0]
+    row = F.when(F.col("area_px") > 0, start["y"]).otherwise(start["y"] - 1)
+    return ring_rows.withColumns({"row": row, "col": start["x"]}).join(parts, [SCENE, "row", "col"]).drop("row", "col")
 
 
-def multipolygons(vertices: DataFrame, scene: DataFrame) -> DataFrame:
+def multipolygons(vertices: DataFrame, labelled: DataFrame, scene: DataFrame, tile: int = DEFAULT_TILE) -> DataFrame:
     """``geometry`` per component: polygons of an outer ring and its holes, as closed lon/lat rings.
 
-    A hole belongs to the smallest outer ring around it. Components without holes or with
-    one outer ring, nearly all, need no containment test.
+    Every ring borders exactly one 4-connected part and every part has one outer ring, so
+    holes find their polygon by an equi-join and not by containment tests.
     """
-    flat = rings(vertices).join(scene.select(SCENE, "affine"), SCENE)
+    flat = _with_part(rings(vertices), labelled, tile).join(scene.select(SCENE, "affine"), SCENE)
     lonlat = F.transform(
         F.concat("points", F.slice("points", 1, 1)),
         lambda p: F.array(
             F.round(geo.pixel_to_lon("affine", p["x"], p["y"]), 9), F.round(geo.pixel_to_lat("affine", p["x"], p["y"]), 9)
         ),
     )
-    shaped = flat.withColumn("path", lonlat).drop("affine")
-    outer = shaped.filter("area_px > 0")
-    holes = shaped.filter("area_px < 0").select(
-        SCENE, "label", F.col("ring").alias("hole"), F.col("path").alias("hole_path"),
-        # A point just inside the hole: half a pixel from its top-left corner.
-        (F.col("points")[0]["x"]).alias("hx"), (F.col("points")[0]["y"]).alias("hy"),
-    )
-    inner_x, inner_y = F.col("hx") + 0.25, F.col("hy") + 0.25
-    owner = (
-        holes.join(outer.select(SCENE, "label", "ring", "points", "area_px"), [SCENE, "label"])
-        .filter(_crossings(F.col("points"), inner_x, inner_y) % 2 == 1)
-        .groupBy(SCENE, "label", "hole")
-        .agg(F.min_by(F.struct("ring", "hole_path"), F.struct("area_px", "ring")).alias("o"))
-        .groupBy(SCENE, "label", F.col("o.ring").alias("ring"))
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("hole", "o.hole_path"))), lambda h: h["hole_path"]).alias("hs"))
-    )
-    empty = F.array().cast("array<array<array<double>>>")
-    polygon = F.concat(F.array("path"), F.coalesce("hs", empty))
-    listed = F.array_sort(F.collect_list(F.struct("ring", polygon.alias("p"))))
-    return (
-        outer.join(owner, [SCENE, "label", "ring"], "left")
-        .groupBy(SCENE, "label")
-        .agg(F.transform(listed, lambda q: q["p"]).alias("geometry"))
-    )
+    shaped = flat.select(SCENE, "label", "part", F.struct((F.col("area_px") < 0).alias("hole"), "ring", lonlat.alias("path")).alias("r"))
+
+    def listed(column: str, field: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(column)), lambda x: x[field])
+
+    polygons = shaped.groupBy(SCENE, "label", "part").agg(listed("r", "path").alias("rings"))
+    return polygons.withColumn("p", F.struct("part", "rings")).groupBy(SCENE, "label").agg(listed("p", "rings").alias("geometry"))
 
 
 def row_runs(labelled: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def component_features(
     )
     kept = min_area(records, min_area_sq_m, "_area").drop("_area")
     if geometry:
-        kept = kept.join(multipolygons(ring_vertices(labelled), scene), [SCENE, "label"], "left")
+        kept = kept.join(multipolygons(ring_vertices(labelled), labelled, scene, tile), [SCENE, "label"], "left")
     return kept
 
 
@@ -129,7 +129,7 @@ def spectral_score(
     and a halo shuffle, so it is written once.
     """
     diff = raster.band_difference(raster.bitemporal(t1, t2, bands), bands)
-    dims = raster.scene_dims(t1) if dims is None else dims
+    dims = save_table(raster.scene_dims(t1), "dims") if dims is None else dims
     smooth = save_table(raster.gaussian_blur(diff, "diff", dims, ksize, tile), "difference")
     scaled = raster.min_max_normalise(smooth, "diff", "norm")
     thresholds = save_table(raster.otsu_threshold(scaled, "norm"), "otsu")

@@ -96,7 +96,7 @@ def analyze(
     n1 = raster.percentile_normalise(cut_windows(t1, go, bands), bands)
     n2 = raster.percentile_normalise(cut_windows(t2, go, bands), bands)
     n1, n2 = save_table(n1, "normal-t1"), save_table(n2, "normal-t2")
-    dims = raster.scene_dims(n1)
+    dims = save_table(raster.scene_dims(n1), "dims")
     planes = (
         n1.select(*PIXEL_KEYS, luminance(*bands[:3]).alias("l1"))
         .join(n2.select(*PIXEL_KEYS, luminance(*bands[:3]).alias("l2")), PIXEL_KEYS)

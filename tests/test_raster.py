@@ -4,6 +4,7 @@ from helpers import erode_dilate, flood_labels, grid_of, pixel_frame, scene_fram
 from pyspark.sql import functions as F
 
 from terradrift.functions import pixel
+from terradrift.functions.geo import multipolygon_area_m2
 from terradrift.operators import align, components, mosaic, polygons, raster
 from terradrift.plans import features
 from terradrift.session import save_table
@@ -147,11 +148,22 @@ def test_outline_area_equals_pixel_count_with_holes_and_corners(spark, small_lim
     big = max(by_label.values(), key=len)
     assert sorted(a for a, _ in big) == [-4.0, -1.0, 9.0, 64.0]
     assert all(n == 4 for _, n in big)
-    shapes = polygons.multipolygons(vertices, scene_frame(spark, 20, 20)).collect()
+    shapes = polygons.multipolygons(vertices, labelled, scene_frame(spark, 20, 20), tile=8).collect()
     assert sorted(sorted(len(p) for p in s.geometry) for s in shapes) == [[1], [1, 3]]
     assert all(ring[0] == ring[-1] for s in shapes for p in s.geometry for ring in p)
 
 
+def test_multipolygon_area_equals_cell_area_on_a_random_mask(spark):
+    mask = np.random.default_rng(14).random((40, 40)) < 0.55
+    scene = scene_frame(spark, 40, 40)
+    set_px = pixel_frame(spark, {"flag": mask.astype(int), "prob": mask * 0.9}).filter("flag = 1")
+    labelled = save_table(components.label_components(set_px, 16), "lab")
+    shapes = polygons.multipolygons(polygons.ring_vertices(labelled), labelled, scene, tile=16)
+    both = features.measure_components(labelled, scene).join(shapes, ["scene_id", "label"])
+    worst = both.agg(F.max(F.abs(multipolygon_area_m2("geometry") / F.col("area") - 1)), F.count("*")).first()
+    assert worst[0] < 1e-4 and worst[1] == labelled.select("label").distinct().count()
+
+
 def test_outline_paths_agree_on_a_random_mask(spark):
     mask = np.random.default_rng(11).random((30, 30)) < 0.5
     labelled = save_table(components.label_components(pixel_frame(spark, {"flag": mask.astype(int)}).filter("flag = 1")), "lab")
