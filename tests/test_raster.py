@@ -304,3 +304,9 @@ def test_window_digest_ignores_partitioning(spark):
     assert a == tiles.window_digest(px.repartition(13), ["b1"], 8).first().sha256
     changed = px.withColumn("b1", F.when(F.col("b1") == 7, 8).otherwise(F.col("b1")))
     assert a != tiles.window_digest(changed, ["b1"], 8).first().sha256
+
+
+def test_opening_shuffles_once(spark):
+    px = save_table(pixel_frame(spark, {"flag": np.ones((20, 20), int)}), "px")
+    plan = raster.opening(px, "flag")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
