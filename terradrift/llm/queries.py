@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradrift.llm import sql
-from terradrift.llm.common import table
+from terradrift.llm.common import fold, table
 
 
 def op3_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op3_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op4_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terradrift.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), "quality", fold("doc_id", 3) != 1)
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_token_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terradrift.llm.secrets import find_secrets
 
@@ -42,6 +51,6 @@ def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_kdtree_topk, op5_token_secrets, op8_warc_chunks)
+    f.__name__: f for f in (op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op8_warc_chunks)
 }
 ORACLES: dict[str, str] = {name: getattr(sql, name.upper()) for name in QUERIES if hasattr(sql, name.upper())}
