@@ -34,3 +34,8 @@ def single_threaded() -> None:
     """Keep numpy to one thread inside a task: Spark already runs one task per core."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
         os.environ.setdefault(name, "1")
+
+
+def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Broadcast hint for a written table of at most ``max_rows`` narrow rows; a longer one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

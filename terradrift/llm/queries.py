@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradrift.llm import sql
-from terradrift.llm.common import fold, table
+from terradrift.llm.common import fold, table, text_or_empty
 
 
 def op3_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,13 @@ def op5_token_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_line_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terradrift.llm.line_dedup import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split(text_or_empty(), "\n")).cast("bigint").alias("n_lines"))
+    return dedup_lines(docs, count_as="n_dropped").select("doc_id", "n_lines", "n_dropped", F.md5(text_or_empty()).alias("text_md5"))
+
+
 def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC archives, read them back and report each record's totals from its last chunk."""
     from terradrift.llm.warc import dedup_payloads, read_archives, write_archives
@@ -51,6 +58,6 @@ def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op8_warc_chunks)
+    f.__name__: f for f in (op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op8_warc_chunks)
 }
 ORACLES: dict[str, str] = {name: getattr(sql, name.upper()) for name in QUERIES if hasattr(sql, name.upper())}

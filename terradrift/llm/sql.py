@@ -20,3 +20,29 @@ SELECT p.page_id, CAST(octet_length(p.body) AS BIGINT) AS payload_bytes, sha1(p.
   CASE WHEN p.page_id < leader THEN leader END AS refers_to
 FROM p LEFT JOIN lead ON p.body = lead.body
 """
+
+OP6_LINE_NEIGHBOURS = r"""
+WITH line AS (
+  SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), norm AS (
+  SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM line
+), uniq AS (
+  SELECT norm, length(norm) AS n, min((doc_id, line_no)) AS first FROM norm WHERE length(norm) >= 20 GROUP BY norm
+), half AS (
+  SELECT norm, n, first, n AS base, left(norm, CAST(n // 2 AS INT)) AS part, 'l' AS side FROM uniq
+  UNION ALL SELECT norm, n, first, n, right(norm, CAST(n - n // 2 AS INT)), 'r' FROM uniq
+  UNION ALL SELECT norm, n, first, n - 1, left(norm, CAST((n - 1) // 2 AS INT)), 'l' FROM uniq
+  UNION ALL SELECT norm, n, first, n - 1, right(norm, CAST(n - 1 - (n - 1) // 2 AS INT)), 'r' FROM uniq
+), near AS (
+  SELECT DISTINCT a.norm FROM half a JOIN half b ON a.base = b.base AND a.side = b.side AND a.part = b.part
+  WHERE b.first < a.first AND levenshtein(a.norm, b.norm) <= 1
+), kept AS (
+  SELECT m.doc_id, m.line_no, m.line,
+    length(m.norm) < 20 OR (n.norm IS NULL AND (m.doc_id, m.line_no) = u.first) AS kept
+  FROM norm m LEFT JOIN uniq u ON m.norm = u.norm LEFT JOIN near n ON m.norm = n.norm
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN kept THEN 0 ELSE 1 END) AS BIGINT) AS n_dropped,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE kept), '')) AS text_md5
+FROM kept GROUP BY doc_id
+"""
