@@ -11,6 +11,21 @@ from terradrift.llm import sql
 from terradrift.llm.common import fold, table, text_or_empty
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The registered mix: domain, language and source; the domain comes from the source's last character."""
+    from terradrift.llm.mixing import mix, node_path
+
+    weights = docs.sparkSession.createDataFrame([(node_path(*path), w) for path, w in sql.MIX_WEIGHTS], "path string, weight bigint")
+    with_domain = docs.withColumn("domain", F.expr(sql.MIX_DOMAIN))
+    return mix(with_domain, ["domain", "lang", "source"], weights, sql.MIX_SHARE, sql.MIX_EPOCHS, sql.MIX_SEED)
+
+
+def op2_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terradrift.llm.mixing import words
+
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", words().alias("tokens"), "epochs")
+
+
 def op3_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terradrift.llm.kdtree import top_k
 
@@ -58,6 +73,6 @@ def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op8_warc_chunks)
+    f.__name__: f for f in (op2_hierarchical_mix, op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op8_warc_chunks)
 }
 ORACLES: dict[str, str] = {name: getattr(sql, name.upper()) for name in QUERIES if hasattr(sql, name.upper())}

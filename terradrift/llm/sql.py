@@ -46,3 +46,46 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN kept THEN 0 ELSE 1 END) A
   md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE kept), '')) AS text_md5
 FROM kept GROUP BY doc_id
 """
+
+
+def mixing_sql(documents: str, weights: list[tuple[tuple[str, ...], int]], share: tuple[int, int], max_epochs: int, seed: int) -> str:
+    """Selection of a three-level mix; ``documents`` is a relation with columns doc_id, text, domain, lang, source."""
+    name = "'=' || {0}"
+    paths = [" || chr(31) || ".join(name.format(c) for c in ("domain", "lang", "source")[: i + 1]) for i in range(3)]
+    listed = ", ".join("(" + " || chr(31) || ".join(f"'={v}'" for v in path) + f", {w})" for path, w in weights)
+    ctes = [
+        f"tok AS (SELECT doc_id, domain, lang, source, {paths[0]} AS p1, {paths[1]} AS p2, {paths[2]} AS p3, "
+        f"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM {documents})",
+        f"wt(path, weight) AS (VALUES {listed})",
+        "leaf AS (SELECT p1, p2, p3, sum(tokens)::BIGINT AS tokens FROM tok GROUP BY ALL)",
+        f"b0 AS (SELECT '' AS path, least(sum(tokens)::BIGINT * {share[0]} // {share[1]}, sum(tokens)::BIGINT * {max_epochs}) AS budget FROM leaf)",
+    ]
+    for d in (1, 2, 3):
+        parent = "''" if d == 1 else f"p{d - 1}"
+        ctes += [
+            f"n{d} AS (SELECT p{d} AS path, {parent} AS parent, sum(tokens)::BIGINT * {max_epochs} AS capacity FROM leaf GROUP BY ALL)",
+            f"o{d} AS (SELECT n.*, coalesce(w.weight, 1)::BIGINT AS weight, b.budget AS total FROM n{d} n JOIN b{d - 1} b ON n.parent = b.path "
+            "LEFT JOIN wt w ON n.path = w.path)",
+            f"s{d} AS (SELECT *, total - coalesce(sum(capacity) OVER prior, 0)::BIGINT AS lt, "
+            f"sum(weight) OVER (PARTITION BY parent)::BIGINT - coalesce(sum(weight) OVER prior, 0)::BIGINT AS lw FROM o{d} WHERE weight > 0 "
+            "WINDOW prior AS (PARTITION BY parent ORDER BY capacity / weight, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+            f"f{d} AS (SELECT *, bool_and(lt * weight >= capacity * lw) OVER (PARTITION BY parent ORDER BY capacity / weight, path) AS full_ FROM s{d})",
+            f"b{d} AS (SELECT path, CASE WHEN full_ THEN capacity ELSE ((total - coalesce(sum(capacity) FILTER (full_) OVER fam, 0)::BIGINT) * weight) "
+            f"// (sum(weight) FILTER (NOT full_) OVER fam)::BIGINT END AS budget FROM f{d} WINDOW fam AS (PARTITION BY parent))",
+        ]
+    ctes += [
+        "plan AS (SELECT l.p3, b.budget // l.tokens AS whole, b.budget % l.tokens AS part FROM leaf l JOIN b3 b ON l.p3 = b.path WHERE l.tokens > 0)",
+        f"ord AS (SELECT t.*, whole, part, md5('{seed}:' || whole || ':' || doc_id) AS okey FROM tok t JOIN plan p ON t.p3 = p.p3)",
+        "run AS (SELECT *, sum(tokens) OVER (PARTITION BY p3 ORDER BY okey) - sum(tokens) OVER (PARTITION BY p3, okey) AS start FROM ord)",
+    ]
+    return "WITH " + ", ".join(ctes) + (
+        " SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN start < part THEN 1 ELSE 0 END AS INTEGER) AS epochs "
+        "FROM run WHERE whole > 0 OR start < part"
+    )
+
+
+#: Weights of the registered mix; every other node has weight 1.
+MIX_WEIGHTS = [(("d0",), 5), (("d1",), 3), (("d2",), 2), (("d0", "en"), 3), (("d1", "en"), 4), (("d1", "de"), 2), (("d2", "fr"), 6), (("d0", "en", "src0"), 9)]
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = (4, 5), 2, 17
+MIX_DOMAIN = "'d' || (ascii(right(source, 1)) % 3)"
+OP2_HIERARCHICAL_MIX = mixing_sql(f"(SELECT *, {MIX_DOMAIN} AS domain FROM documents)", MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
