@@ -72,7 +72,13 @@ def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terradrift.llm.templates import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_hierarchical_mix, op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op8_warc_chunks)
+    f.__name__: f for f in (op2_hierarchical_mix, op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op8_warc_chunks, op10_benchmark_templates)
 }
 ORACLES: dict[str, str] = {name: getattr(sql, name.upper()) for name in QUERIES if hasattr(sql, name.upper())}

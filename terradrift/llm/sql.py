@@ -89,3 +89,47 @@ MIX_WEIGHTS = [(("d0",), 5), (("d1",), 3), (("d2",), 2), (("d0", "en"), 3), (("d
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = (4, 5), 2, 17
 MIX_DOMAIN = "'d' || (ascii(right(source, 1)) % 3)"
 OP2_HIERARCHICAL_MIX = mixing_sql(f"(SELECT *, {MIX_DOMAIN} AS domain FROM documents)", MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
+def _leak_sql() -> str:
+    from terradrift.llm.templates import TOKEN, UNITS
+
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    number = "regexp_matches({0}, '^[0-9]')"
+    kind = (
+        f"CASE WHEN {number.format('w[i]')} THEN '<number>' WHEN i > 1 AND {number.format('w[i - 1]')} AND lower(w[i]) IN ({units}) THEN '<unit>' "
+        "WHEN left(w[i], 1) <> left(lower(w[i]), 1) THEN '<name>' ELSE lower(w[i]) END"
+    )
+    token = TOKEN.replace("'", "''")
+
+    def templates(source: str, key: str) -> str:
+        return (
+            f"SELECT {key}, w, list_transform(range(1, len(w) + 1), lambda i: {kind}) AS t FROM "
+            f"(SELECT {key}, regexp_extract_all(coalesce(text, ''), '{token}') AS w FROM {source})"
+        )
+
+    return f"""
+    WITH item0 AS ({templates('benchmark', 'item_id')}),
+    item AS (SELECT min(item_id) AS item_id, arg_min(w, item_id) AS w, t, least(len(t), 10) AS size FROM item0 WHERE len(w) > 0 GROUP BY t),
+    iw AS (SELECT item_id, size, unnest(range(len(t) - size + 1)) AS pos, t FROM item),
+    iwin AS (SELECT item_id, size, pos AS ipos, t[pos + 1 : pos + size] AS win FROM iw
+      WHERE len(list_filter(t[pos + 1 : pos + size], lambda x: x IN ('<number>', '<name>', '<unit>'))) * 2 <= size),
+    total AS (SELECT item_id, count(*) AS n FROM iwin GROUP BY item_id),
+    doc AS ({templates('documents', 'doc_id')}),
+    dw AS (SELECT doc_id, size, t, unnest(range(len(t) - size + 1)) AS pos FROM doc, (SELECT DISTINCT size FROM item) WHERE len(t) >= size),
+    dwin AS (SELECT doc_id, size, pos, t[pos + 1 : pos + size] AS win FROM dw),
+    pass AS (SELECT doc_id, item_id, pos - ipos AS shift, count(*) AS n_windows, min(ipos) AS first, max(ipos) + any_value(size) AS last
+      FROM dwin JOIN iwin USING (size, win) GROUP BY ALL),
+    span AS (SELECT p.*, list_filter(list_zip(i.t[first + 1 : last], i.w[first + 1 : last], d.w[first + shift + 1 : last + shift]),
+        lambda z: z[1] IN ('<number>', '<name>', '<unit>')) AS slots
+      FROM pass p JOIN total USING (item_id) JOIN item i USING (item_id) JOIN doc d USING (doc_id) WHERE n_windows >= least(3, n)),
+    good AS (SELECT * FROM span WHERE
+      len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda z: (z[1], z[2])))) AND
+      len(list_distinct(list_transform(list_filter(slots, lambda z: z[1] = '<name>'), lambda z: (z[2], z[3]))))
+        = len(list_distinct(list_transform(list_filter(slots, lambda z: z[1] = '<name>'), lambda z: z[3]))))
+    SELECT doc_id, item_id, max((n_windows, len(slots)))[1] AS n_windows, CAST(max((n_windows, len(slots)))[2] AS INTEGER) AS n_slots,
+      max(len(list_filter(slots, lambda z: z[2] <> z[3])) = 0) AS exact FROM good GROUP BY doc_id, item_id
+    """
+
+
+OP10_BENCHMARK_TEMPLATES = _leak_sql()
