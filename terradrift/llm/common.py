@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,20 @@ def single_threaded() -> None:
 def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Broadcast hint for a written table of at most ``max_rows`` narrow rows; a longer one is joined by shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def measured(texts: pa.Array, measure: Callable[[str], object], rows: int = 256) -> list:
+    """``measure`` of every text; only ``rows`` texts are Python strings at a time, a null counts as empty."""
+    out: list = []
+    for at in range(0, len(texts), rows):
+        out += [measure(t or "") for t in texts.slice(at, rows).to_pylist()]
+    return out
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; memory of one is given back before the next is read."""
+    for batch in batches:
+        if batch.num_rows:
+            yield batch
+        del batch
+        pa.default_memory_pool().release_unused()

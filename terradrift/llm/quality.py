@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from terradrift.llm.common import one_label, single_threaded, text_or_empty
+from terradrift.llm.common import measured, one_label, released, single_threaded, text_or_empty
 from terradrift.session import save_table
 
 STATISTICS = (
@@ -105,13 +105,12 @@ def with_statistics(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` columns plus ``stats``, an array per row."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[keep].copy()
-            out["stats"] = [statistics(t) for t in batch["body"]]
-            yield out
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in released(batches):
+            stats = pa.array(measured(batch.column(0), statistics), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], stats], names=[*keep, "stats"])
 
-    return docs.select(*keep, text_or_empty(text).alias("body")).mapInPandas(measure, f"{fields}, stats array<double>")
+    return docs.select(text_or_empty(text).alias("body"), *keep).mapInArrow(measure, f"{fields}, stats array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, key: str = "doc_id", text: str = "text",
@@ -187,10 +186,8 @@ def _with_score(docs: DataFrame, text: str, model: Model, threshold: float | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            score = model.score(np.array([statistics(t) for t in batch.column(0).to_pylist()]))
+        for batch in released(batches):
+            score = model.score(np.array(measured(batch.column(0), statistics)))
             names = [*batch.schema.names[1:], "_score"]
             out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], names=names)
             yield out if threshold is None else out.filter(pa.array(score >= threshold))
