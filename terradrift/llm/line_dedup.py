@@ -3,8 +3,8 @@
 Two lines are near when at most one character is inserted, deleted or replaced. Every line emits all its
 one-character deletions as hashed keys; equal keys meet in an aggregate that keeps the earliest line per key, so a
 key shared by millions of lines costs one row. Before that, the same idea at block size thins the lines out: a line
-emits itself without its i-th block, for two block counts, and only lines that share such a key with a different line
-go on. An edit lies within one block, so no near pair is lost.
+emits itself without its i-th block, and only lines that share such a key with a different line
+go on, for several block counts. An edit lies within one block, so no near pair is lost.
 """
 
 from __future__ import annotations
@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from terradrift.llm.common import small_side, text_or_empty
 from terradrift.session import save_table
 
-BLOCKS = (4, 16)
+BLOCKS = (4, 16, 64)
 
 
 def normalised(line: Column) -> Column:
     """Lower case, runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(line), "\\s+", " "))
+    # A search for single characters is many times cheaper than the expression, which few lines need.
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\r\v\f":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, "\\s+", " ")).otherwise(line)))
 
 
 def block_keys(line: Column, blocks: int) -> Column:
@@ -51,7 +55,7 @@ def deletion_keys(line: Column) -> Column:
     replaced = F.transform(each, lambda i: F.struct(F.xxhash64(F.lit("r"), i, without(i)).alias("key"), F.lit("r").alias("role")))
     deleted = F.transform(each, lambda i: F.struct(F.xxhash64(F.lit("d"), without(i)).alias("key"), F.lit("d").alias("role")))
     own = F.array(F.struct(F.xxhash64(F.lit("d"), line).alias("key"), F.lit("s").alias("role")))
-    return F.array_distinct(F.concat(replaced, deleted, own))
+    return F.concat(replaced, deleted, own)
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
@@ -96,22 +100,19 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         distinct = save_table(distinct.join(again, "h", "left_semi"), "line-distinct")
 
     # The earliest line per deletion key: replaced characters among lines of a length, deletions against whole lines.
-    me = F.struct("first", "h", "h2")
-    emitted = distinct.select("first", "h", "h2", F.explode(deletion_keys(F.col("norm"))).alias("k")).select(
-        "first", "h", "h2", "k.key", "k.role")
-    earliest = emitted.groupBy("key").agg(
-        F.min(F.when(F.col("role") == "r", me)).alias("r"), F.min(F.when(F.col("role") == "d", me)).alias("d"),
-        F.min(F.when(F.col("role") == "s", me)).alias("s"), F.count("*").alias("n"),
-    ).filter("n > 1")
+    # Ids given after a global sort rise with the first position, so one number stands for it.
+    ranked = save_table(distinct.orderBy("first").withColumn("rank", F.monotonically_increasing_id()), "line-ranked")
+    emitted = ranked.select("rank", F.explode(deletion_keys(F.col("norm"))).alias("k")).select("rank", "k.key", "k.role")
+
+    def earliest(role: str) -> Column:
+        return F.min(F.when(F.col("role") == role, F.col("rank"))).alias(role)
+
+    groups = emitted.groupBy("key").agg(*[earliest(r) for r in "rds"], F.count("*").alias("n")).filter("n > 1")
     other = F.when(F.col("role") == "r", F.col("r")).when(F.col("role") == "d", F.col("s")).otherwise(F.col("d"))
-    candidates = emitted.join(earliest, "key").select("first", "h", "h2", other.alias("other")).filter(
-        F.col("other").isNotNull() & (F.col("other.first") < F.col("first"))).distinct()
-    leader = distinct.select(F.col("h").alias("oh"), F.col("h2").alias("oh2"), F.col("norm").alias("other_norm"))
-    own = distinct.select("h", "h2", "norm")
-    verified = (
-        candidates.withColumns({"oh": F.col("other.h"), "oh2": F.col("other.h2")}).join(leader, ["oh", "oh2"]).join(own, ["h", "h2"])
-        .filter(F.levenshtein("norm", "other_norm", 1) >= 0).select("h", "h2").distinct()
-    )
+    candidates = emitted.join(groups, "key").select("rank", other.alias("other")).filter("other < rank").distinct()
+    leader = ranked.select(F.col("rank").alias("other"), F.col("norm").alias("other_norm"))
+    verified = candidates.join(leader, "other").join(ranked.select("rank", "h", "h2", "norm"), "rank").filter(
+        F.levenshtein("norm", "other_norm", 1) >= 0).select("h", "h2").distinct()
     verified = save_table(verified, "line-close")
     close = lines.select("pos", "h", "h2").join(small_side(verified), ["h", "h2"], "left_semi").select("pos")
     gone = equal.unionByName(close).distinct()
