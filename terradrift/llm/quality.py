@@ -179,20 +179,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, key: str
     return model._replace(weights=weights, knots=knots, values=values)
 
 
-def _with_score(docs: DataFrame, text: str, model: Model, threshold: float | None = None) -> DataFrame:
-    """All columns of ``docs`` by position plus a last column ``_score``; with a threshold only rows that reach it."""
-    schema = StructType([StructField(f"_{i}", f.dataType) for i, f in enumerate(docs.schema)])
-    rows = docs.select(text_or_empty(text).alias("_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
+def _with_score(docs: DataFrame, text: str, keep: list[str], model: Model, threshold: float | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` by position plus a last column ``_score``; with a threshold only rows that reach it."""
+    names = keep if text in keep else [*keep, text]
+    rows = docs.select(*[F.col(f"`{c}`").cast("string" if c == text else f.dataType).alias(f"_{i}")
+                         for i, (c, f) in enumerate((c, docs.select(F.col(f"`{c}`")).schema[0]) for c in names)])
+    at = names.index(text)
+    out_fields = [StructField(f"_{i}", rows.schema[i].dataType) for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded()
         for batch in released(batches):
-            score = model.score(np.array(measured(batch.column(0), statistics)))
-            names = [*batch.schema.names[1:], "_score"]
-            out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], names=names)
+            score = model.score(np.array(measured(batch.column(at), statistics)))
+            columns = [*batch.columns[: len(keep)], pa.array(score, pa.float64())]
+            out = pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(keep)], "_score"])
             yield out if threshold is None else out.filter(pa.array(score >= threshold))
 
-    return rows.mapInArrow(run, StructType([*schema, StructField("_score", DoubleType())]))
+    return rows.mapInArrow(run, StructType([*out_fields, StructField("_score", DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,11 +204,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     Null and empty texts have all statistics 0 and get the score of such a text. Null keys and repeated rows are kept;
     other columns are not read.
     """
-    scored = _with_score(docs.select(F.col(key), F.col(text)), text, model)
+    scored = _with_score(docs, text, [key], model)
     return scored.select(F.col("_0").alias("doc_id"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose score reaches ``threshold``, with all their columns; nothing is shuffled."""
-    kept = _with_score(docs, text, model, threshold)
+    kept = _with_score(docs, text, docs.columns, model, threshold)
     return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
