@@ -72,6 +72,12 @@ def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terradrift.llm.shingle_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terradrift.llm.templates import find_leaks
 
@@ -79,6 +85,6 @@ def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_hierarchical_mix, op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op8_warc_chunks, op10_benchmark_templates)
+    f.__name__: f for f in (op2_hierarchical_mix, op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op8_warc_chunks, op9_jaccard_prefixes, op10_benchmark_templates)
 }
 ORACLES: dict[str, str] = {name: getattr(sql, name.upper()) for name in QUERIES if hasattr(sql, name.upper())}

@@ -133,3 +133,20 @@ def _leak_sql() -> str:
 
 
 OP10_BENCHMARK_TEMPLATES = _leak_sql()
+
+
+OP9_JACCARD_PREFIXES = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: w[i : i + 4]) END) AS s FROM w
+), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+tok AS (SELECT doc_id, unnest(s) AS t FROM s),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM tok a JOIN tok b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.id, w.b FROM reach r JOIN ways w ON r.other = w.a)
+SELECT n.doc_id, n AS n_shingles, c AS component_id FROM n JOIN (SELECT id, min(other) AS c FROM reach GROUP BY id) ON id = n.doc_id
+"""
