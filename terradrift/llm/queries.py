@@ -54,6 +54,15 @@ def op6_line_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, count_as="n_dropped").select("doc_id", "n_lines", "n_dropped", F.md5(text_or_empty()).alias("text_md5"))
 
 
+def op7_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terradrift.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 5) != 0)
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC archives, read them back and report each record's totals from its last chunk."""
     from terradrift.llm.warc import dedup_payloads, read_archives, write_archives
@@ -85,6 +94,6 @@ def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_hierarchical_mix, op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op8_warc_chunks, op9_jaccard_prefixes, op10_benchmark_templates)
+    f.__name__: f for f in (op2_hierarchical_mix, op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op7_recurrent_toxicity, op8_warc_chunks, op9_jaccard_prefixes, op10_benchmark_templates)
 }
 ORACLES: dict[str, str] = {name: getattr(sql, name.upper()) for name in QUERIES if hasattr(sql, name.upper())}
