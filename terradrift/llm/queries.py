@@ -11,6 +11,12 @@ from terradrift.llm import sql
 from terradrift.llm.common import fold, table, text_or_empty
 
 
+def op1_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terradrift.llm.quotes import link_quotes
+
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The registered mix: domain, language and source; the domain comes from the source's last character."""
     from terradrift.llm.mixing import mix, node_path
@@ -94,6 +100,6 @@ def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_hierarchical_mix, op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op7_recurrent_toxicity, op8_warc_chunks, op9_jaccard_prefixes, op10_benchmark_templates)
+    f.__name__: f for f in (op1_quote_threads, op2_hierarchical_mix, op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op7_recurrent_toxicity, op8_warc_chunks, op9_jaccard_prefixes, op10_benchmark_templates)
 }
 ORACLES: dict[str, str] = {name: getattr(sql, name.upper()) for name in QUERIES if hasattr(sql, name.upper())}

@@ -224,7 +224,7 @@ class Scorer:
         return np.concatenate([forward(self.net, self.gates, windows[a : a + batch], windows[a : a + batch] == 0) for a in range(0, len(windows), batch)])
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 24, batch: int = 128, rate: float = 0.01, seed: int = 5,
+def train(texts: list[str], labels: np.ndarray, epochs: int = 14, batch: int = 128, rate: float = 0.01, seed: int = 5,
           min_docs: int = 4) -> tuple[Network, np.ndarray, float]:
     """Network, known word buckets and decision offset from labelled documents; deterministic for given inputs.
 
