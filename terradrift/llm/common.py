@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +59,29 @@ def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch
         del batch
         pa.default_memory_pool().release_unused()
+
+
+def hash_mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit words."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+_power_tables: dict[int, np.ndarray] = {}
+
+
+def hash_powers(base: np.uint64, n: int) -> np.ndarray:
+    """Powers 0 to ``n`` of an odd base modulo 2^64, from a table that grows as texts do."""
+    known = _power_tables.get(int(base))
+    if known is None or len(known) <= n:
+        size = max(2 * n, 4096) + 1
+        with np.errstate(over="ignore"):
+            known = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, dtype=np.uint64)]))
+        _power_tables[int(base)] = known
+    return known[: n + 1]
+
+
+def hash_inverse(base: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(base), -1, 1 << 64))

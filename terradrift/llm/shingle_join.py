@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terradrift.llm.common import measured, released, small_side, text_or_empty
+from terradrift.llm.common import hash_inverse, hash_mix, hash_powers, measured, released, small_side, text_or_empty
 from terradrift.operators.linking import connected_components
 from terradrift.session import save_table
 
@@ -32,24 +32,14 @@ _TOKEN_BITS = 44  # of the 64 bits of a shingle, those that travel in the candid
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_INVERSE = hash_inverse(_BASE)
+_mixed, _powers = hash_mix, hash_powers
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit words."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[_U(1)], np.full(n, base, dtype=np.uint64)]))
-
-
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of ``words`` words; of the whole sequence when it has fewer."""
     raw = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
