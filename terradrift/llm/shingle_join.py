@@ -1,6 +1,6 @@
 """Exact n-gram Jaccard join with adaptive multi-match prefixes.
 
-Documents are sets of hashed word shingles in one global order. Two sets of a Jaccard similarity t share a token in the
+Documents are sets of hashed word shingles in one common order, by hash, the most frequent ones last. Two sets of a Jaccard similarity t share a token in the
 first n - ceil(t * n) + 1 of each. Tokens that few documents have in that prefix generate pairs directly. A document
 whose prefix holds frequent tokens, so that it would cost many candidates, gets a longer prefix and must match more of
 it at once: of all tokens of both sets at most (1 - t) of the union differ, so the shared tokens, in order, are cut into
@@ -126,8 +126,9 @@ def _sorted_postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 class Join:
     """The join's parameters and steps over documents ``(doc_id, body)`` with unique meaning per id."""
 
-    def __init__(self, docs: DataFrame, words: int, threshold: tuple[int, int], frequent: int, run: int, block: int):
-        self.docs, self.words, self.t, self.frequent, self.run, self.block = docs, words, threshold, frequent, run, block
+    def __init__(self, docs: DataFrame, words: int, threshold: tuple[int, int], block: int):
+        self.docs, self.words, self.t, self.block = docs, words, threshold, block
+        self.common = np.zeros(0, dtype=np.int64)  # tokens that come last in the common order
 
     def _per_text(self, docs: DataFrame, keep: str, schema: str, make) -> DataFrame:
         """Rows that ``make(values of keep, sets)`` yields as column lists; ``docs`` has ``body`` first."""
@@ -155,11 +156,15 @@ class Join:
 
     def prefixes(self, docs: DataFrame, run: int, bucket: str) -> DataFrame:
         """``(doc_id, token)`` of the prefix: single tokens, or hashes of ``run`` tokens in a row."""
-        t, shift = self.t, _U(64 - _TOKEN_BITS)
+        t, shift, common = self.t, _U(64 - _TOKEN_BITS), self.common
+
+        def ordered(s: np.ndarray) -> np.ndarray:
+            last = np.isin((s >> shift).astype(np.int64), common)
+            return np.concatenate([s[~last], s[last]]) if last.any() else s
 
         def make(batch, sets):
             tokens, counts = [np.zeros(0, dtype=np.int64)], []
-            for s in sets:
+            for s in map(ordered, sets):
                 found = 0
                 for r in runs_of(len(s), t, run) if len(s) else ():
                     part = s[: prefix_length(len(s), t, r)]
@@ -278,17 +283,21 @@ def _still_open(members: DataFrame, bucket: str, roots: DataFrame, name: str) ->
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: tuple[int, int] = (4, 5),
-                      frequent: int = 24, run: int = 3, block: int = 1024) -> DataFrame:
+                      frequent: int = 64, common: float = 0.001, run: int = 3, block: int = 1024) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: one row per row of ``docs``.
 
     Two documents link when the Jaccard similarity of their sets of ``words``-word shingles is at least the threshold, a
     fraction. A to Z are lowered, words are what stands between blanks and the characters 9 to 13. A text of fewer words is
     one shingle; null, empty or blank texts have none, link with nothing and are their own component. ``component_id`` is
     the smallest id reachable by links. Rows that share an id are versions of one document and share its component; a
-    null id takes no part and has a null component. ``frequent`` is the most documents a token may have in plain prefixes.
+    null id takes no part and has a null component.
+
+    Tokens in the prefixes of more than the share ``common`` of the documents come last in the common order; there are at most
+    ``1 / common`` times the mean prefix length of them, so every task gets their list. ``frequent`` is the most documents a
+    token may have to generate pairs directly, ``run`` the tokens in a row that count beyond it. All of them steer the cost, none the result.
     """
     every = docs.select(F.col(key).cast("bigint").alias("doc_id"), text_or_empty(text).alias("body"))
-    join = Join(every, words, threshold, frequent, run, block)
+    join = Join(every, words, threshold, block)
     profiles = join.profiles()
     known = profiles.filter("doc_id IS NOT NULL AND n > 0")
     classes = save_table(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last"), "jaccard-classes")
@@ -298,6 +307,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     join.docs = once
     sizes = known.join(small_side(copies.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_anti")
 
+    counted = join.prefixes(once, 1, "token").groupBy("token").count()
+    least = max(frequent, int(common * sizes.count()))
+    join.common = np.array(sorted(r[0] for r in counted.filter(F.col("count") > least).select("token").collect()), dtype=np.int64)
+
     # First round: every document with the earliest one of the bucket leader it shares most tokens with.
     rows = save_table(join.prefixes(once, 1, "token"), "jaccard-prefixes")
     members = _buckets(rows, "token", "jaccard-members")
