@@ -8,7 +8,7 @@ from checks import raster_sql as R
 from checks.graph_queries import DELTA, NODE_SQL
 from checks.raster_queries import B3, FEATURE_SQL, _labelled, _pairs, _score
 from checks.registry import check, with_ctes
-from checks.views import LAT0, LON0, PX_SQL, SCENE_SQL, nodes_t1, nodes_t2, pixels, scenes, table
+from checks.views import LAT0, LON0, PX_SQL, SCENE_SQL, T2_EPOCH, nodes_t1, nodes_t2, pixels, scenes, table
 from terradrift.functions import pixel, text
 from terradrift.functions.registry import register_sql_functions
 from terradrift.operators import align, chips, guards, mosaic, vectors
@@ -599,16 +599,18 @@ def _(spark, d):
 
 
 @check("x3_epoch_ingestion", with_ctes(*DELTA, select=(
-    "SELECT 'EMERGED' AS status, count(*) AS n FROM added UNION ALL SELECT 'REMOVED', count(*) FROM removed UNION ALL "
-    "SELECT 'MODIFIED', count(*) FROM modified")))
+    "SELECT 'EMERGED' AS status, node_id FROM added UNION ALL SELECT 'REMOVED', node_id FROM removed UNION ALL "
+    "SELECT 'MODIFIED', old_id FROM modified")))
 def _(spark, d):
     import uuid
 
     root = f"{work_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    # One source folder per epoch run; each run resumes the same checkpoint.
-    for nodes in (nodes_t1(spark, d), nodes_t2(spark, d)):
-        nodes.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    # The first epoch comes in two batches of its own, its last part together with the second epoch.
+    first, second = nodes_t1(spark, d), nodes_t2(spark, d)
+    part = F.pmod(F.xxhash64("node_id"), F.lit(3))
+    for nodes in (first.filter(part == 0), first.filter(part == 1), first.filter(part == 2).unionByName(second)):
+        nodes.repartition(2).write.mode("append").parquet(f"{root}/in")
         source = spark.readStream.schema(nodes.schema).parquet(f"{root}/in")
         stream.ingest_epochs(source, f"{root}/base", f"{root}/delta", LAT0, LON0, f"{root}/checkpoint").awaitTermination()
-    delta = spark.read.parquet(f"{root}/delta").filter("batch = 1")
-    return delta.groupBy("status").agg(F.count("*").alias("n"))
+    delta = spark.read.parquet(f"{root}/delta").filter(F.col("delta_epoch") == F.lit(T2_EPOCH).cast("date"))
+    return delta.select("status", "node_id")

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE, TILE_KEYS, drop_halo, with_halo
+from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE, at_offset, drop_halo, with_halo
 
 MIN_CORRELATION = 0.65
 MIN_SPREAD = 1e-4
@@ -34,13 +33,8 @@ def shift_scores(planes: DataFrame, reach: int = 2, tile: int = DEFAULT_TILE) ->
     steps = range(-reach, reach + 1)
     tiles = with_halo(planes.select(*PIXEL_KEYS, "l1", "l2"), reach, tile)
 
-    def moved(value: str, axis: str, d: int) -> Column:
-        across = "row" if axis == "col" else "col"
-        line = W.partitionBy(*TILE_KEYS, across).orderBy(axis)
-        return F.col(value) if d == 0 else (F.lag(value, -d) if d < 0 else F.lead(value, d)).over(line)
-
-    tiles = tiles.withColumns({_name("v", dy): moved("l2", "row", dy) for dy in steps})
-    tiles = tiles.withColumns({_name("s", dy, dx): moved(_name("v", dy), "col", dx) for dy in steps for dx in steps})
+    tiles = tiles.withColumns({_name("v", dy): at_offset("l2", "row", dy) for dy in steps})
+    tiles = tiles.withColumns({_name("s", dy, dx): at_offset(_name("v", dy), "col", dx) for dy in steps for dx in steps})
     scores = [_correlation("l1", _name("s", dy, dx)).alias(_name("s", dy, dx)) for dy in steps for dx in steps]
     spread = F.least(F.stddev_pop("l1"), F.stddev_pop("l2")).alias("spread")
     wide = drop_halo(tiles, tile).groupBy(SCENE).agg(spread, *scores)

@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terradrift.operators.linking import connected_components
 from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE, TILE_KEYS, with_tile
 from terradrift.session import save_table
 
 # Neighbours that come later in row-major order, so that each touching pair is met once.
 FORWARD = {8: ((0, 1), (1, -1), (1, 0), (1, 1)), 4: ((0, 1), (1, 0))}
 _ROW_SHIFT = 32
-# Links of a cross-tile graph that one task solves in memory; larger graphs run in rounds.
-SMALL_GRAPH = 500_000
 
 
 def pixel_label(row: Column, col: Column) -> Column:
@@ -81,56 +80,8 @@ def _seam_pairs(local: DataFrame, tile: int, connectivity: int) -> DataFrame:
     )
 
 
-def _solve_scene(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids, flat = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)
-    ends = flat.reshape(-1, 2)
-    root = _smallest_reachable(len(ids), ends[:, 0], ends[:, 1])
-    moved = root != np.arange(len(ids))
-    return pd.DataFrame({SCENE: pdf[SCENE].iloc[0], "u": ids[moved], "root": ids[root[moved]]})
-
-
-def connected_roots(pairs: DataFrame, small_limit: int = SMALL_GRAPH) -> DataFrame:
-    """Smallest member of each group of linked ids: ``(scene_id, u, root)`` for all u that are not roots.
-
-    ``pairs`` is a saved table ``(scene_id, u, v)`` with u > v. A graph counted to be at most
-    ``small_limit`` links in total is solved scene by scene in memory. Otherwise rounds of "attach larger neighbours to my
-    minimum" and "attach smaller ones to my minimum" turn every group into a star in
-    O(log^2 n) rounds, whatever its shape. Only minima are aggregated, never neighbour
-    lists, so a hub is handled by map-side aggregation and the runtime skew join.
-    Each round is a written table, so a lost executor repeats one round at most.
-    """
-    if pairs.count() <= small_limit:
-        id_type = pairs.schema["u"].dataType.simpleString()
-        return pairs.groupBy(SCENE).applyInPandas(_solve_scene, f"{SCENE} string, u {id_type}, root {id_type}")
-    edges = pairs
-    while True:
-        # Both ways, then hand each larger neighbour to the smallest one.
-        ways = edges.select(SCENE, "u", "v").unionByName(edges.select(SCENE, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy(SCENE, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = (
-            ways.filter("v > u")
-            .join(least, [SCENE, "u"])
-            .select(SCENE, F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        large = save_table(large, "links")
-        # Then hand smaller neighbours of one id to the smallest of them.
-        least = large.groupBy(SCENE, "u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, [SCENE, "u"])
-            .filter("v > m")
-            .select(SCENE, F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select(SCENE, "u", F.col("m").alias("v")))
-            .distinct()
-        )
-        edges = save_table(small, "links")
-        parents = edges.select(SCENE, F.col("v").alias("u"))
-        if edges.join(parents, [SCENE, "u"], "left_semi").isEmpty():
-            return edges.select(SCENE, "u", F.col("v").alias("root"))
-
-
 def label_components(
-    mask: DataFrame, tile: int = DEFAULT_TILE, small_limit: int = SMALL_GRAPH, connectivity: int = 8
+    mask: DataFrame, tile: int = DEFAULT_TILE, connectivity: int = 8
 ) -> DataFrame:
     """Add ``label``, the component of each row of a mask table, joining all 8 (or only 4) neighbours.
 
@@ -149,7 +100,7 @@ def label_components(
     seams = save_table(_seam_pairs(local, tile, connectivity), "seams")
     if seams.isEmpty():
         return local
-    roots = connected_roots(seams, small_limit).withColumnRenamed("u", "label")
+    roots = connected_components(seams, "u", "v", by=[SCENE]).withColumnRenamed("id", "label")
     return (
         local.join(roots, [SCENE, "label"], "left")
         .withColumn("label", F.coalesce("root", "label"))

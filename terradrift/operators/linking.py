@@ -13,44 +13,47 @@ from pyspark.sql import functions as F
 from terradrift.session import save_table
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _both_ways(edges: DataFrame, by: list[str]) -> DataFrame:
+    return edges.unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, by: list[str]) -> DataFrame:
     """``(larger neighbour, smallest of the neighbourhood)`` for every vertex."""
-    ways = _both_ways(edges)
-    least = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return ways.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    ways = _both_ways(edges, by)
+    least = ways.groupBy(*by, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
+    larger = ways.filter(F.col("b") > F.col("a")).join(least, [*by, "a"])
+    return larger.select(*by, F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, by: list[str]) -> DataFrame:
     """``(smaller neighbour or the vertex itself, smallest)`` among the neighbours not above a vertex."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    down = edges.select(*by, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = down.groupBy(*by, "a").agg(F.min("b").alias("m"))
+    moved = down.join(least, [*by, "a"]).select(*by, F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select(*by, "a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a") % 1_000_003).alias("s")).first()
-    return tuple(row)
+def _mark(edges: DataFrame, by: list[str]) -> tuple:
+    """Count and two order-free digests of an edge table."""
+    one, two = F.xxhash64(*by, "a", "b"), F.xxhash64(F.lit(1), *by, "b", "a")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(one), F.sum(two % 1_000_003)).first())
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``(id, root)`` of every vertex that has an edge; ``root`` is the smallest id of its component, its own included.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", by: list[str] | None = None) -> DataFrame:
+    """``(by.., id, root)`` of every vertex that has an edge; ``root`` is the smallest id of its component, its own included.
 
-    Ids may be of any ordered type. Edges with a null end and loops say nothing and are left out; repeated edges and both
-    directions are allowed. Vertices without an edge to another one are not listed.
+    Ids may be of any ordered type; with ``by`` they are names within those columns. Edges with a null end and loops say
+    nothing and are left out; repeated edges and both directions are allowed. Vertices without an edge to another are not listed.
     """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
-    now = save_table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = _mark(now)
+    by = by or []
+    pairs = edges.select(*by, F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    now = save_table(pairs.select(*by, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    mark = _mark(now, by)
     while mark[0]:
-        now = save_table(_small_star(save_table(_large_star(now), "links")), "links")
-        mark, before = _mark(now), mark
+        now = save_table(_small_star(save_table(_large_star(now, by), "links"), by), "links")
+        mark, before = _mark(now, by), mark
         if mark == before:
             break
     # Unchanged by both steps: every edge joins a vertex to its root, and a vertex has one edge.
-    return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(
-        now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    return now.select(*by, F.col("a").alias("id"), F.col("b").alias("root")).unionByName(
+        now.select(*by, F.col("b").alias("id"), F.col("b").alias("root")).distinct())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from terradrift.functions.pixel import clip, luminance, valid_or_null
-from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE, TILE_KEYS, drop_halo, with_halo
+from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE, along, at_offset, drop_halo, with_halo
 from terradrift.session import save_table
 
 EPSILON = 1e-6
@@ -183,33 +183,27 @@ def blur_weights(ksize: int) -> list[float]:
     return [x / sum(raw) for x in raw]
 
 
-def _line(axis: str):
-    across = "row" if axis == "col" else "col"
-    return W.partitionBy(*TILE_KEYS, across).orderBy(axis)
-
-
-def _shifted(value: str, axis: str, d: int) -> Column:
-    if d == 0:
-        return F.col(value)
-    return (F.lag(value, -d) if d < 0 else F.lead(value, d)).over(_line(axis))
-
-
 def _blur_axis(px: DataFrame, value: str, axis: str, size: str, weights: list[float]) -> DataFrame:
-    """Weighted sum along one axis; positions past the raster are mirrored about the edge pixel."""
+    """Weighted mean along one axis; positions past the raster are mirrored about the edge pixel, as often as it takes.
+
+    Missing pixels have no say: the weights of the others are scaled up to one.
+    """
     k = len(weights) // 2
     offsets = range(-k, k + 1)
-    moved = px.withColumns({f"_n{d + k}": _shifted(value, axis, d) for d in offsets})
-    pos, last = F.col(axis), F.col(size) - 1
+    moved = px.withColumns({f"_n{d + k}": at_offset(value, axis, d) for d in offsets})
+    near = F.array(*[F.col(f"_n{d + k}") for d in offsets])
+    period = F.greatest(2 * (F.col(size) - 1), F.lit(1))
 
     def sample(d: int) -> Column:
-        plain = F.col(f"_n{d + k}")
-        for i in range(abs(d)):  # i pixels away from the near edge
-            mirrored = F.col(f"_n{(-2 * i - d if d < 0 else 2 * i - d) + k}")
-            plain = F.when((pos if d < 0 else last - pos) == i, mirrored).otherwise(plain)
-        return plain
+        place = F.pmod(F.col(axis) + d, period)
+        mirrored = F.when(F.col(size) == 1, F.lit(0)).otherwise(F.least(place, period - place))
+        return F.element_at(near, mirrored - F.col(axis) + k + 1)
 
-    total = reduce(lambda a, b: a + b, [weights[d + k] * sample(d) for d in offsets])
-    return moved.withColumn(value, total).drop(*[f"_n{d + k}" for d in offsets])
+    seen = {d: sample(d) for d in offsets}
+    total = reduce(lambda a, b: a + b, [weights[d + k] * seen[d] for d in offsets])
+    some = reduce(lambda a, b: a + b, [F.coalesce(weights[d + k] * seen[d], F.lit(0.0)) for d in offsets])
+    weight = reduce(lambda a, b: a + b, [F.when(seen[d].isNotNull(), weights[d + k]).otherwise(0.0) for d in offsets])
+    return moved.withColumn(value, F.coalesce(total, F.try_divide(some, weight))).drop(*[f"_n{d + k}" for d in offsets])
 
 
 def gaussian_blur(px: DataFrame, value: str, dims: DataFrame, ksize: int = 5, tile: int = DEFAULT_TILE) -> DataFrame:
@@ -232,8 +226,8 @@ def opening(px: DataFrame, flag: str, kernel: int = 3, tile: int = DEFAULT_TILE)
     if r == 0:
         return px
     tiles = with_halo(px, 2 * r, tile)
-    for axis, pick in (("col", F.least), ("row", F.least), ("row", F.greatest), ("col", F.greatest)):
-        tiles = tiles.withColumn(flag, pick(*[_shifted(flag, axis, d) for d in range(-r, r + 1)]))
+    for axis, pick in (("col", F.min), ("row", F.min), ("row", F.max), ("col", F.max)):
+        tiles = tiles.withColumn(flag, pick(flag).over(along(axis, -r, r)))
     return drop_halo(tiles, tile)
 
 

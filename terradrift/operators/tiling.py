@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCENE = "scene_id"
@@ -42,3 +43,14 @@ def drop_halo(px: DataFrame, tile: int = DEFAULT_TILE) -> DataFrame:
     """Keep only pixels of the tile proper."""
     inside = (F.floor(F.col("row") / tile) == F.col("tile_r")) & (F.floor(F.col("col") / tile) == F.col("tile_c"))
     return px.filter(inside).drop("tile_r", "tile_c")
+
+
+def along(axis: str, low: int, high: int):
+    """Window over the pixels of the tile's line whose position on ``axis`` is ``low`` to ``high`` away; gaps stay gaps."""
+    across = "row" if axis == "col" else "col"
+    return W.partitionBy(*TILE_KEYS, across).orderBy(axis).rangeBetween(low, high)
+
+
+def at_offset(value: str, axis: str, d: int) -> Column:
+    """The value ``d`` positions away on ``axis``, NULL where that pixel is missing."""
+    return F.col(value) if d == 0 else F.max(value).over(along(axis, d, d))

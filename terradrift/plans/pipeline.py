@@ -133,12 +133,15 @@ def vectorise(score: DataFrame, grid: DataFrame, wanted: DataFrame, tile: int =
 
 
 def save_scores(analysis: Analysis, requests: DataFrame, path: str) -> None:
-    """Store score maps by request key; the key is a digest of box and dates."""
+    """Store score maps by request key, a digest of box and dates; a key stored before is replaced.
+
+    Requests with equal keys have equal maps, of which the one of the smallest request id is stored.
+    """
     box = F.concat_ws(",", *REQUEST_BOX)
-    keys = requests.select(F.col("request_id").alias(SCENE), cache_key(box, "t1", "t2").alias("cache_key"))
+    keys = requests.groupBy(cache_key(box, "t1", "t2").alias("cache_key")).agg(F.min("request_id").alias(SCENE))
     grid = analysis.windows.select(F.col("request_id").alias(SCENE), F.col("window_affine").alias("affine"))
     stored = analysis.scores.join(keys, SCENE).join(grid, SCENE)
-    stored.write.mode("append").partitionBy("cache_key").parquet(path)
+    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(path)
 
 
 def requery(spark: SparkSession, path: str, key: str, tau: float, class_name: str, tile: int = DEFAULT_TILE) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,43 +62,57 @@ def latest_baseline(nodes: DataFrame, history: DataFrame, key: str = "site_id")
 def ingest_epochs(
     stream: DataFrame, baseline_path: str, delta_path: str, lat0: float, lon0: float, checkpoint: str | None = None
 ) -> StreamingQuery:
-    """Compare each arriving batch of nodes with the stored baseline and append the difference.
+    """Keep the nodes of every epoch and, per epoch, the difference to the latest earlier one.
 
-    A batch is one epoch's nodes; the latest stored epoch is the baseline. Output folders are
-    named by batch id and overwritten, so a replayed batch does not count twice.
+    Batches are not epochs: an epoch may arrive in several files or batches, several epochs in one batch, and a late file
+    may extend an old one. A batch adds its nodes to their epochs and recomputes the difference of every epoch it touched and
+    of the one after it; both tables are overwritten by epoch, so a replayed batch changes nothing. Of several rows of a
+    node in an epoch one is kept, the same whatever the order of arrival.
     """
     spark = stream.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        fresh = save_table(batch.dropDuplicates(["node_id"]), "batch")
-        if fresh.isEmpty():
+        fresh = save_table(batch, "batch")
+        touched = [r[0] for r in fresh.select("epoch").distinct().collect()]  # one value per epoch of a batch
+        if not touched:
             return
-        before = _latest(spark, baseline_path, batch_id)
-        if before is None:
-            changes = tagged_delta(fresh, fresh.limit(0), _no_changes(fresh))
-        else:
-            matches = save_table(match_nodes(before, fresh, lat0, lon0), "matches")
-            changes = tagged_delta(
-                added_nodes(fresh, matches), removed_nodes(before, matches), modified_nodes(before, fresh, matches)
-            )
-        changes.write.mode("overwrite").parquet(f"{delta_path}/batch={batch_id}")
-        fresh.write.mode("overwrite").parquet(f"{baseline_path}/batch={batch_id}")
-
-    place = checkpoint or f"{work_dir(spark)}/ingest-checkpoint"
+        stored = _stored(spark, baseline_path, fresh)
+        merged = fresh if stored is None else fresh.unionByName(stored.filter(F.col("epoch").isin(touched)))
+        row = F.struct(*merged.columns)
+        one = merged.groupBy("epoch", "node_id").agg(F.max_by(row, F.sha2(F.to_json(row), 256)).alias("_r")).select("_r.*")
+        _overwrite(save_table(one, "epoch-nodes"), baseline_path)
+        nodes = _stored(spark, baseline_path, fresh)
+        epochs = sorted(r[0] for r in nodes.select("epoch").distinct().collect())
+        later = {epochs[i + 1] for i in range(len(epochs) - 1) if epochs[i] in touched}
+        for epoch in sorted(later.union(touched)):
+            at = epochs.index(epoch)
+            now = nodes.filter(F.col("epoch") == epoch)
+            if at == 0:
+                changes = tagged_delta(now, now.limit(0), _no_changes(now))
+            else:
+                before = nodes.filter(F.col("epoch") == epochs[at - 1])
+                matches = save_table(match_nodes(before, now, lat0, lon0), "matches")
+                changes = tagged_delta(added_nodes(now, matches), removed_nodes(before, matches), modified_nodes(before, now, matches))
+            _overwrite(changes.withColumn("delta_epoch", F.lit(epoch)), delta_path, "delta_epoch")
+
+    place = checkpoint or f"{work_dir(spark)}/ingest-checkpoint-{uuid.uuid4().hex}"
     return (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", place).trigger(availableNow=True).start()
     )
 
 
-def _latest(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
+def _overwrite(df: DataFrame, path: str, by: str = "epoch") -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
+    """The stored nodes in the columns of ``like``; None before the first batch."""
     try:
-        stored = spark.read.parquet(path).filter(F.col("batch") < before_batch)
-    except Exception as e:  # no batch has been stored yet
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        return spark.read.schema(like.schema).parquet(path).select(*like.columns)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    last = stored.agg(F.max("batch")).first()[0]
-    return None if last is None else stored.filter(F.col("batch") == last).drop("batch")
 
 
 def _no_changes(nodes: DataFrame) -> DataFrame:

@@ -109,24 +109,22 @@ def test_cloud_guard_without_pixels_is_clear(spark):
 
 
 @pytest.mark.parametrize("tile", [16, 256])
-@pytest.mark.parametrize("small_limit", [0, 10**6])
-def test_components_match_flood_fill(spark, tile, small_limit):
+def test_components_match_flood_fill(spark, tile):
     mask = np.random.default_rng(1).random((60, 70)) < 0.42
     set_px = pixel_frame(spark, {"flag": mask.astype(int)}).filter("flag = 1")
-    out = components.label_components(set_px, tile, small_limit).collect()
+    out = components.label_components(set_px, tile).collect()
     want = flood_labels(mask)
     assert len(out) == mask.sum()
     assert all(want[r.row, r.col] == r.label for r in out)
 
 
-@pytest.mark.parametrize("small_limit", [0, 10**6])
-def test_snake_across_tiles_is_one_component(spark, small_limit):
+def test_snake_across_tiles_is_one_component(spark):
     mask = np.zeros((33, 33), int)
     mask[::4] = 1
     for i, r in enumerate(range(0, 32, 4)):
         mask[r : r + 4, 32 if i % 2 == 0 else 0] = 1
     set_px = pixel_frame(spark, {"flag": mask}).filter("flag = 1")
-    assert components.label_components(set_px, 8, small_limit).select("label").distinct().count() == 1
+    assert components.label_components(set_px, 8).select("label").distinct().count() == 1
 
 
 @pytest.mark.parametrize("small_limit", [0, 10**6])
@@ -310,3 +308,48 @@ def test_opening_shuffles_once(spark):
     px = save_table(pixel_frame(spark, {"flag": np.ones((20, 20), int)}), "px")
     plan = raster.opening(px, "flag")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_w_shaped_mask_crosses_seams_once(spark):
+    """Pieces that meet only through a third one, with two neighbours each: every pixel once, one label."""
+    mask = np.zeros((8, 20), int)
+    for c in range(20):
+        mask[abs(c % 8 - 4), c] = 1
+    set_px = pixel_frame(spark, {"flag": mask}).filter("flag = 1")
+    out = components.label_components(set_px, 4).collect()
+    assert len(out) == mask.sum() and len({r.label for r in out}) == 1
+
+
+def test_linked_ids_with_two_parents(spark):
+    from terradrift.operators.linking import connected_components
+
+    links = spark.createDataFrame([("s", 4, 3), ("s", 4, 1), ("s", 5, 3), ("s", 5, 2), ("t", 5, 4)], "scene_id string, u long, v long")
+    got = {(r["scene_id"], r["id"]): r["root"] for r in connected_components(links, "u", "v", by=["scene_id"]).collect()}
+    assert got == {("s", i): 1 for i in (1, 2, 3, 4, 5)} | {("t", 4): 4, ("t", 5): 4}
+
+
+def test_opening_goes_by_position_across_gaps(spark):
+    cols = [0, 1, 2, 20, 40, 41, 42]
+    grid = np.ones((9, 43), int)
+    full = pixel_frame(spark, {"flag": grid})
+    # A lone column whose neighbours are present and unset must vanish; gaps next to it must not lend it the pixels beyond.
+    unset = full.filter((F.col("col") >= 19) & (F.col("col") <= 21)).withColumn("flag", F.when(F.col("col") == 20, 1).otherwise(0))
+    rest = full.filter(F.col("col").isin(*[c for c in cols if c != 20]))
+    out = raster.opening(rest.unionByName(unset), "flag", 3).filter("flag = 1")
+    assert {r["col"] for r in out.select("col").distinct().collect()} == {0, 1, 2, 40, 41, 42}
+
+
+@pytest.mark.parametrize("shape", [(1, 6), (2, 6), (6, 1), (3, 2), (7, 8)])
+def test_blur_mirrors_thin_rasters(spark, shape):
+    values = np.random.default_rng(4).random(shape)
+    px = pixel_frame(spark, {"v": values})
+    out = grid_of(raster.gaussian_blur(px, "v", scene_frame(spark, *shape)).collect(), "v", shape, np.nan)
+    w = np.array(raster.blur_weights(5))
+
+    def line(x):
+        n = len(x)
+        at = np.zeros((n, 5), int) if n == 1 else np.array([[min(p := (i + d) % (2 * (n - 1)), 2 * (n - 1) - p) for d in range(-2, 3)] for i in range(n)])
+        return (x[at] * w).sum(1)
+
+    want = np.apply_along_axis(line, 0, np.apply_along_axis(line, 1, values))
+    assert np.allclose(out, want)
