@@ -34,7 +34,8 @@ def quantised(vectors: DataFrame, key: str, value: str, scale: int = 1024) -> Da
     x = F.col(value).cast("array<double>")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     ok = vectors.filter(F.col(key).isNotNull() & F.col(value).isNotNull() & (F.size(value) > 0)).filter(~bad)
-    v = F.transform(x, lambda e: F.floor(e * scale).cast("double"))
+    # Beyond 2^52 a double is an integer already, and Spark's floor would stop at the range of a long.
+    v = F.transform(x, lambda e: F.when(F.abs(e * scale) >= float(1 << 52), e * scale).otherwise(F.floor(e * scale).cast("double")))
     once = ok.groupBy(F.col(key).cast("bigint").alias("vec_id")).agg(F.max(v).alias("v"))
     return once.select("vec_id", F.size("v").alias("dim"), "v")
 
@@ -84,7 +85,7 @@ def _products(points: np.ndarray, query: np.ndarray) -> list[int]:
 
 
 def best_first(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, k: int, best: list[tuple[int, int]],
-               floor: float) -> int:
+               floor: int) -> int:
     """Update ``best``, a heap of ``(score, -vec_id)`` of at most ``k`` rows; returns the leaves visited.
 
     ``floor`` is a kth score known from elsewhere: boxes that cannot reach it hold nothing of use.
@@ -165,7 +166,7 @@ def top_k(vectors: DataFrame, is_query, key: str = "vec_id", value: str = "embed
     ).withColumn("strand", F.col("shard") % strands)
 
     def gather(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        floor = part["floor"].fillna(-np.inf).to_numpy(dtype=float)
+        floor = np.array([-_LONG - 1 if pd.isna(x) else int(x) for x in part["floor"]], dtype=np.int64)
         packed = _packed(ids=part["vec_id"].to_numpy(), points=np.stack(part["v"].to_numpy()), floor=floor)
         return pd.DataFrame({"block": [int(key[0])], "dim": [int(key[1])], "packed": [packed]})
 
@@ -184,12 +185,12 @@ def top_k(vectors: DataFrame, is_query, key: str = "vec_id", value: str = "embed
     every_block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     queries = points.filter(is_query)
     # First round: block b searches shard b mod shards for a first kth score.
-    first_blocks = blocks_of(queries.withColumn("floor", F.lit(None).cast("double")))
+    first_blocks = blocks_of(queries.withColumn("floor", F.lit(None).cast("string")))
     seed, seed_trees = paired(first_blocks, F.col("block") % shards, trees.withColumn("strand", F.col("shard")), every_block)
     seed_trees = seed_trees.filter(F.col("shard") == F.split_part("block", F.lit(":"), F.lit(1)).cast("int") % shards)
     hits = save_table(_search(seed, seed_trees, k), "kd-seed")
     floors = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") == k)
-    floors = floors.select(F.col("query_id").alias("vec_id"), F.col("kth").cast("double").alias("floor"))
+    floors = floors.select(F.col("query_id").alias("vec_id"), F.col("kth").cast("string").alias("floor"))
     # Second round: every block against every strand of shards, starting from that score.
     blocks = blocks_of(queries.join(floors, "vec_id", "left"))
     every_strand = F.explode(F.sequence(F.lit(0), F.lit(strands - 1)))
