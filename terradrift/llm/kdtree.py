@@ -147,6 +147,7 @@ def top_k(vectors: DataFrame, is_query, key: str = "vec_id", value: str = "embed
 
     ``is_query`` is a boolean column over ``vec_id``. Only vectors of a query's own length are its candidates. A query
     with fewer candidates than ``k`` returns all of them, one without any returns no row; an empty table returns no rows.
+    Scores beyond the range of a long stand at its ends, before ties are broken.
     A group holds at most ``strand_shards`` trees and one block of queries, whatever the size of the table.
     """
     points = save_table(quantised(vectors, key, value, scale), "kd-points")

@@ -22,8 +22,8 @@ def brute_top(rows, k):
     out = {}
     for i, v in ok.items():
         if i % 10 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in ok.items() if j != i and len(w) == len(v))[:k]
-            out |= {(i, r + 1): (j, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, j) in enumerate(scored)}
+            held = {j: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w)))) for j, w in ok.items() if j != i and len(w) == len(v)}
+            out |= {(i, r + 1): (j, s) for r, (j, s) in enumerate(sorted(held.items(), key=lambda x: (-x[1], x[0]))[:k])}
     return out
 
 
