@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradrift.functions.text import word_spans
+from terradrift.session import save_table
 
 # Catalogue terms and their characteristic size in metres.
 CATALOGUE = (
@@ -33,18 +34,21 @@ def catalogue(spark: SparkSession, terms: Sequence[tuple[str, float]] = CATALOGU
 def catalogue_matches(requests: DataFrame, terms: DataFrame, text: str = "query_text", key: str = "request_id") -> DataFrame:
     """Longest catalogue term standing as whole words in each text: ``(key, term, dimension_m)``.
 
-    Equal lengths go to the earlier term. Texts are cut into short word runs that are
-    equi-joined with the catalogue, then the term is confirmed in the text itself, so
-    neither side's size matters and no text is compared with every term.
+    Equal lengths go to the earlier term. Texts are cut into short word runs that are equi-joined with the catalogue; only the
+    runs travel, not the text beside each of them. A single word that matches stands as a whole word; terms of several
+    words or with other signs are confirmed in the texts of their few hits.
     """
     plain = F.filter(F.split(F.lower("term"), r"(?U)\W+"), lambda w: w != "")
     keyed = terms.withColumn("_run", F.array_join(plain, " ")).withColumn("_size", F.size(plain))
     longest = keyed.agg(F.max("_size")).first()[0] or 1
-    runs = requests.select(key, text, F.explode(word_spans(text, int(longest))).alias("_run"))
+    runs = requests.select(key, F.explode(F.array_distinct(word_spans(text, int(longest)))).alias("_run"))
+    hits = save_table(runs.join(keyed, "_run"), "catalogue-hits")
+    single = F.lower("term") == F.col("_run")
     quoted = F.regexp_replace(F.lower("term"), r"([^\w ])", r"\\$1")
-    found = runs.join(keyed, "_run").filter(
-        F.regexp_like(F.lower(text), F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")))
-    )
+    whole = F.regexp_like(F.lower(text), F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b")))
+    sure = hits.filter(single & (F.col("_size") == 1))
+    asked = hits.filter(~(single & (F.col("_size") == 1))).join(requests.select(key, text), key).filter(whole)
+    found = sure.unionByName(asked.select(*sure.columns))
     rank = F.struct(F.length("term"), -F.col("ordinal"))
     return found.groupBy(key).agg(F.max_by(F.struct("term", "dimension_m"), rank).alias("_m")).select(key, "_m.*")
 

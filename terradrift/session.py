@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_dirs: dict[str, str] = {}
+_saved: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "terradrift", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,4 +61,32 @@ def save_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    _saved.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_saved_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application has saved; call it when results that read them are stored.
+
+    Returns the number of tables. Nothing else in the work folder is touched.
+    """
+    paths = _saved.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    return len(paths)
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to the executors, for clusters where it is not installed on every node. Returns the archive's path."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), "terradrift.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+    return archive
