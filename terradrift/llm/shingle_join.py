@@ -159,7 +159,10 @@ class Join:
         t, shift, common = self.t, _U(64 - _TOKEN_BITS), self.common
 
         def ordered(s: np.ndarray) -> np.ndarray:
-            last = np.isin((s >> shift).astype(np.int64), common)
+            if not len(common):
+                return s
+            token = (s >> shift).astype(np.int64)
+            last = common[np.minimum(np.searchsorted(common, token), len(common) - 1)] == token
             return np.concatenate([s[~last], s[last]]) if last.any() else s
 
         def make(batch, sets):
@@ -183,9 +186,10 @@ class Join:
     def verified(self, pairs: DataFrame, profiles: DataFrame, name: str) -> DataFrame:
         """Links ``(a, b)`` among candidate ``pairs (a, b)``: size and histogram bounds, then the exact overlap."""
         t = self.t
-        side = profiles.select("doc_id", "n", "hist")
-        sized = pairs.join(side.toDF("a", "an", "ah"), "a").join(side.toDF("b", "bn", "bh"), "b").filter(
+        n, hist = profiles.select("doc_id", "n"), profiles.select("doc_id", "hist")
+        sized = pairs.join(n.toDF("a", "an"), "a").join(n.toDF("b", "bn"), "b").filter(
             (F.col("an") * t[1] >= F.col("bn") * t[0]) & (F.col("bn") * t[1] >= F.col("an") * t[0]))
+        sized = sized.join(hist.toDF("a", "ah"), "a").join(hist.toDF("b", "bh"), "b")
 
         def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
@@ -283,7 +287,7 @@ def _still_open(members: DataFrame, bucket: str, roots: DataFrame, name: str) ->
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: tuple[int, int] = (4, 5),
-                      frequent: int = 64, common: float = 0.001, run: int = 3, block: int = 1024) -> DataFrame:
+                      frequent: int = 64, common: int = 200_000, run: int = 3, block: int = 1024) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: one row per row of ``docs``.
 
     Two documents link when the Jaccard similarity of their sets of ``words``-word shingles is at least the threshold, a
@@ -292,8 +296,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     the smallest id reachable by links. Rows that share an id are versions of one document and share its component; a
     null id takes no part and has a null component.
 
-    Tokens in the prefixes of more than the share ``common`` of the documents come last in the common order; there are at most
-    ``1 / common`` times the mean prefix length of them, so every task gets their list. ``frequent`` is the most documents a
+    The at most ``common`` most frequent tokens with more than ``frequent`` documents in plain prefixes come last in the common
+    order; every task gets their list, which that number bounds. ``frequent`` is also the most documents a
     token may have to generate pairs directly, ``run`` the tokens in a row that count beyond it. All of them steer the cost, none the result.
     """
     every = docs.select(F.col(key).cast("bigint").alias("doc_id"), text_or_empty(text).alias("body"))
@@ -308,8 +312,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sizes = known.join(small_side(copies.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_anti")
 
     counted = join.prefixes(once, 1, "token").groupBy("token").count()
-    least = max(frequent, int(common * sizes.count()))
-    join.common = np.array(sorted(r[0] for r in counted.filter(F.col("count") > least).select("token").collect()), dtype=np.int64)
+    often = counted.filter(F.col("count") > frequent).orderBy(F.desc("count"), "token").limit(common).select("token")
+    join.common = np.array(sorted(r[0] for r in often.collect()), dtype=np.int64)
 
     # First round: every document with the earliest one of the bucket leader it shares most tokens with.
     rows = save_table(join.prefixes(once, 1, "token"), "jaccard-prefixes")
