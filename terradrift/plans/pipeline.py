@@ -13,7 +13,7 @@ from terradrift.functions.text import cache_key
 from terradrift.operators import align, guards, raster
 from terradrift.operators.graph import candidate_boxes
 from terradrift.operators.mosaic import screen_windows
-from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE
+from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE, TILE_KEYS, with_tile
 from terradrift.plans import features
 from terradrift.session import save_table
 from terradrift.sources.tiles import window_bounds
@@ -96,6 +96,10 @@ def analyze(
     n1 = raster.percentile_normalise(cut_windows(t1, go, bands), bands)
     n2 = raster.percentile_normalise(cut_windows(t2, go, bands), bands)
     n1, n2 = save_table(n1, "normal-t1"), save_table(n2, "normal-t2")
+    # Epochs whose windows differ in extent or pixels are not compared; a request without imagery has no row here.
+    shapes = save_table(raster.shape_check(n1, n2).select(SCENE, "same_shape"), "shapes")
+    alike = shapes.filter("same_shape").select(SCENE)
+    n1, n2 = n1.join(alike, SCENE, "left_semi"), n2.join(alike, SCENE, "left_semi")
     dims = save_table(raster.scene_dims(n1), "dims")
     planes = (
         n1.select(*PIXEL_KEYS, luminance(*bands[:3]).alias("l1"))
@@ -111,7 +115,9 @@ def analyze(
     wanted = valid.select(F.col("request_id").alias(SCENE), "tau", "query_text")
     detections = save_table(vectorise(score, grid, wanted, tile), "detections")
     align_verdict = shifts.select(F.col(SCENE).alias("request_id"), "status")
-    status = guards.overall_status(requests, feasible.withColumn("status", F.when(F.col("status") == "COMPLETED", "OK").otherwise(F.col("status"))), align_verdict)
+    shape_verdict = shapes.select(
+        F.col(SCENE).alias("request_id"), F.when(F.col("same_shape"), "OK").otherwise("REJECTED_SHAPE_MISMATCH").alias("status"))
+    status = guards.overall_status(requests, feasible.withColumn("status", F.when(F.col("status") == "COMPLETED", "OK").otherwise(F.col("status"))), shape_verdict, align_verdict)
     summary = (
         status.join(raster.score_stats(score).withColumnRenamed(SCENE, "request_id"), "request_id", "left")
         .join(features.area_totals(detections).withColumnRenamed(SCENE, "request_id"), "request_id", "left")
@@ -138,7 +144,8 @@ def save_scores(analysis: Analysis, requests: DataFrame, path: str) -> None:
     Requests with equal keys have equal maps, of which the one of the smallest request id is stored.
     """
     box = F.concat_ws(",", *REQUEST_BOX)
-    keys = requests.groupBy(cache_key(box, "t1", "t2").alias("cache_key")).agg(F.min("request_id").alias(SCENE))
+    done = analysis.status.filter("status = 'COMPLETED'").select("request_id")
+    keys = requests.join(done, "request_id", "left_semi").groupBy(cache_key(box, "t1", "t2").alias("cache_key")).agg(F.min("request_id").alias(SCENE))
     grid = analysis.windows.select(F.col("request_id").alias(SCENE), F.col("window_affine").alias("affine"))
     stored = analysis.scores.join(keys, SCENE).join(grid, SCENE)
     stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(path)
@@ -172,14 +179,30 @@ def sweep(score: DataFrame, scene: DataFrame, taus: Sequence[float], tile: int =
     )
 
 
+def screened_tiles(windows: DataFrame, screen_tile: int) -> DataFrame:
+    """Distinct ``(scene_id, tile_r, tile_c)`` that any window touches, however many windows overlap there."""
+
+    def span(low: str, high: str):
+        return F.sequence(F.floor(F.col(low) / screen_tile).cast("int"), F.floor((F.col(high) - 1) / screen_tile).cast("int"))
+
+    rows = windows.select(SCENE, F.explode(span("row0", "row1")).alias("tile_r"), "col0", "col1")
+    return rows.select(SCENE, "tile_r", F.explode(span("col0", "col1")).alias("tile_c")).distinct()
+
+
 def screened_features(
     hits: DataFrame, t1: DataFrame, t2: DataFrame, scene: DataFrame, ref_lat: float, bands: Sequence[str] = ("b1", "b2", "b3"),
-    padding_m: float = 2500.0, tau: float = features.DEFAULT_TAU, tile: int = DEFAULT_TILE,
+    padding_m: float = 2500.0, tau: float = features.DEFAULT_TAU, tile: int = DEFAULT_TILE, screen_tile: int = 64,
 ) -> DataFrame:
-    """Score only the imagery inside padded boxes around structural-query hits, one window per box."""
+    """Score only the imagery in tiles touched by padded boxes around structural-query hits.
+
+    Every pixel is scored once, in its scene's own grid, so a change under several boxes is one feature.
+    """
     boxes = save_table(candidate_boxes(hits.select("lat", "lon"), ref_lat, padding_m), "screen")
-    windows = save_table(request_windows(screen_windows(scene, boxes), scene).filter("status = 'OK'"), "screen-windows")
-    first, second = cut_windows(t1, windows, bands), cut_windows(t2, windows, bands)
-    score, _ = features.spectral_score(first, second, bands, tile=tile)
-    grid = windows.select(F.col("request_id").alias(SCENE), F.col("window_affine").alias("affine"))
-    return features.extract_features(score, grid, tau, tile=tile)
+    windows = request_windows(screen_windows(scene, boxes), scene).filter("status = 'OK'")
+    wanted = save_table(screened_tiles(windows, screen_tile), "screen-tiles")
+
+    def inside(px: DataFrame) -> DataFrame:
+        return with_tile(px.select(*PIXEL_KEYS, *bands), screen_tile).join(wanted, TILE_KEYS, "left_semi").drop("tile_r", "tile_c")
+
+    score, _ = features.spectral_score(inside(t1), inside(t2), bands, tile=tile, dims=scene)
+    return features.extract_features(score, scene.select(SCENE, "affine"), tau, tile=tile)

@@ -94,10 +94,19 @@ def test_analyze_runs_requests_and_requery_reads_saved_scores(spark, tmp_path):
     key = reqs.filter("request_id = 'r'").select(text.cache_key(F.concat_ws(",", *pipeline.REQUEST_BOX), "t1", "t2")).first()[0]
     again = pipeline.requery(spark, path, key, 0.6, "second look").collect()
     assert [(f.area_sq_m, f["class"]) for f in again] == [(found.area_sq_m, "second look")]
+    pipeline.save_scores(run, reqs, path)  # a second save replaces the first
+    assert [f.area_sq_m for f in pipeline.requery(spark, path, key, 0.6, "third look").collect()] == [found.area_sq_m]
     with pytest.raises(KeyError):
         pipeline.requery(spark, path, "missing", 0.6, "x")
 
 
+def test_analyze_rejects_epochs_of_different_shape(spark):
+    t1, t2 = epochs(spark)
+    holed = t2.filter("NOT (row = 50 AND col = 50)")
+    run = pipeline.analyze(request(spark), t1, holed, scene_frame(spark, 100, 100), guards.catalogue(spark))
+    assert [r.status for r in run.status.collect()] == ["REJECTED_SHAPE_MISMATCH"] and run.detections.isEmpty()
+
+
 def test_sweep_equals_single_thresholds(spark):
     rng = np.random.default_rng(3)
     prob = np.kron(rng.random((12, 12)), np.ones((5, 5)))
@@ -111,7 +120,7 @@ def test_screening_scores_only_boxes(spark):
     scene = scene_frame(spark, 100, 100)
     hits = spark.createDataFrame([(24.996, 75.005), (10.0, 10.0)], "lat double, lon double")
     found = pipeline.screened_features(hits, t1, t2, scene, 25.0, padding_m=400.0).collect()
-    assert len(found) == 1 and found[0].scene_id.startswith("a|")
+    assert len(found) == 1 and found[0].scene_id == "a"
 
 
 def sample_features(spark):
