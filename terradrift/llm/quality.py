@@ -18,7 +18,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from terradrift.llm.common import measured, one_label, released, single_threaded, text_or_empty
 from terradrift.session import save_table
@@ -179,23 +178,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, key: str
     return model._replace(weights=weights, knots=knots, values=values)
 
 
-def _with_score(docs: DataFrame, text: str, keep: list[str], model: Model, threshold: float | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` by position plus a last column ``_score``; with a threshold only rows that reach it."""
-    names = keep if text in keep else [*keep, text]
-    rows = docs.select(*[F.col(f"`{c}`").cast("string" if c == text else f.dataType).alias(f"_{i}")
-                         for i, (c, f) in enumerate((c, docs.select(F.col(f"`{c}`")).schema[0]) for c in names)])
-    at = names.index(text)
-    out_fields = [StructField(f"_{i}", rows.schema[i].dataType) for i in range(len(keep))]
+def score_column(model: Model, text: str) -> Column:
+    """Score of a text column. Only the texts go to Python and only scores come back; the other columns stay where they are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         single_threaded()
-        for batch in released(batches):
-            score = model.score(np.array(measured(batch.column(at), statistics)))
-            columns = [*batch.columns[: len(keep)], pa.array(score, pa.float64())]
-            out = pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(keep)], "_score"])
-            yield out if threshold is None else out.filter(pa.array(score >= threshold))
+        for batch in batches:
+            yield pa.array(model.score(np.array(measured(batch, statistics)).reshape(-1, len(STATISTICS))), pa.float64())
+            pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, StructType([*out_fields, StructField("_score", DoubleType())]))
+    return scored(text_or_empty(text))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,11 +197,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     Null and empty texts have all statistics 0 and get the score of such a text. Null keys and repeated rows are kept;
     other columns are not read.
     """
-    scored = _with_score(docs, text, [key], model)
-    return scored.select(F.col("_0").alias("doc_id"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    scored = docs.select(F.col(key).alias("doc_id"), score_column(model, text).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose score reaches ``threshold``, with all their columns; nothing is shuffled."""
-    kept = _with_score(docs, text, docs.columns, model, threshold)
-    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return docs.filter(score_column(model, text) >= threshold)
