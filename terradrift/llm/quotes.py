@@ -83,7 +83,8 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
         F.transform(_passages(lines, F.col("runs")), lambda p: F.struct(F.lit(0).alias("kind"), p["level"].alias("level"), p["norm"].alias("norm"))),
         F.transform(_passages(lines, F.col("paragraphs")), lambda p: F.struct(F.lit(1).alias("kind"), p["level"].alias("level"), p["norm"].alias("norm"))),
         F.transform(lines, lambda x: F.struct(F.lit(2).alias("kind"), x["level"].alias("level"), normalised(x["words"]).alias("norm"))),
-    )).alias("units")).select("conv_id", "turn", "mark", F.explode("units").alias("unit"))
+    )).alias("units")).select("conv_id", "turn", "mark", F.explode_outer("units").alias("unit"))
+    # An outer explode: for a plain one Spark would test the array's size first, with all of its expressions written out once more.
     units = units.filter((F.length("unit.norm") > 0) & (long_enough | (F.col("unit.kind") == 0))).select(
         "conv_id", "turn", "mark", "unit.kind", "unit.level", F.xxhash64("unit.norm").alias("hash"), F.md5("unit.norm").alias("digest"))
     units = save_table(units, "quote-units")
