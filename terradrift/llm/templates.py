@@ -53,7 +53,8 @@ def _windows(frame: DataFrame, keep: list[str], size: int) -> DataFrame:
     """``keep`` plus ``pos`` (from 0) and ``hash`` of every window of ``size`` tokens of column ``template``."""
     starts = F.when(F.size("template") >= size, F.sequence(F.lit(1), F.size("template") - (size - 1)))
     hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("template", i, size)))
-    return frame.select(*keep, F.posexplode(hashes).alias("pos", "hash"))
+    # An outer explode: for a plain one Spark would test the array's size first, with all of its expressions written out once more.
+    return frame.select(*keep, F.posexplode_outer(hashes).alias("pos", "hash")).filter("hash IS NOT NULL")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
