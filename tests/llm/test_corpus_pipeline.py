@@ -27,12 +27,12 @@ def corpus(spark, tmp_path_factory):
     texts = good | junk
     texts[100] = texts[5]  # an exact copy: nothing is left after line dedup
     near = texts[7].split(" ")
-    near[20], near[60], near[100] = "changed", "words", "here"
+    near[0], near[60], near[-1] = "changed", "otherwise", "finally"
     texts[101] = " ".join(near)  # a near copy in every line
     texts[102] = prose(rng, 30) + " " + ITEM.replace("Tom", "Eva").replace("12", "9") + " " + prose(rng, 30)
     texts[103] = prose(rng, 50) + "\n" + texts[9].split("\n")[1] + "\n" + prose(rng, 50)  # repeats one line
     rows = [(i, t, "en" if i % 3 else None, f"src{i % 4}", len(t), 1, "x") for i, t in texts.items()]
-    rows += [(104, prose(rng, 20_000), "en", None, None, None, None)]
+    rows += [(104, "\n".join(prose(rng, 40) for _ in range(3)), None, None, None, None, None)]
     folder = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
     labels = [(i, int(i < 60), 0) for i in range(100)]
