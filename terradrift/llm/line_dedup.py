@@ -213,5 +213,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     out = joined.withColumn(text, rest)
     if drop_emptied:
         out = out.filter(F.col("_dropped").isNull() | (F.length(F.trim(F.regexp_replace(text, "\\s+", " "))) > 0))
-    count = [] if count_as is None else [F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias(count_as)]
+    count = [] if count_as is None else [F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).cast("bigint").alias(count_as)]
     return out.select(*docs.columns, *count)
