@@ -3,12 +3,13 @@
 Numbers, names and units become typed placeholders, so a question keeps its template when its parameters change.
 Windows of template tokens of the benchmark are hashed and joined with the windows of all documents; windows that lie on
 one diagonal (the same shift between document and item) form a passage, and the values in its slots must map
-consistently from the item to the document. Built from DataFrame functions only.
+consistently from the item to the document. Names are told by their capital letter, so a second kind of window, of lower-cased
+words with placeholders for numbers and units only, finds copies in another letter case. Built from DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terradrift.llm.common import small_side, text_or_empty
@@ -49,12 +50,37 @@ def canonical(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def _windows(frame: DataFrame, keep: list[str], size: int) -> DataFrame:
-    """``keep`` plus ``pos`` (from 0) and ``hash`` of every window of ``size`` tokens of column ``template``."""
-    starts = F.when(F.size("template") >= size, F.sequence(F.lit(1), F.size("template") - (size - 1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("template", i, size)))
+def caseless(words: Column) -> Column:
+    """Lower-cased tokens in which only numbers and units after a number are placeholders."""
+
+    def one(token: Column, i: Column) -> Column:
+        low = F.lower(token)
+        after_number = (i > 0) & _is_number(F.get(words, i - 1))
+        return F.when(_is_number(token), NUMBER).when(after_number & low.isin(*UNITS), UNIT).otherwise(low)
+
+    return F.transform(words, one)
+
+
+#: Kinds of windows, by the column of tokens that they are made of.
+KINDS_OF_WINDOWS = ("template", "caseless")
+
+
+def _hashed(words: Column) -> list[Column]:
+    """The tokens of each kind as hashes: a window is a slice of long integers then, not of strings."""
+    return [F.transform(form(words), lambda t: F.xxhash64(t)).alias(kind) for kind, form in zip(KINDS_OF_WINDOWS, (canonical, caseless), strict=True)]
+
+
+def _windows(frame: DataFrame, keep: list[str], size: int, kinds: tuple[str, ...]) -> DataFrame:
+    """``keep`` plus ``at`` and ``hash`` of every window of ``size`` tokens of each kind.
+
+    ``at`` is the kind's index times the number of windows plus the window's position, both from 0.
+    """
+    def hashes(kind: str) -> Column:
+        starts = F.when(F.size(kind) >= size, F.sequence(F.lit(1), F.size(kind) - (size - 1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(kind, i, size), F.lit(kind)))
+
     # An outer explode: for a plain one Spark would test the array's size first, with all of its expressions written out once more.
-    return frame.select(*keep, F.posexplode_outer(hashes).alias("pos", "hash")).filter("hash IS NOT NULL")
+    return frame.select(*keep, F.posexplode_outer(F.concat(*map(hashes, kinds))).alias("at", "hash")).filter("hash IS NOT NULL")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -64,8 +90,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     A passage counts if at least ``min_windows`` windows of ``window`` template tokens match on one diagonal, or all windows
     of an item that has fewer; an item shorter than a window is one window of its own length. Windows with fewer
     literal words than placeholders say too little and are not used. In a passage each name, number and unit of the item
-    must stand for one value of the document, and different names for different names. ``n_windows`` and ``n_slots``
-    are those of the longest passage (ties: with more slots), ``exact`` tells whether a passage has the item's own values.
+    must stand for one value of the document, and different names for different names. Where template windows do not
+    suffice, windows that ignore letter case count beside them, and letter case of the values is ignored, too; of items that
+    differ in letter case only, those that a document has by template stand for the others there.
+    ``n_windows`` and ``n_slots`` are those of the longest passage of template windows, else of the longest passage
+    (ties: with more slots), ``exact`` tells whether a passage has the item's own values.
     Items with the same template are one class named by their smallest id. Null or empty texts match nothing; null ids and
     repeated rows are allowed, rows with equal id and text give one result; an empty benchmark gives no rows.
     """
@@ -75,21 +104,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     classes = save_table(classes.withColumn("class", F.xxhash64("template")), "leak-items")
     sizes = [r[0] for r in classes.select(F.least(F.size("template"), F.lit(window)).alias("n")).distinct().orderBy("n").collect()]
     doc_rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), tokens(text_or_empty(text)).alias("words"))
-    templates = doc_rows.select("doc_id", "text_hash", canonical(F.col("words")).alias("template"))
+    templates = doc_rows.select("doc_id", "text_hash", F.size("words").alias("n"), *_hashed(F.col("words")))
     found = None
     for size in sizes:  # at most ``window`` sizes; only items shorter than a window add one
         of_size = classes.filter(F.least(F.size("template"), F.lit(window)) == size)
-        per_item = _windows(of_size, ["class", "template"], size)
-        placeholders = F.size(F.filter(F.slice("template", F.col("pos") + 1, size), lambda t: t.isin(NUMBER, NAME, UNIT)))
-        per_item = save_table(per_item.filter(placeholders * 2 <= size).select("class", F.col("pos").alias("item_pos"), "hash"), "leak-windows")
-        per_class = per_item.groupBy("class").agg(F.count("*").alias("class_windows"))
+        item_forms = of_size.select("class", F.struct(F.col("template"), caseless(F.col("words")).alias("caseless")).alias("form"), *_hashed(F.col("words")))
+        n_windows = F.size("form.template") - (size - 1)
+        per_item = _windows(item_forms, ["class", "form"], size, KINDS_OF_WINDOWS).select(
+            "class", "form", "hash", (F.col("at") % n_windows).alias("item_pos"), (F.col("at") < n_windows).alias("is_template"))
+        shown = F.slice(F.when(F.col("is_template"), F.col("form.template")).otherwise(F.col("form.caseless")), F.col("item_pos") + 1, size)
+        placeholders = F.size(F.filter(shown, lambda t: t.isin(NUMBER, NAME, UNIT)))
+        per_item = save_table(per_item.filter(placeholders * 2 <= size).select("class", "item_pos", "is_template", "hash"), "leak-windows")
+        per_class = per_item.groupBy("class").agg(
+            F.count_if("is_template").alias("class_templates"), F.count_distinct("item_pos").alias("class_windows"))
         wanted = save_table(per_item.select("hash").distinct(), "leak-hashes")
-        hits = _windows(templates, ["doc_id", "text_hash"], size).join(small_side(wanted), "hash").distinct()
+        hits = _windows(templates, ["doc_id", "text_hash", "n"], size, KINDS_OF_WINDOWS).join(small_side(wanted), "hash")
+        hits = hits.select("doc_id", "text_hash", (F.col("at") % (F.col("n") - (size - 1))).alias("pos"), "hash").distinct()
         hits = save_table(hits, "leak-hits")
-        passages = hits.join(per_item, "hash").withColumn("shift", F.col("pos") - F.col("item_pos")).groupBy(
-            "doc_id", "text_hash", "class", "shift").agg(
-            F.count("*").alias("n_windows"), F.min("item_pos").alias("first"), (F.max("item_pos") + size).alias("end"))
-        part = passages.join(per_class, "class").filter(F.col("n_windows") >= F.least(F.lit(min_windows), F.col("class_windows"))).drop("class_windows")
+        matches = hits.join(per_item, "hash").withColumn("shift", F.col("pos") - F.col("item_pos")).groupBy(
+            "doc_id", "text_hash", "class", "shift", "item_pos").agg(F.max("is_template").alias("is_template"))
+        of_template = F.when(F.col("is_template"), F.col("item_pos"))
+        passages = matches.groupBy("doc_id", "text_hash", "class", "shift").agg(
+            F.count_if("is_template").alias("n_templates"), F.min(of_template).alias("first"), (F.max(of_template) + size).alias("end"),
+            F.collect_list("item_pos").alias("at")).withColumn("size", F.lit(size))
+        part = passages.join(per_class, "class").withColumns({
+            "by_template": (F.col("n_templates") > 0) & (F.col("n_templates") >= F.least(F.lit(min_windows), F.col("class_templates"))),
+            "by_any": F.size("at") >= F.least(F.lit(min_windows), F.col("class_windows")),
+        }).filter("by_template OR by_any").drop("class_templates", "class_windows")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame(
@@ -108,19 +149,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     aligned = F.arrays_zip(
         F.slice("template", F.col("first") + 1, length).alias("kind"), F.slice("item_words", F.col("first") + 1, length).alias("mine"),
         F.slice("words", F.col("first") + F.col("shift") + 1, length).alias("theirs"))
-    slots = F.filter(aligned, lambda z: z["kind"].isin(NUMBER, NAME, UNIT))
-
-    def distinct(kinds: tuple[str, ...], *fields: str) -> Column:
-        return F.size(F.array_distinct(F.transform(F.filter("slots", lambda z: z["kind"].isin(*kinds)), lambda z: F.struct(*[z[f] for f in fields]))))
-
-    judged = spans.withColumn("slots", slots)
-    function = distinct((NUMBER, NAME, UNIT), "kind", "mine", "theirs") == distinct((NUMBER, NAME, UNIT), "kind", "mine")
-    one_to_one = distinct((NAME,), "mine", "theirs") == distinct((NAME,), "theirs")
-    judged = judged.filter(function & one_to_one).select(
-        "doc_id", "text_hash", "item_id", "n_windows", F.size("slots").alias("n_slots"),
-        (F.size(F.filter("slots", lambda z: z["mine"] != z["theirs"])) == 0).alias("exact"))
-    best = F.max(F.struct("n_windows", "n_slots")).alias("best")
-    return judged.groupBy("doc_id", "text_hash", "item_id").agg(best, F.max("exact").alias("exact")).select(
+    # Of windows of any kind: the tokens that lie in a matching window, without regard to letter case.
+    covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))))
+    caseless_aligned = F.transform(covered, lambda i: F.struct(
+        F.get("template", i).alias("kind"), F.lower(F.get("item_words", i)).alias("mine"), F.lower(F.get("words", i + F.col("shift"))).alias("theirs")))
+
+    def slots_of(zipped: Column) -> Column:
+        return F.filter(zipped, lambda z: z["kind"].isin(NUMBER, NAME, UNIT))
+
+    def consistent(slots: str) -> Column:
+        def distinct(kinds: tuple[str, ...], *fields: str) -> Column:
+            return F.size(F.array_distinct(F.transform(F.filter(slots, lambda z: z["kind"].isin(*kinds)), lambda z: F.struct(*[z[f] for f in fields]))))
+
+        function = distinct((NUMBER, NAME, UNIT), "kind", "mine", "theirs") == distinct((NUMBER, NAME, UNIT), "kind", "mine")
+        return function & (distinct((NAME,), "mine", "theirs") == distinct((NAME,), "theirs"))
+
+    def own_values(slots: str) -> Column:
+        return F.size(F.filter(slots, lambda z: z["mine"] != z["theirs"])) == 0
+
+    judged = spans.withColumns({
+        "slots": F.when(F.col("by_template"), slots_of(aligned)), "any_slots": F.when(F.col("by_any"), slots_of(caseless_aligned))})
+    judged = judged.withColumns({
+        "by_template": F.col("by_template") & consistent("slots"), "by_any": F.col("by_any") & consistent("any_slots")}).filter("by_template OR by_any")
+    judged = judged.select(
+        "doc_id", "text_hash", "item_id", "by_template", F.xxhash64(caseless(F.col("item_words"))).alias("twins"),
+        F.when(F.col("by_template"), F.col("n_templates")).otherwise(F.size("at").cast("bigint")).alias("n_windows"),
+        F.when(F.col("by_template"), F.size("slots")).otherwise(F.size("any_slots")).alias("n_slots"),
+        F.when(F.col("by_template"), own_values("slots")).otherwise(own_values("any_slots")).alias("exact"))
+    best = F.max(F.struct("by_template", "n_windows", "n_slots")).alias("best")
+    rows = judged.groupBy("doc_id", "text_hash", "item_id", "twins").agg(best, F.max("exact").alias("exact"))
+    by_template = F.max("best.by_template").over(Window.partitionBy("doc_id", "text_hash", "twins"))
+    return rows.withColumn("twin_by_template", by_template).filter("best.by_template OR NOT twin_by_template").select(
         "doc_id", "text_hash", "item_id", "best.n_windows", "best.n_slots", "exact")
 
 

@@ -120,6 +120,16 @@ def test_templates_short_items_nulls_and_nothing(frame):
     assert templates.find_leaks(frame([], DOC), frame([(1, ITEM)], BENCH)).count() == 0
 
 
+@pytest.mark.parametrize("case", [str.upper, str.lower, str.title, str.swapcase])
+def test_templates_find_copies_in_another_letter_case(frame, case):
+    changed = ITEM.replace("12", "7").replace("30", "45")
+    docs = frame([(1, "some words. " + case(ITEM) + " and others"), (2, case(changed)), (3, case("nothing of the kind"))], DOC)
+    bench = frame([(9, ITEM), (8, "Ann Lee Meets Tom Ray")], BENCH)
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in templates.find_leaks(docs, bench).collect()}
+    assert got == {(1, 9): True, (2, 9): False}
+    assert {r["doc_id"] for r in templates.without_leaks(docs, bench).collect()} == {3}
+
+
 # --- classifiers --------------------------------------------------------------------------------
 
 
