@@ -33,8 +33,10 @@ IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9+/_=-]+"  # dates, numbers, rules of dashes
     r"|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+"  # integrity attribute
-    r"|(?:[A-Za-z]+|[0-9]{1,8})(?:[_/=+-](?:[A-Za-z]+|[0-9]{1,8}|))*"  # words and short numbers joined by separators
 )
+#: Words and short numbers joined by separators; identifiers only if the vocabulary compresses their letters.
+WORDS = re.compile(r"(?:[A-Za-z]+|[0-9]{1,8})(?:[_/=+-](?:[A-Za-z]+|[0-9]{1,8}|))*")
+LETTERS = re.compile(r"[A-Za-z]+")
 OUTPUT = "n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_sha256 string, spans string"
 
 
@@ -63,6 +65,12 @@ def _mixed(run: str) -> bool:
     return (digit and (lower or upper_inside)) or (upper_inside and lower)
 
 
+def _words(run: str, encode, max_ratio: float) -> bool:
+    """Whether a run is words and short numbers, and the words have more than ``max_ratio`` characters per token."""
+    words = LETTERS.findall(run) if WORDS.fullmatch(run) else []
+    return sum(map(len, words)) > max_ratio * sum(len(encode(w)) for w in words)
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encode, max_ratio: float) -> list[tuple[int, int, int]]:
     """Runs of at most ``max_ratio`` characters per token that no base span touches."""
     found = []
@@ -74,7 +82,7 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], encode, max_ratio
         end = start + len(run)
         if any(a < end and start < b for a, _, b in taken):
             continue
-        if len(run) <= max_ratio * len(encode(run)):
+        if len(run) <= max_ratio * len(encode(run)) and not _words(run, encode, max_ratio):
             found.append((start, 3, end))
     return found
 

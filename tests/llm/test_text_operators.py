@@ -46,6 +46,13 @@ def test_secrets_match_the_plain_scan(frame):
     assert secrets.find_secrets(frame([], DOC)).count() == 0
 
 
+def test_keys_of_letters_only_are_secrets_and_words_are_not(frame):
+    keys = ["qZkpLxWvRtBmNcYdHsGj", "qZkpLxWv-RtBmNcYd_HsGj", "XkQzWv/12345/pLmRtBnYd"]
+    words = ["getElementsByClassName", "addEventListenerOptions", "2024-01-15-backup_of_site", "en_US/LC_MESSAGES/django", "Mon-Fri-09-17-GMT"]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(frame([(i, f"use {x} now") for i, x in enumerate(keys + words)], DOC)).collect()}
+    assert got == {i: f"random:4:{4 + len(x)}" if i < len(keys) else "" for i, x in enumerate(keys + words)}
+
+
 # --- lines --------------------------------------------------------------------------------------
 
 
