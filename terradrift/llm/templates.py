@@ -3,7 +3,7 @@
 Numbers, names and units become typed placeholders, so a question keeps its template when its parameters change.
 Windows of template tokens of the benchmark are hashed and joined with the windows of all documents; windows that lie on
 one diagonal (the same shift between document and item) form a passage, and the values in its slots must map
-consistently from the item to the document. Names are told by their capital letter, so a second kind of window, of lower-cased
+consistently from the item to the document unless most of the passage is a literal copy. Names are told by their capital letter, so a second kind of window, of lower-cased
 words with placeholders for numbers and units only, finds copies in another letter case. Built from DataFrame functions only.
 """
 
@@ -70,6 +70,12 @@ def _hashed(words: Column) -> list[Column]:
     return [F.transform(form(words), lambda t: F.xxhash64(t)).alias(kind) for kind, form in zip(KINDS_OF_WINDOWS, (canonical, caseless), strict=True)]
 
 
+def _repeats(words: Column | str) -> Column:
+    """At every slot of ``template`` the first slot with the same value, from 1, and 0 elsewhere."""
+    slots = F.zip_with(words, "template", lambda w, t: F.when(t.isin(NUMBER, NAME, UNIT), w).otherwise(""))
+    return F.transform(slots, lambda w: F.when(w != "", F.array_position(slots, w)).otherwise(0))
+
+
 def _windows(frame: DataFrame, keep: list[str], size: int, kinds: tuple[str, ...]) -> DataFrame:
     """``keep`` plus ``at`` and ``hash`` of every window of ``size`` tokens of each kind.
 
@@ -92,16 +98,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     literal words than placeholders say too little and are not used. In a passage each name, number and unit of the item
     must stand for one value of the document, and different names for different names. Where template windows do not
     suffice, windows that ignore letter case count beside them, and letter case of the values is ignored, too; of items that
-    differ in letter case only, those that a document has by template stand for the others there.
+    differ in letter case only, those that a document has by template stand for the others there. Of the windows of any kind
+    only tokens in matching windows are judged, and not even they are if more than half of the windows, and enough to count,
+    stand word for word in an item of the class. Slots are compared with the words of every item of a class.
     ``n_windows`` and ``n_slots`` are those of the longest passage of template windows, else of the longest passage
-    (ties: with more slots), ``exact`` tells whether a passage has the item's own values.
+    (ties: with more slots), ``exact`` tells whether a passage has the item's own values or only windows that are word for word in the class.
     Items with the same template are one class named by their smallest id. Null or empty texts match nothing; null ids and
     repeated rows are allowed, rows with equal id and text give one result; an empty benchmark gives no rows.
     """
     item_words = benchmark.select(F.col(item).alias("item_id"), tokens(text_or_empty(item_text)).alias("words"))
-    classes = item_words.withColumn("template", canonical(F.col("words"))).filter(F.size("words") > 0).groupBy("template").agg(
-        F.min_by("words", F.struct(F.col("item_id").isNull(), "item_id", "words")).alias("words"), F.min("item_id").alias("item_id"))
-    classes = save_table(classes.withColumn("class", F.xxhash64("template")), "leak-items")
+    item_words = save_table(item_words.withColumn("template", canonical(F.col("words"))).filter(F.size("words") > 0)
+                            .withColumn("class", F.xxhash64("template")), "leak-members")
+    # Which slots of an item hold one value decides consistency, the value itself does not: items of a class share few such patterns.
+    lower = F.transform("words", lambda w: F.lower(w))
+    classes = item_words.withColumn("pattern", F.struct(_repeats("words").alias("own"), _repeats(lower).alias("caseless"))).groupBy("class", "template").agg(
+        F.min_by("words", F.struct(F.col("item_id").isNull(), "item_id", "words")).alias("words"), F.min("item_id").alias("item_id"),
+        F.collect_set("pattern").alias("patterns"))
+    classes = save_table(classes, "leak-items")
     sizes = [r[0] for r in classes.select(F.least(F.size("template"), F.lit(window)).alias("n")).distinct().orderBy("n").collect()]
     doc_rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), tokens(text_or_empty(text)).alias("words"))
     templates = doc_rows.select("doc_id", "text_hash", F.size("words").alias("n"), *_hashed(F.col("words")))
@@ -129,8 +142,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
             F.collect_list("item_pos").alias("at")).withColumn("size", F.lit(size))
         part = passages.join(per_class, "class").withColumns({
             "by_template": (F.col("n_templates") > 0) & (F.col("n_templates") >= F.least(F.lit(min_windows), F.col("class_templates"))),
-            "by_any": F.size("at") >= F.least(F.lit(min_windows), F.col("class_windows")),
-        }).filter("by_template OR by_any").drop("class_templates", "class_windows")
+            "enough": F.least(F.lit(min_windows), F.col("class_windows")),
+        }).withColumn("by_any", F.size("at") >= F.col("enough")).filter("by_template OR by_any").drop("class_templates", "class_windows")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.sparkSession.createDataFrame(
@@ -144,38 +157,63 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     texts = doc_rows.join(small_side(suspects), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
     texts = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "words")
-    spans = passages.join(texts, same).join(classes.select("class", "item_id", "template", F.col("words").alias("item_words")), "class")
+    spans = save_table(passages.join(texts, same).drop("_id", "_hash"), "leak-spans")
+    # Windows of a passage that are word for word those of an item of its class.
+    def literal(words: Column, at: Column) -> Column:
+        return F.xxhash64(F.slice(words, at + 1, F.col("size")))
+
+    members = item_words.select("class", F.transform("words", lambda w: F.lower(w)).alias("lower"), F.least(F.size("template"), F.lit(window)).alias("size"))
+    starts = F.transform(F.sequence(F.lit(0), F.size("lower") - F.col("size")), lambda i: literal(F.col("lower"), i))
+    own = members.select("class", F.posexplode(starts).alias("item_pos", "literal")).distinct()
+    theirs = spans.withColumn("lower", F.transform("words", lambda w: F.lower(w))).select(
+        "doc_id", "text_hash", "class", "shift", F.explode(
+            F.transform("at", lambda p: F.struct(p.alias("item_pos"), literal(F.col("lower"), p + F.col("shift")).alias("literal")))).alias("one"))
+    theirs = theirs.select("doc_id", "text_hash", "class", "shift", "one.*")
+    counts = theirs.join(own, ["class", "item_pos", "literal"]).groupBy("doc_id", "text_hash", "class", "shift").agg(F.count("*").alias("n_literal"))
+    counts = counts.select(*[F.col(c).alias("_" + c) for c in ("doc_id", "text_hash", "class", "shift")], "n_literal")
+    spans = spans.join(counts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash"))
+                       & (F.col("class") == F.col("_class")) & (F.col("shift") == F.col("_shift")), "left").drop("_doc_id", "_text_hash", "_class", "_shift")
+    spans = spans.fillna({"n_literal": 0}).join(classes.select("class", "item_id", "template", "patterns", F.col("words").alias("item_words")), "class")
     length = F.col("end") - F.col("first")
     aligned = F.arrays_zip(
-        F.slice("template", F.col("first") + 1, length).alias("kind"), F.slice("item_words", F.col("first") + 1, length).alias("mine"),
+        F.sequence(F.col("first"), F.col("end") - 1).alias("i"), F.slice("template", F.col("first") + 1, length).alias("kind"), F.slice("item_words", F.col("first") + 1, length).alias("mine"),
         F.slice("words", F.col("first") + F.col("shift") + 1, length).alias("theirs"))
     # Of windows of any kind: the tokens that lie in a matching window, without regard to letter case.
     covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))))
     caseless_aligned = F.transform(covered, lambda i: F.struct(
-        F.get("template", i).alias("kind"), F.lower(F.get("item_words", i)).alias("mine"), F.lower(F.get("words", i + F.col("shift"))).alias("theirs")))
+        i.alias("i"), F.get("template", i).alias("kind"), F.lower(F.get("item_words", i)).alias("mine"), F.lower(F.get("words", i + F.col("shift"))).alias("theirs")))
 
     def slots_of(zipped: Column) -> Column:
         return F.filter(zipped, lambda z: z["kind"].isin(NUMBER, NAME, UNIT))
 
-    def consistent(slots: str) -> Column:
-        def distinct(kinds: tuple[str, ...], *fields: str) -> Column:
-            return F.size(F.array_distinct(F.transform(F.filter(slots, lambda z: z["kind"].isin(*kinds)), lambda z: F.struct(*[z[f] for f in fields]))))
+    def consistent(slots: str, field: str) -> Column:
+        """Whether the slots map consistently from at least one item of the class."""
+
+        def by_pattern(pattern: Column) -> Column:
+            def distinct(kinds: tuple[str, ...], mine: bool, theirs: bool) -> Column:
+                fields = lambda z: ([F.get(pattern[field], z["i"])] if mine else []) + ([z["theirs"]] if theirs else [])
+                return F.size(F.array_distinct(F.transform(
+                    F.filter(slots, lambda z: z["kind"].isin(*kinds)), lambda z: F.struct(z["kind"], *fields(z)))))
+
+            function = distinct((NUMBER, NAME, UNIT), True, True) == distinct((NUMBER, NAME, UNIT), True, False)
+            return function & (distinct((NAME,), True, True) == distinct((NAME,), False, True))
 
-        function = distinct((NUMBER, NAME, UNIT), "kind", "mine", "theirs") == distinct((NUMBER, NAME, UNIT), "kind", "mine")
-        return function & (distinct((NAME,), "mine", "theirs") == distinct((NAME,), "theirs"))
+        return F.exists("patterns", by_pattern)
 
     def own_values(slots: str) -> Column:
         return F.size(F.filter(slots, lambda z: z["mine"] != z["theirs"])) == 0
 
     judged = spans.withColumns({
         "slots": F.when(F.col("by_template"), slots_of(aligned)), "any_slots": F.when(F.col("by_any"), slots_of(caseless_aligned))})
+    copied = (F.col("n_literal") >= F.col("enough")) & (F.col("n_literal") * 2 > F.size("at"))
     judged = judged.withColumns({
-        "by_template": F.col("by_template") & consistent("slots"), "by_any": F.col("by_any") & consistent("any_slots")}).filter("by_template OR by_any")
+        "by_template": F.col("by_template") & consistent("slots", "own"),
+        "by_any": F.col("by_any") & (copied | consistent("any_slots", "caseless"))}).filter("by_template OR by_any")
     judged = judged.select(
         "doc_id", "text_hash", "item_id", "by_template", F.xxhash64(caseless(F.col("item_words"))).alias("twins"),
         F.when(F.col("by_template"), F.col("n_templates")).otherwise(F.size("at").cast("bigint")).alias("n_windows"),
         F.when(F.col("by_template"), F.size("slots")).otherwise(F.size("any_slots")).alias("n_slots"),
-        F.when(F.col("by_template"), own_values("slots")).otherwise(own_values("any_slots")).alias("exact"))
+        (F.when(F.col("by_template"), own_values("slots")).otherwise(own_values("any_slots")) | (F.col("n_literal") == F.size("at"))).alias("exact"))
     best = F.max(F.struct("by_template", "n_windows", "n_slots")).alias("best")
     rows = judged.groupBy("doc_id", "text_hash", "item_id", "twins").agg(best, F.max("exact").alias("exact"))
     by_template = F.max("best.by_template").over(Window.partitionBy("doc_id", "text_hash", "twins"))

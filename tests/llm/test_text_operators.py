@@ -137,6 +137,16 @@ def test_templates_find_copies_in_another_letter_case(frame, case):
     assert {r["doc_id"] for r in templates.without_leaks(docs, bench).collect()} == {3}
 
 
+def test_templates_literal_copies_need_no_consistency_and_siblings_count(frame):
+    long = ITEM + " Ann thinks that the answer is easy to find because nobody else has any apples left and the shop is closed until the next morning."
+    pair = "Mary paid 5 coins for the bread and then another 6 coins for the milk that she took home"
+    docs = frame([(1, long.replace("Tom gives", "Joe gives")), (2, pair), (3, pair.replace("5", "8").replace("6", "3")), (4, "nothing of the kind")], DOC)
+    bench = frame([(9, long), (20, pair.replace("6", "5")), (21, pair)], BENCH)
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in templates.find_leaks(docs, bench).collect()}
+    assert got == {(1, 9): False, (2, 20): True, (3, 20): False}
+    assert {r["doc_id"] for r in templates.without_leaks(docs, bench).collect()} == {4}
+
+
 # --- classifiers --------------------------------------------------------------------------------
 
 
