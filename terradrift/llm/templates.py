@@ -61,13 +61,18 @@ def caseless(words: Column) -> Column:
     return F.transform(words, one)
 
 
+def literal(words: Column) -> Column:
+    """Lower-cased tokens without placeholders."""
+    return F.transform(words, lambda w: F.lower(w))
+
+
 #: Kinds of windows, by the column of tokens that they are made of.
-KINDS_OF_WINDOWS = ("template", "caseless")
+KINDS_OF_WINDOWS = ("template", "caseless", "literal")
 
 
 def _hashed(words: Column) -> list[Column]:
     """The tokens of each kind as hashes: a window is a slice of long integers then, not of strings."""
-    return [F.transform(form(words), lambda t: F.xxhash64(t)).alias(kind) for kind, form in zip(KINDS_OF_WINDOWS, (canonical, caseless), strict=True)]
+    return [F.transform(form(words), lambda t: F.xxhash64(t)).alias(kind) for kind, form in zip(KINDS_OF_WINDOWS, (canonical, caseless, literal), strict=True)]
 
 
 def _repeats(words: Column | str) -> Column:
@@ -95,7 +100,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
     A passage counts if at least ``min_windows`` windows of ``window`` template tokens match on one diagonal, or all windows
     of an item that has fewer; an item shorter than a window is one window of its own length. Windows with fewer
-    literal words than placeholders say too little and are not used. In a passage each name, number and unit of the item
+    literal words than placeholders say too little; where that holds even without names, the window counts with its own values.
+    In a passage each name, number and unit of the item
     must stand for one value of the document, and different names for different names. Where template windows do not
     suffice, windows that ignore letter case count beside them, and letter case of the values is ignored, too; of items that
     differ in letter case only, those that a document has by template stand for the others there. Of the windows of any kind
@@ -110,7 +116,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     item_words = save_table(item_words.withColumn("template", canonical(F.col("words"))).filter(F.size("words") > 0)
                             .withColumn("class", F.xxhash64("template")), "leak-members")
     # Which slots of an item hold one value decides consistency, the value itself does not: items of a class share few such patterns.
-    lower = F.transform("words", lambda w: F.lower(w))
+    lower = literal(F.col("words"))
     classes = item_words.withColumn("pattern", F.struct(_repeats("words").alias("own"), _repeats(lower).alias("caseless"))).groupBy("class", "template").agg(
         F.min_by("words", F.struct(F.col("item_id").isNull(), "item_id", "words")).alias("words"), F.min("item_id").alias("item_id"),
         F.collect_set("pattern").alias("patterns"))
@@ -124,14 +130,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         item_forms = of_size.select("class", F.struct(F.col("template"), caseless(F.col("words")).alias("caseless")).alias("form"), *_hashed(F.col("words")))
         n_windows = F.size("form.template") - (size - 1)
         per_item = _windows(item_forms, ["class", "form"], size, KINDS_OF_WINDOWS).select(
-            "class", "form", "hash", (F.col("at") % n_windows).alias("item_pos"), (F.col("at") < n_windows).alias("is_template"))
-        shown = F.slice(F.when(F.col("is_template"), F.col("form.template")).otherwise(F.col("form.caseless")), F.col("item_pos") + 1, size)
-        placeholders = F.size(F.filter(shown, lambda t: t.isin(NUMBER, NAME, UNIT)))
-        per_item = save_table(per_item.filter(placeholders * 2 <= size).select("class", "item_pos", "is_template", "hash"), "leak-windows")
+            "class", "form", "hash", (F.col("at") % n_windows).alias("item_pos"), F.floor(F.col("at") / n_windows).alias("kind"))
+        shown = F.slice(F.when(F.col("kind") == 0, F.col("form.template")).otherwise(F.col("form.caseless")), F.col("item_pos") + 1, size)
+        says_little = F.size(F.filter(shown, lambda t: t.isin(NUMBER, NAME, UNIT))) * 2 > size
+        per_item = save_table(per_item.filter(says_little == (F.col("kind") == 2)).select(
+            "class", "item_pos", (F.col("kind") == 0).alias("is_template"), (F.col("kind") == 2).alias("is_literal"), "hash"), "leak-windows")
+        # Documents are cut into windows with their values only if an item has one.
+        kinds = KINDS_OF_WINDOWS if per_item.filter("is_literal").limit(1).count() else KINDS_OF_WINDOWS[:2]
         per_class = per_item.groupBy("class").agg(
             F.count_if("is_template").alias("class_templates"), F.count_distinct("item_pos").alias("class_windows"))
         wanted = save_table(per_item.select("hash").distinct(), "leak-hashes")
-        hits = _windows(templates, ["doc_id", "text_hash", "n"], size, KINDS_OF_WINDOWS).join(small_side(wanted), "hash")
+        hits = _windows(templates, ["doc_id", "text_hash", "n"], size, kinds).join(small_side(wanted), "hash")
         hits = hits.select("doc_id", "text_hash", (F.col("at") % (F.col("n") - (size - 1))).alias("pos"), "hash").distinct()
         hits = save_table(hits, "leak-hits")
         matches = hits.join(per_item, "hash").withColumn("shift", F.col("pos") - F.col("item_pos")).groupBy(
@@ -159,15 +168,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     texts = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "words")
     spans = save_table(passages.join(texts, same).drop("_id", "_hash"), "leak-spans")
     # Windows of a passage that are word for word those of an item of its class.
-    def literal(words: Column, at: Column) -> Column:
+    def window_at(words: Column, at: Column) -> Column:
         return F.xxhash64(F.slice(words, at + 1, F.col("size")))
 
-    members = item_words.select("class", F.transform("words", lambda w: F.lower(w)).alias("lower"), F.least(F.size("template"), F.lit(window)).alias("size"))
-    starts = F.transform(F.sequence(F.lit(0), F.size("lower") - F.col("size")), lambda i: literal(F.col("lower"), i))
+    members = item_words.select("class", literal(F.col("words")).alias("lower"), F.least(F.size("template"), F.lit(window)).alias("size"))
+    starts = F.transform(F.sequence(F.lit(0), F.size("lower") - F.col("size")), lambda i: window_at(F.col("lower"), i))
     own = members.select("class", F.posexplode(starts).alias("item_pos", "literal")).distinct()
-    theirs = spans.withColumn("lower", F.transform("words", lambda w: F.lower(w))).select(
+    theirs = spans.withColumn("lower", literal(F.col("words"))).select(
         "doc_id", "text_hash", "class", "shift", F.explode(
-            F.transform("at", lambda p: F.struct(p.alias("item_pos"), literal(F.col("lower"), p + F.col("shift")).alias("literal")))).alias("one"))
+            F.transform("at", lambda p: F.struct(p.alias("item_pos"), window_at(F.col("lower"), p + F.col("shift")).alias("literal")))).alias("one"))
     theirs = theirs.select("doc_id", "text_hash", "class", "shift", "one.*")
     counts = theirs.join(own, ["class", "item_pos", "literal"]).groupBy("doc_id", "text_hash", "class", "shift").agg(F.count("*").alias("n_literal"))
     counts = counts.select(*[F.col(c).alias("_" + c) for c in ("doc_id", "text_hash", "class", "shift")], "n_literal")

@@ -147,6 +147,14 @@ def test_templates_literal_copies_need_no_consistency_and_siblings_count(frame):
     assert {r["doc_id"] for r in templates.without_leaks(docs, bench).collect()} == {4}
 
 
+def test_templates_find_items_of_numbers_and_names(frame):
+    sums, names = "3 + 4 = 7, 12 + 9 = 21", "Ann Lee Meets Tom Ray And Eve Fox In Old Rome By Night"
+    table = "1 12 144 1728 2 24 288 3456 3 36 432 5184 4 48"
+    docs = frame([(1, f"note that {sums} holds"), (2, "see " + names), (3, table + " and so on"), (4, sums.replace("21", "22")), (5, "1 2 3 4 5 6 7 8 9 10 11 12 13")], DOC)
+    got = {(r["doc_id"], r["item_id"], r["exact"]) for r in templates.find_leaks(docs, frame([(1, sums), (2, names), (3, table)], BENCH)).collect()}
+    assert got == {(1, 1, True), (2, 2, True), (3, 3, True)}
+
+
 # --- classifiers --------------------------------------------------------------------------------
 
 
