@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terradrift.llm import sql
-from terradrift.llm.common import fold, table, text_or_empty
+from terradrift.llm.common import WORD_SEPARATORS, fold, table, text_or_empty
 
 
 def op1_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,60 @@ def op10_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op11_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only id and digest of each document are kept for the passes; texts are read once."""
+    from terradrift.llm.bloom_dedup import case_folded, mark_repeats
+    from terradrift.session import save_table
+
+    digests = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.sha2(case_folded(), 256)).alias("digest"))
+    marked = mark_repeats(save_table(digests, "digests"), "digest", "doc_id")
+    return marked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """The registered documents: with h = crc32(doc_id), g = h div 10, every tenth text ends in words a, a+1, .. repeated from word a = g mod n."""
+    words = F.filter(F.split(text_or_empty(), WORD_SEPARATORS), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.expr("_h DIV 10")
+    a = F.expr("CAST(_g % size(_w) AS INT)")
+    p = F.expr("CAST(1 + (size(_w) - _a) DIV (3 + _g % 8) AS INT)")
+    split = docs.withColumn("_h", h).withColumn("_w", F.when((F.col("_h") % 10 == 0), words)).withColumn("_g", g)
+    placed = split.withColumn("_a", F.when(F.size("_w") > 0, a)).withColumn("_p", F.when(F.col("_a").isNotNull(), p))
+    tail = F.expr("concat_ws(' ', transform(sequence(0, size(_w) - 1), i -> _w[if(i < _a, i, _a + (i - _a) % _p)]))")
+    return placed.withColumn("text", F.when(F.col("_p").isNotNull(), tail).otherwise(F.col("text"))).drop("_h", "_w", "_g", "_a", "_p")
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terradrift.llm.word_runs import find_runs
+
+    found = find_runs(with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # Runs come by start and period, so of equal exponents the first wins.
+    best = F.expr("aggregate(runs, try_element_at(runs, 1), (b, r) -> if(r.length * b.period > b.length * r.period, r, b))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terradrift.llm.merkle import build_manifest, leaf_hash
+
+    def cut() -> Column:
+        flat = leaf_hash("doc_id", "source", "lang", "n_chars", F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+        return F.when(fold("doc_id", 2) == 0, flat)
+
+    proofs = build_manifest(table(spark, sf_dir, "documents"), tampered=cut).proofs()
+    return proofs.select(
+        F.col("carried").alias("doc_id"), F.col("hash").alias("leaf"), "subroot", "root", "proof_sha256", "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quote_threads, op2_hierarchical_mix, op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op7_recurrent_toxicity, op8_warc_chunks, op9_jaccard_prefixes, op10_benchmark_templates)
+    f.__name__: f for f in (op1_quote_threads, op2_hierarchical_mix, op3_kdtree_topk, op4_fourier_quality, op5_token_secrets, op6_line_neighbours, op7_recurrent_toxicity, op8_warc_chunks, op9_jaccard_prefixes, op10_benchmark_templates, op11_bloom_dedup,
+                        op12_word_runs, op13_merkle_manifest)
 }
 ORACLES: dict[str, str] = {name: getattr(sql, name.upper()) for name in QUERIES if hasattr(sql, name.upper())}

@@ -150,3 +150,67 @@ ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.id, w.b FROM reach r JOIN ways w ON r.other = w.a)
 SELECT n.doc_id, n AS n_shingles, c AS component_id FROM n JOIN (SELECT id, min(other) AS c FROM reach GROUP BY id) ON id = n.doc_id
 """
+
+
+OP11_BLOOM_DEDUP = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM t WINDOW same AS (PARTITION BY t)
+"""
+
+#: CRC-32 of a text of one-byte characters: ``crc_table`` is a relation of one list, ``CRC32`` an expression over its column ``k`` and a text ``s``.
+CRC_TABLE = (
+    "crc_table AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), "
+    "lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))) AS k)"
+)
+CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({s}, ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+    "lambda a, b: xor(a >> 8, {k}[CAST(xor(a, b) & 255 AS INT) + 1])))"
+)
+
+
+def merkle_sql(levels: int) -> str:
+    """Leaves, roots and proofs level by level, for groups of at most 3 ** levels rows and as many groups."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END"
+    head = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    text, cut = field.format("text"), field.format("replace(text, chr(10), '')")
+    ctes = [
+        CRC_TABLE,
+        f"doc AS (SELECT doc_id, source, sha256({head} || {text}) AS leaf, CASE WHEN {CRC32.format(s='CAST(doc_id AS VARCHAR)', k='k')} % 2 = 0 "
+        f"THEN sha256({head} || {cut}) END AS alt FROM documents, crc_table)",
+        "a0 AS (SELECT CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS t, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, alt) - 1 AS i,"
+        " count(*) OVER (PARTITION BY source) AS w, * FROM doc)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            ctes.append(
+                f"{name}{k + 1} AS (SELECT t, i // 3 AS i, CASE WHEN max(w) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h, "
+                f"CAST((max(w) + 2) // 3 AS BIGINT) AS w FROM {name}{k} GROUP BY t, i // 3)"
+            )
+            ctes.append(
+                f"{name}s{k} AS (SELECT x.t, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (WHERE y.i < x.i), '') AS l, "
+                f"coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (WHERE y.i > x.i), '') AS r, max(x.w) > 1 AS many "
+                f"FROM {name}{k} x JOIN {name}{k} y ON x.t = y.t AND x.i // 3 = y.i // 3 GROUP BY x.t, x.i)"
+            )
+
+    def fold(name: str, start: str, keep: str) -> None:
+        ctes.append(f"{name}f0 AS ({start})")
+        for k in range(levels):
+            ctes.append(
+                f"{name}f{k + 1} AS (SELECT f.* EXCLUDE (i, h, p), f.i // 3 AS i, p || l || r AS p, CASE WHEN many THEN sha256(l || h || r) ELSE h END AS h "
+                f"FROM {name}f{k} f JOIN {name}s{k} s ON f.{keep} = s.t AND f.i = s.i)"
+            )
+
+    climb("a")
+    ctes.append(f"b0 AS (SELECT 'all' AS t, t AS source_key, h, row_number() OVER (ORDER BY encode(t)) - 1 AS i, count(*) OVER () AS w FROM a{levels})")
+    climb("b")
+    fold("a", "SELECT doc_id, t, leaf, i, coalesce(alt, leaf) AS h, '' AS p FROM a0", "t")
+    fold("b", f"SELECT f.doc_id, f.t AS source_key, 'all' AS t, f.leaf, b.h AS subroot, b.i, f.h, f.p FROM af{levels} f JOIN b0 b ON f.t = b.source_key", "t")
+    return "WITH " + ",\n".join(ctes) + (
+        f"\nSELECT f.doc_id, leaf, subroot, b.h AS root, sha256(p) AS proof_sha256, f.h AS folded_root, f.h = b.h AS verified FROM bf{levels} f, b{levels} b"
+    )
+
+
+OP13_MERKLE_MANIFEST = merkle_sql(11)
