@@ -118,35 +118,36 @@ def mark_repeats(rows: DataFrame, digest: str, key: str, max_filter_bytes: int =
     a broadcast of their totals, of which there are at most 100,000; the others meet their totals by a join on the digest.
     A null key stays only if no row of its group has one; of rows that tie in digest and key one stays.
     """
-    spark = rows.sparkSession
-    hashed = F.xxhash64(digest)
+    # Packed, so that no column of the caller can meet one of the operator's own.
+    columns = [c for c in rows.columns if c not in MARKS[:3]]
+    packed = rows.select(F.struct(*columns).alias("own"), F.col(digest).alias("digest"), F.col(key).alias("key"))
+    hashed = F.xxhash64("digest")
     n_blocks, probes = filter_size(rows.count(), max_filter_bytes)
-    shared = spark.sparkContext.broadcast(repeat_filter(rows.select(hashed.alias("h")), n_blocks, probes))
+    shared = rows.sparkSession.sparkContext.broadcast(repeat_filter(packed.select(hashed.alias("h")), n_blocks, probes))
 
     def tested(h: pa.Array) -> pa.Array:
         block, slots = places(h.to_numpy(zero_copy_only=False).view(np.uint64), n_blocks, probes)
         return pa.array(((shared.value[block[:, None], slots >> 3] >> (7 - (slots & 7))) & 1).all(axis=1))
 
     possibly = F.arrow_udf(tested, "boolean")(hashed)
-    columns = [c for c in rows.columns if c not in MARKS[:3]]
-    unique = rows.filter(~possibly).select(*columns, F.col(key).alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
+    unique = packed.filter(~possibly).select("own.*", F.col("key").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
 
     # Written once, so that the row numbers that break ties cannot change when a task is repeated.
-    suspects = save_table(rows.filter(possibly).select(*columns, F.monotonically_increasing_id().alias("_bloom_row")), "suspects")
-    largest = F.max(F.struct(F.col(key).alias("k"), F.col("_bloom_row").alias("r"))).alias("_bloom_top")
-    totals = save_table(suspects.groupBy(digest).agg(largest, F.count("*").alias("_bloom_n")).filter("_bloom_n > 1"), "suspect-groups")
+    suspects = save_table(packed.filter(possibly).withColumn("row", F.monotonically_increasing_id()), "suspects")
+    totals = suspects.groupBy("digest").agg(F.max(F.struct("key", "row")).alias("top"), F.count("*").alias("n")).filter("n > 1")
+    totals = save_table(totals, "suspect-groups")
     large = max(10_000, suspects.count() // 100_000)
-    apart = F.broadcast(totals.filter(F.col("_bloom_n") >= large))
+    apart = F.broadcast(totals.filter(F.col("n") >= large))
 
     def settled(part: DataFrame) -> DataFrame:
-        top = F.col("_bloom_top")
+        lone = F.col("n").isNull()
         return part.select(
-            *columns, F.when(top.isNull(), F.col(key)).otherwise(top["k"]).alias("keep_id"), F.coalesce("_bloom_n", F.lit(1).cast("bigint")).alias("group_size"),
-            (top.isNull() | (top["r"] == F.col("_bloom_row"))).alias("kept"),
+            "own.*", F.when(lone, F.col("key")).otherwise(F.col("top.key")).alias("keep_id"), F.coalesce("n", F.lit(1).cast("bigint")).alias("group_size"),
+            (lone | (F.col("top.row") == F.col("row"))).alias("kept"),
         )
 
-    in_large = suspects.join(apart, digest)
-    rest = suspects.join(apart.select(digest), digest, "left_anti").join(totals.filter(F.col("_bloom_n") < large), digest, "left")
+    in_large = suspects.join(apart, "digest")
+    rest = suspects.join(apart.select("digest"), "digest", "left_anti").join(totals.filter(F.col("n") < large), "digest", "left")
     return unique.unionByName(settled(in_large)).unionByName(settled(rest))
 
 
