@@ -8,7 +8,7 @@ from checks import raster_sql as R
 from checks.registry import check, with_ctes
 from checks.views import PX_SQL, SCENE_SQL, hav_sql, pixels, scenes
 from terradrift.functions import geo, pixel
-from terradrift.operators import components, graph, polygons, raster
+from terradrift.operators import components, graph, polygons, raster, tile_arrays
 from terradrift.plans import features
 from terradrift.sources import tiles
 from terradrift.session import save_table
@@ -258,7 +258,8 @@ def _(spark, d):
 
 @check("r1_components", with_ctes(*R.TO_COMPONENTS, recursive=True, select=f"SELECT {PX}, label FROM comp"))
 def _(spark, d):
-    return _labelled(spark, d).select("scene_id", "row", "col", "label")
+    found = tile_arrays.change_pixels(pixels(spark, d, 1), pixels(spark, d, 2), scenes(spark, d), B3, tile=16)
+    return found.select("scene_id", "row", "col", "label")
 
 
 _LAB = "lab AS (SELECT c.*, m.prob FROM comp c JOIN mask m USING (scene_id, row, col))"

@@ -30,7 +30,7 @@ def label_col(label: str = "label") -> Column:
     return F.col(label).bitwiseAND((1 << _ROW_SHIFT) - 1).cast("int")
 
 
-def _smallest_reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+def smallest_reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """For items 0..n-1 joined by pairs (u, v), the smallest item of each one's group."""
     root = np.arange(n)
     while u.size:
@@ -45,20 +45,27 @@ def _smallest_reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
-def _label_tile(pdf: pd.DataFrame, connectivity: int) -> pd.DataFrame:
-    """Component label of every mask pixel of one tile: the smallest row-major position."""
-    pdf = pdf.sort_values(["row", "col"], ignore_index=True)
-    r, c = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+def label_roots(r: np.ndarray, c: np.ndarray, connectivity: int) -> np.ndarray:
+    """Per pixel of a tile, the index of the first one of its component; pixels come in row-major order."""
+    if not len(r):
+        return np.zeros(0, np.int64)
     top, left = r.min(), c.min()
     index = np.full((r.max() - top + 2, c.max() - left + 3), -1, np.int64)
-    index[r - top, c - left + 1] = np.arange(len(pdf))
-    here = np.arange(len(pdf))
+    here = np.arange(len(r))
+    index[r - top, c - left + 1] = here
     starts, ends = [], []
     for dr, dc in FORWARD[connectivity]:
         there = index[r - top + dr, c - left + 1 + dc]
         starts.append(here[there >= 0])
         ends.append(there[there >= 0])
-    root = _smallest_reachable(len(pdf), np.concatenate(starts), np.concatenate(ends))
+    return smallest_reachable(len(r), np.concatenate(starts), np.concatenate(ends))
+
+
+def _label_tile(pdf: pd.DataFrame, connectivity: int) -> pd.DataFrame:
+    """Component label of every mask pixel of one tile: the smallest row-major position."""
+    pdf = pdf.sort_values(["row", "col"], ignore_index=True)
+    r, c = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+    root = label_roots(r, c, connectivity)
     pdf["label"] = (r[root] << _ROW_SHIFT) + c[root]
     return pdf
 
@@ -80,6 +87,14 @@ def _seam_pairs(local: DataFrame, tile: int, connectivity: int) -> DataFrame:
     )
 
 
+def merge_labels(local: DataFrame, tile: int, connectivity: int) -> DataFrame | None:
+    """``(scene_id, label, root)`` of tile labels that meet across seams, None if none do. ``local`` holds the border pixels at least."""
+    seams = save_table(_seam_pairs(local, tile, connectivity), "seams")
+    if seams.isEmpty():
+        return None
+    return connected_components(seams, "u", "v", by=[SCENE]).withColumnRenamed("id", "label")
+
+
 def label_components(
     mask: DataFrame, tile: int = DEFAULT_TILE, connectivity: int = 8
 ) -> DataFrame:
@@ -97,10 +112,9 @@ def label_components(
         return _label_tile(pdf, connectivity)
 
     local = save_table(tiled.groupBy(*TILE_KEYS).applyInPandas(label_tile, schema).drop("tile_r", "tile_c"), "labels")
-    seams = save_table(_seam_pairs(local, tile, connectivity), "seams")
-    if seams.isEmpty():
+    roots = merge_labels(local, tile, connectivity)
+    if roots is None:
         return local
-    roots = connected_components(seams, "u", "v", by=[SCENE]).withColumnRenamed("id", "label")
     return (
         local.join(roots, [SCENE, "label"], "left")
         .withColumn("label", F.coalesce("root", "label"))

@@ -7,7 +7,7 @@ star per component, and the loop ends only when a round changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terradrift.session import save_table
@@ -33,10 +33,13 @@ def _small_star(edges: DataFrame, by: list[str]) -> DataFrame:
     return moved.unionByName(least.select(*by, "a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def _mark(edges: DataFrame, by: list[str]) -> tuple:
-    """Count and two order-free digests of an edge table."""
+def _written(edges: DataFrame, by: list[str]) -> tuple[DataFrame, tuple]:
+    """The edge table, written, and its count and two order-free digests, taken in the same pass."""
     one, two = F.xxhash64(*by, "a", "b"), F.xxhash64(F.lit(1), *by, "b", "a")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(one), F.sum(two % 1_000_003)).first())
+    seen = Observation()
+    marks = [F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.sum(two % 1_000_003).alias("s")]
+    saved = save_table(edges.observe(seen, *marks), "links")
+    return saved, tuple(seen.get[k] for k in ("n", "x", "s"))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", by: list[str] | None = None) -> DataFrame:
@@ -47,11 +50,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", by: list[
     """
     by = by or []
     pairs = edges.select(*by, F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = save_table(pairs.select(*by, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = _mark(now, by)
+    now, mark = _written(pairs.select(*by, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), by)
     while mark[0]:
-        now = save_table(_small_star(save_table(_large_star(now, by), "links"), by), "links")
-        mark, before = _mark(now, by), mark
+        before = mark
+        now, mark = _written(_small_star(save_table(_large_star(now, by), "links"), by), by)
         if mark == before:
             break
     # Unchanged by both steps: every edge joins a vertex to its root, and a vertex has one edge.

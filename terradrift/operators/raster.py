@@ -127,7 +127,11 @@ def otsu_threshold(px: DataFrame, value: str) -> DataFrame:
 
     Only the 256-bin histogram is windowed.
     """
-    hist = px.groupBy(SCENE, histogram_bin(value).alias("bin")).agg(F.count("*").alias("n"))
+    return otsu_of_histogram(px.groupBy(SCENE, histogram_bin(value).alias("bin")).agg(F.count("*").alias("n")))
+
+
+def otsu_of_histogram(hist: DataFrame) -> DataFrame:
+    """The threshold bin of counts ``(scene_id, bin, n)``."""
     seen = W.partitionBy(SCENE).orderBy("bin")
     total = W.partitionBy(SCENE)
     mass = hist.withColumn("s", F.col("bin") * F.col("n")).withColumns(

@@ -13,6 +13,7 @@ from terradrift.functions.classify import BOX_LABELS, box_confidence, classify_b
 from terradrift.functions.gridref import with_grid_ref
 from terradrift.operators import raster
 from terradrift.operators.components import component_stats, label_components
+from terradrift.operators.tile_arrays import change_components, change_pixels
 from terradrift.operators.polygons import multipolygons, ring_vertices
 from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE
 from terradrift.session import save_table
@@ -51,7 +52,7 @@ def measure_components(labelled: DataFrame, scene: DataFrame) -> DataFrame:
     t = F.col("affine")
     top, bottom = geo.pixel_to_lat("affine", 0, "row"), geo.pixel_to_lat("affine", 0, F.col("row") + 1)
     cells = labelled.join(scene.select(SCENE, "affine"), SCENE)
-    return (
+    totals = (
         cells.groupBy(SCENE, "label")
         .agg(
             F.sum(geo.cell_area_m2(top, bottom, t["a"])).alias("area"),
@@ -60,14 +61,8 @@ def measure_components(labelled: DataFrame, scene: DataFrame) -> DataFrame:
             F.avg(F.col("col") + 0.5).alias("mc"),
             F.count("*").alias("n_pixels"),
         )
-        .join(scene.select(SCENE, "affine"), SCENE)
-        .withColumns(
-            {
-                "lat": F.bround(geo.pixel_to_lat("affine", "mc", "mr"), 6),
-                "lon": F.bround(geo.pixel_to_lon("affine", "mc", "mr"), 6),
-            }
-        )
     )
+    return _placed(totals, scene)
 
 
 def component_features(
@@ -85,7 +80,19 @@ def component_features(
     labelled = label_components(mask, tile)
     if geometry:
         labelled = save_table(labelled, "labelled")
-    measured = measure_components(labelled, scene)
+    return _records(measure_components(labelled, scene), scene, class_name, min_area_sq_m, tile, labelled if geometry else None)
+
+
+def _placed(totals: DataFrame, scene: DataFrame) -> DataFrame:
+    """Component totals with the centroid of their mean pixel position (``mr``, ``mc``)."""
+    lat, lon = geo.pixel_to_lat("affine", "mc", "mr"), geo.pixel_to_lon("affine", "mc", "mr")
+    return totals.join(scene.select(SCENE, "affine"), SCENE).withColumns({"lat": F.bround(lat, 6), "lon": F.bround(lon, 6)})
+
+
+def _records(
+    measured: DataFrame, scene: DataFrame, class_name: str, min_area_sq_m: float, tile: int, outlined: DataFrame | None
+) -> DataFrame:
+    """Feature records of measured components, with the rings of ``outlined`` pixels if given."""
     records = with_grid_ref(measured, "lat", "lon").select(
         SCENE,
         "label",
@@ -100,8 +107,8 @@ def component_features(
         "n_pixels",
     )
     kept = min_area(records, min_area_sq_m, "_area").drop("_area")
-    if geometry:
-        kept = kept.join(multipolygons(ring_vertices(labelled), labelled, scene, tile), [SCENE, "label"], "left")
+    if outlined is not None:
+        kept = kept.join(multipolygons(ring_vertices(outlined), outlined, scene, tile), [SCENE, "label"], "left")
     return kept
 
 
@@ -147,10 +154,12 @@ def difference_features(
     tile: int = DEFAULT_TILE,
     geometry: bool = False,
 ) -> DataFrame:
-    """End-to-end differencing of two epochs into feature records."""
-    score, _ = spectral_score(t1, t2, bands, tile=tile, dims=scene if "n_rows" in scene.columns else None)
-    name = f"Detected Surface Anomaly ({query_text[:30]})"
-    return extract_features(score, scene, tau, name, tile=tile, geometry=geometry)
+    """End-to-end differencing of two epochs into feature records, on tile arrays."""
+    name = f"Detected Surface Anomaly ({query_text})"
+    if geometry:
+        labelled = save_table(change_pixels(t1, t2, scene, bands, tau, tile=tile), "labelled")
+        return _records(measure_components(labelled, scene), scene, name, MIN_FEATURE_M2, tile, labelled)
+    return _records(_placed(change_components(t1, t2, scene, bands, tau, tile=tile), scene), scene, name, MIN_FEATURE_M2, tile, None)
 
 
 def grid_clusters(pixels: DataFrame, cell: int = 16, density: float = 0.22, min_cells: int = 2) -> DataFrame:
