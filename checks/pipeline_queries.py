@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from checks import raster_sql as R
 from checks.graph_queries import DELTA, NODE_SQL
-from checks.raster_queries import B3, FEATURE_SQL, _labelled, _pairs, _score
+from checks.raster_queries import B3, FEATURE_SQL, _flat, _labelled, _pairs, _score
 from checks.registry import check, with_ctes
-from checks.views import LAT0, LON0, PX_SQL, SCENE_SQL, T2_EPOCH, nodes_t1, nodes_t2, pixels, scenes, table
+from checks.views import LAT0, LON0, PX_SQL, SCENE_SQL, T2_EPOCH, nodes_t1, nodes_t2, pixels, scenes, table, with_scene
 from terradrift.functions import pixel, text
 from terradrift.functions.registry import register_sql_functions
 from terradrift.operators import align, chips, guards, mosaic, vectors
 from terradrift.plans import features, pipeline, report
 from terradrift.session import save_table, work_dir
-from terradrift.sources import geojson, tables
+from terradrift.sources import geojson, tables, tile_store
 from terradrift.streaming import detections as stream
 
 PX = "scene_id, row, col"
@@ -149,18 +149,18 @@ def _(spark, d):
 # --- chips ------------------------------------------------------------------------------------
 
 _CENTRES = (
-    "ce AS (SELECT s_suppkey AS chip_id, 'S' || (s_suppkey % 3) AS scene_id, CAST((s_suppkey * 7) % 40 AS INT) AS cr, "
+    "ce AS (SELECT s_suppkey AS chip_id, 'S' || (s_suppkey % (SELECT count(*) FROM scene)) AS scene_id, CAST((s_suppkey * 7) % 40 AS INT) AS cr, "
     "CAST((s_suppkey * 13) % 100 AS INT) AS cc FROM supplier)"
 )
 
 
-@check("r11_chips", with_ctes(PX_SQL, _CENTRES, select=(
+@check("r11_chips", with_ctes(PX_SQL, SCENE_SQL, _CENTRES, select=(
     "SELECT chip_id, CAST(y AS INT) AS row, CAST(x AS INT) AS col, coalesce(b1, 0) AS b1, coalesce(b2, 0) AS b2 FROM ce, "
     "(SELECT unnest(range(0, 8)) AS y) g, (SELECT unnest(range(0, 8)) AS x) h LEFT JOIN px2 p ON p.scene_id = ce.scene_id "
     "AND p.row = cr - 4 + y AND p.col = cc - 4 + x")))
 def _(spark, d):
-    centres = table(spark, d, "supplier").selectExpr(
-        "s_suppkey AS chip_id", "concat('S', CAST(s_suppkey % 3 AS STRING)) AS scene_id",
+    centres = with_scene(table(spark, d, "supplier"), scenes(spark, d), "s_suppkey").selectExpr(
+        "s_suppkey AS chip_id", "scene_id",
         "CAST((s_suppkey * 7) % 40 AS INT) AS cr", "CAST((s_suppkey * 13) % 100 AS INT) AS cc",
     )
     return chips.extract_chips(pixels(spark, d, 2), centres, ["b1", "b2"], 8)
@@ -471,11 +471,11 @@ def _(spark, d):
 
 
 def _requests(spark, d):
-    """Requests from the suppliers: windows on three scenes, some infeasible or out of cover."""
-    return table(spark, d, "supplier").selectExpr(
-        "concat('r', CAST(s_suppkey AS STRING)) AS request_id", "concat('S', CAST(s_suppkey % 3 AS STRING)) AS scene_id",
+    """Requests from the suppliers: windows on all scenes, some infeasible or out of cover."""
+    return with_scene(table(spark, d, "supplier"), scenes(spark, d), "s_suppkey").selectExpr(
+        "concat('r', CAST(s_suppkey AS STRING)) AS request_id", "scene_id",
         "CASE WHEN s_suppkey % 7 = 0 THEN 'a parked vehicle' ELSE 'runway extension' END AS query_text",
-        "24.9965D - (s_suppkey % 3) * 0.004D AS min_lat", "24.9999D - (s_suppkey % 3) * 0.004D AS max_lat",
+        "24.9965D - scene_no * 0.004D AS min_lat", "24.9999D - scene_no * 0.004D AS max_lat",
         "75.0002D + (s_suppkey % 10) * 0.0012D AS min_lon", "75.0062D + (s_suppkey % 10) * 0.0012D AS max_lon",
         "0.6D + (s_suppkey % 4) * 0.1D AS tau", "CASE WHEN s_suppkey % 9 = 0 THEN 70D ELSE 35D END AS cloud_percent",
         "'2024-01-15' AS t1", "'2025-01-15' AS t2",
@@ -483,9 +483,10 @@ def _requests(spark, d):
 
 
 def _analysis(spark, d):
-    return pipeline.analyze(
-        _requests(spark, d), pixels(spark, d, 1), pixels(spark, d, 2), scenes(spark, d), guards.catalogue(spark), B3
-    )
+    first, second = (tile_store.store_pixels(pixels(spark, d, e), B3, tile=16) for e in (1, 2))
+    # The quality bits of a scene's first epoch: every fifth scene is half under cloud.
+    cloud = pixels(spark, d, 1).selectExpr("scene_id", "row", "col", "CAST(CAST(substr(scene_id, 2) AS INT) % 5 = 4 AND row < 20 AS INT) AS mask")
+    return pipeline.analyze(_requests(spark, d), first, second, scenes(spark, d), guards.catalogue(spark), B3, cloud_mask=cloud)
 
 
 @check("l1_analyze")
@@ -525,12 +526,44 @@ def _(spark, d):
     return pipeline.sweep(score, scenes(spark, d), [0.5, 0.7, 0.9]).drop("total_area_sq_m")
 
 
-@check("l7_screened_scoring")
+_SCREEN = (
+    "hit AS (SELECT 25.0::DOUBLE - (s_suppkey % n) * 0.004::DOUBLE - 0.0001::DOUBLE - (s_suppkey % 7) * 0.0005::DOUBLE AS lat, "
+    "75.0002::DOUBLE + (s_suppkey % 9) * 0.0003::DOUBLE AS lon FROM supplier, (SELECT count(*) AS n FROM scene))",
+    "sbox AS (SELECT round_even(min(lat) - 60.0::DOUBLE / 111320.0::DOUBLE, 6) AS min_lat, round_even(max(lat) + 60.0::DOUBLE / 111320.0::DOUBLE, 6) AS max_lat, "
+    "round_even(min(lon) - 60.0::DOUBLE / (111320.0::DOUBLE * cos(radians(25.0::DOUBLE))), 6) AS min_lon, "
+    "round_even(max(lon) + 60.0::DOUBLE / (111320.0::DOUBLE * cos(radians(25.0::DOUBLE))), 6) AS max_lon FROM hit "
+    "GROUP BY CAST(trunc(lat / 0.05::DOUBLE) AS INT), CAST(trunc(lon / 0.05::DOUBLE) AS INT))",
+    "swin AS (SELECT scene_id, greatest(round_even((lat0 - max_lat) / px, 0), 0) AS row0, greatest(round_even((min_lon - lon0) / px, 0), 0) AS col0, "
+    "least(round_even((lat0 - max_lat) / px, 0) + round_even((max_lat - min_lat) / px, 0), n_rows) AS row1, "
+    "least(round_even((min_lon - lon0) / px, 0) + round_even((max_lon - min_lon) / px, 0), n_cols) AS col1 FROM scene, sbox)",
+    "screened AS (SELECT DISTINCT p.scene_id, p.row, p.col FROM px1 p JOIN swin w ON p.scene_id = w.scene_id AND w.row1 > w.row0 AND w.col1 > w.col0 "
+    "AND p.row // 16 BETWEEN w.row0 // 16 AND (w.row1 - 1) // 16 AND p.col // 16 BETWEEN w.col0 // 16 AND (w.col1 - 1) // 16)",
+)
+
+
+def _gap_blur(src: str, out: str, axis: str, size: str) -> str:
+    """Blur along an axis over the pixels that are there: mirrored at the raster's edges, weights scaled up beside gaps."""
+    across = "row" if axis == "col" else "col"
+    period = f"(2 * s.{size} - 2)"
+    place = f"(((s.{axis} + d) % {period} + {period}) % {period})"
+    return (
+        f"{out} AS (SELECT s.scene_id, s.row, s.col, s.n_rows, s.n_cols, sum(w * n.diff) / sum(w) AS diff FROM {src} s, "
+        f"(VALUES (-2, 0.0625::DOUBLE), (-1, 0.25::DOUBLE), (0, 0.375::DOUBLE), (1, 0.25::DOUBLE), (2, 0.0625::DOUBLE)) k(d, w) "
+        f"JOIN {src} n ON n.scene_id = s.scene_id AND n.{across} = s.{across} AND n.{axis} = least({place}, {period} - {place}) GROUP BY ALL)"
+    )
+
+
+@check("l7_screened_scoring", with_ctes(
+    PX_SQL, SCENE_SQL, *_SCREEN, R.PAIRS.replace("px1 a JOIN", "px1 a SEMI JOIN screened USING (scene_id, row, col) JOIN"), R.DIFF,
+    "sized AS (SELECT d.*, n_rows, n_cols FROM diff d JOIN scene USING (scene_id))", _gap_blur("sized", "bl1", "col", "n_cols"),
+    _gap_blur("bl1", "blur", "row", "n_rows"), R.NORM, R.OTSU, R.SCORE, R.MASK, R.components_sql("mask", "comp"), *FEATURE_SQL,
+    recursive=True, select="SELECT scene_id, label, feature_id, confidence, area_sq_m, area_hectares, lat, lon, n_pixels FROM feat"))
 def _(spark, d):
-    hits = table(spark, d, "supplier").selectExpr(
-        "24.9999D - (s_suppkey % 7) * 0.0009D AS lat", "75.0002D + (s_suppkey % 9) * 0.001D AS lon"
+    hits = with_scene(table(spark, d, "supplier"), scenes(spark, d), "s_suppkey").selectExpr(
+        "25.0D - scene_no * 0.004D - 0.0001D - (s_suppkey % 7) * 0.0005D AS lat", "75.0002D + (s_suppkey % 9) * 0.0003D AS lon"
     )
-    return pipeline.screened_features(hits, pixels(spark, d, 1), pixels(spark, d, 2), scenes(spark, d), 25.0, padding_m=60.0)
+    first, second = (tile_store.store_pixels(pixels(spark, d, e), B3, tile=16) for e in (1, 2))
+    return _flat(pipeline.screened_features(hits, first, second, scenes(spark, d), 25.0, padding_m=60.0, screen_tile=16))
 
 
 @check("u1_sql_functions", with_ctes(NODE_SQL, select=(

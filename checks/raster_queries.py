@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from checks import raster_sql as R
 from checks.registry import check, with_ctes
-from checks.views import PX_SQL, SCENE_SQL, hav_sql, pixels, scenes
+from checks.views import PX_SQL, SCENE_SQL, hav_sql, pixels, scenes, with_scene
 from terradrift.functions import geo, pixel
 from terradrift.operators import components, graph, polygons, raster, tile_arrays
 from terradrift.plans import features
-from terradrift.sources import tiles
+from terradrift.sources import tile_store, tiles
 from terradrift.session import save_table
 
 B3 = ("b1", "b2", "b3")
@@ -47,7 +47,8 @@ _BOUNDS = (
     "SELECT scene_id, CAST(row - row0 AS INT) AS row, CAST(col - col0 AS INT) AS col, b1, b4 FROM px1 "
     "JOIN win USING (scene_id) WHERE row >= row0 AND row < row1 AND col >= col0 AND col < col1")))
 def _(spark, d):
-    return tiles.scan_window(pixels(spark, d, 1), scenes(spark, d), AOI, ["b1", "b4", "b9"])
+    stored = tile_store.store_pixels(pixels(spark, d, 1), B4, tile=16)
+    return tile_store.scan_window(stored, scenes(spark, d), AOI, ["b1", "b4", "b9"])
 
 
 @check("s3_window_affine_gsd", with_ctes(PX_SQL, SCENE_SQL, _BOUNDS, select=(
@@ -97,14 +98,15 @@ def _(spark, d):
 
 @check("p4_geo_to_pixel", with_ctes(PX_SQL, SCENE_SQL, select=(
     "SELECT o_orderkey, scene_id, round((75.0::DOUBLE + (o_orderkey % 997) * 0.00001::DOUBLE - lon0) / px, 4) AS col, "
-    "round((25.0::DOUBLE - (o_orderkey % 911) * 0.00001::DOUBLE - lat0) / -px, 4) AS row FROM orders "
-    "JOIN scene ON scene_id = 'S' || (o_custkey % 2)")))
+    "round((25.0::DOUBLE - (o_custkey % n) * 0.004::DOUBLE - (o_orderkey % 911) * 0.00001::DOUBLE - lat0) / -px, 4) AS row FROM orders, "
+    "(SELECT count(*) AS n FROM scene) JOIN scene ON scene_id = 'S' || (o_custkey % n)")))
 def _(spark, d):
     from checks.views import table
 
-    pts = table(spark, d, "orders").selectExpr(
-        "o_orderkey", "concat('S', CAST(o_custkey % 2 AS STRING)) AS scene_id",
-        "75.0D + (o_orderkey % 997) * 0.00001D AS lon", "25.0D - (o_orderkey % 911) * 0.00001D AS lat",
+    # Every scene takes part: the key picks one of all scenes, whose rows are counted once.
+    pts = with_scene(table(spark, d, "orders"), scenes(spark, d), "o_custkey").selectExpr(
+        "o_orderkey", "scene_id",
+        "75.0D + (o_orderkey % 997) * 0.00001D AS lon", "25.0D - scene_no * 0.004D - (o_orderkey % 911) * 0.00001D AS lat",
     )
     j = pts.join(scenes(spark, d), "scene_id")
     return j.select(

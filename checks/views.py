@@ -80,6 +80,13 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_scene(rows: DataFrame, scene: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``scene_no`` and ``scene_id``: the key modulo the number of scenes, one count beside every row."""
+    n = scene.agg(F.count("*").alias("_scenes"))
+    numbered = rows.join(F.broadcast(n), F.lit(True)).withColumn("scene_no", F.expr(f"{key} % _scenes")).drop("_scenes")
+    return numbered.withColumn("scene_id", F.concat(F.lit("S"), F.col("scene_no").cast("string")))
+
+
 SCENE_SQL = (
     "scene AS (SELECT 'S' || q AS scene_id, CAST(max(r) + 1 AS INT) AS n_rows, CAST(max(c) + 1 AS INT) AS n_cols, "
     f"75.0::DOUBLE AS lon0, CAST({_SCENE_F} AS DOUBLE) AS lat0, {PIXEL_DEG}::DOUBLE AS px FROM grid GROUP BY q)"

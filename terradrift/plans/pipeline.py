@@ -16,6 +16,7 @@ from terradrift.operators.mosaic import screen_windows
 from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE, TILE_KEYS, with_tile
 from terradrift.plans import features
 from terradrift.session import save_table
+from terradrift.sources.tile_store import WINDOW, TileStore, cut_windows, window_tiles
 from terradrift.sources.tiles import window_bounds
 
 REQUEST_BOX = ["min_lat", "max_lat", "min_lon", "max_lon"]
@@ -39,37 +40,22 @@ def request_windows(requests: DataFrame, scene: DataFrame) -> DataFrame:
     return window_bounds(placed)
 
 
-def cut_windows(px: DataFrame, windows: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """Pixels of every request window, keyed by request and re-indexed to the window corner."""
-    cut = windows.filter("status = 'OK'").select("request_id", SCENE, "row0", "row1", "col0", "col1")
-    inside = (
-        (F.col("row") >= F.col("row0")) & (F.col("row") < F.col("row1"))
-        & (F.col("col") >= F.col("col0")) & (F.col("col") < F.col("col1"))
-    )
-    return (
-        px.select(*PIXEL_KEYS, *bands).join(cut, SCENE).filter(inside)
-        .select(
-            F.col("request_id").alias(SCENE), (F.col("row") - F.col("row0")).alias("row"),
-            (F.col("col") - F.col("col0")).alias("col"), *bands,
-        )
-    )
-
-
 def analyze(
     requests: DataFrame,
-    t1: DataFrame,
-    t2: DataFrame,
+    t1: DataFrame | TileStore,
+    t2: DataFrame | TileStore,
     scene: DataFrame,
     terms: DataFrame,
     bands: Sequence[str] = ("b1", "b2", "b3"),
-    cloud_mask: DataFrame | None = None,
+    cloud_mask: DataFrame | TileStore | None = None,
     tile: int = DEFAULT_TILE,
     align_reach: int = 2,
 ) -> Analysis:
     """Guards, windows, normalisation, alignment, scoring, vectorising and totals for all requests.
 
     Rejected requests stop at their guard and only show up in the status table. ``requests``
-    has ``request_id, scene_id, query_text``, the box, ``tau`` and ``cloud_percent``.
+    has ``request_id, scene_id, query_text``, the box, ``tau`` and ``cloud_percent``. Of stored tiles
+    only those that a window meets are read.
     """
     valid = guards.validate_requests(requests)
     form = valid.select("request_id", F.when(F.col("problem").isNull(), "OK").otherwise("REJECTED_INVALID_REQUEST").alias("status"))
@@ -82,7 +68,7 @@ def analyze(
     )
     verdicts = [form, resolution.select("request_id", "status"), cover]
     if cloud_mask is not None:
-        masked = cut_windows(cloud_mask, bounds.withColumnRenamed("coverage", "status"), ["mask"])
+        masked = cut_windows(cloud_mask, bounds.filter("coverage = 'OK'"), ["mask"])
         share = masked.groupBy(F.col(SCENE).alias("request_id")).agg(F.avg((F.col("mask") != 0).cast("double")).alias("ratio"))
         clouds = valid.join(share, "request_id", "left").select(
             "request_id",
@@ -181,17 +167,13 @@ def sweep(score: DataFrame, scene: DataFrame, taus: Sequence[float], tile: int =
 
 def screened_tiles(windows: DataFrame, screen_tile: int) -> DataFrame:
     """Distinct ``(scene_id, tile_r, tile_c)`` that any window touches, however many windows overlap there."""
-
-    def span(low: str, high: str):
-        return F.sequence(F.floor(F.col(low) / screen_tile).cast("int"), F.floor((F.col(high) - 1) / screen_tile).cast("int"))
-
-    rows = windows.select(SCENE, F.explode(span("row0", "row1")).alias("tile_r"), "col0", "col1")
-    return rows.select(SCENE, "tile_r", F.explode(span("col0", "col1")).alias("tile_c")).distinct()
+    return window_tiles(windows.select(SCENE, *WINDOW), screen_tile).select(*TILE_KEYS).distinct()
 
 
 def screened_features(
-    hits: DataFrame, t1: DataFrame, t2: DataFrame, scene: DataFrame, ref_lat: float, bands: Sequence[str] = ("b1", "b2", "b3"),
+    hits: DataFrame, t1: DataFrame | TileStore, t2: DataFrame | TileStore, scene: DataFrame, ref_lat: float, bands: Sequence[str] = ("b1", "b2", "b3"),
     padding_m: float = 2500.0, tau: float = features.DEFAULT_TAU, tile: int = DEFAULT_TILE, screen_tile: int = 64,
+    class_name: str = "Tactical Change Detection",
 ) -> DataFrame:
     """Score only the imagery in tiles touched by padded boxes around structural-query hits.
 
@@ -201,8 +183,11 @@ def screened_features(
     windows = request_windows(screen_windows(scene, boxes), scene).filter("status = 'OK'")
     wanted = save_table(screened_tiles(windows, screen_tile), "screen-tiles")
 
-    def inside(px: DataFrame) -> DataFrame:
+    def inside(px: DataFrame | TileStore) -> DataFrame:
+        if isinstance(px, TileStore):
+            ends = {f"{k}{i}": (F.col(f"tile_{k[0]}") + i) * screen_tile for k in ("row", "col") for i in (0, 1)}
+            px = px.pixels(save_table(screened_tiles(wanted.withColumns(ends), px.tile), "stored-tiles"), bands)
         return with_tile(px.select(*PIXEL_KEYS, *bands), screen_tile).join(wanted, TILE_KEYS, "left_semi").drop("tile_r", "tile_c")
 
-    score, _ = features.spectral_score(inside(t1), inside(t2), bands, tile=tile, dims=scene)
-    return features.extract_features(score, scene.select(SCENE, "affine"), tau, tile=tile)
+    found = features.difference_features(inside(t1), inside(t2), scene, bands, tau, tile=tile)
+    return found.withColumn("class", F.lit(class_name))

@@ -33,8 +33,8 @@ class AreaOfInterest:
         return {k: F.lit(float(getattr(self, k))) for k in ("min_lat", "max_lat", "min_lon", "max_lon")}
 
 
-def available_bands(px: DataFrame, bands: Sequence[str]) -> list[str]:
-    """Requested bands that exist, in request order; an error when none does."""
+def available_bands(px, bands: Sequence[str]) -> list[str]:
+    """Requested bands among ``px.columns``, in request order; an error when none exists."""
     found = [b for b in bands if b in px.columns]
     if not found:
         raise ValueError(f"none of the bands {list(bands)} exist; table has {px.columns}")
@@ -86,24 +86,6 @@ def window_bounds(scene: DataFrame) -> DataFrame:
     ).drop("_c1", "_c2", "_r1", "_r2", "_c0", "_w", "_r0", "_h")
 
 
-def scan_window(px: DataFrame, scene: DataFrame, aoi: AreaOfInterest, bands: Sequence[str]) -> DataFrame:
-    """Pixels of the requested bands inside the box, re-indexed to the window corner.
-
-    ``scene`` is the small scene table; joined on ``scene_id`` the planner broadcasts it
-    and pixel columns that are not asked for are never read.
-    """
-    bounds = window_bounds(scene.withColumns(aoi.columns())).filter("status = 'OK'")
-    keep = available_bands(px, bands)
-    hits = px.select(*PIXEL_KEYS, *keep).join(bounds.select(SCENE, "row0", "row1", "col0", "col1"), SCENE)
-    inside = (
-        (F.col("row") >= F.col("row0")) & (F.col("row") < F.col("row1"))
-        & (F.col("col") >= F.col("col0")) & (F.col("col") < F.col("col1"))
-    )
-    return hits.filter(inside).select(
-        SCENE, (F.col("row") - F.col("row0")).alias("row"), (F.col("col") - F.col("col0")).alias("col"), *keep
-    )
-
-
 def pack_tiles(px: DataFrame, bands: Sequence[str], tile: int = DEFAULT_TILE) -> DataFrame:
     """Tile rows with one row-major array per band; absent pixels keep their place as NULL."""
     cell = F.struct("row", "col", *bands)

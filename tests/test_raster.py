@@ -8,7 +8,7 @@ from terradrift.functions.geo import multipolygon_area_m2
 from terradrift.operators import align, components, mosaic, polygons, raster
 from terradrift.plans import features
 from terradrift.session import save_table
-from terradrift.sources import tiles
+from terradrift.sources import tile_store, tiles
 
 
 def test_percentile_stretch_range_and_nodata(spark):
@@ -275,13 +275,13 @@ def test_window_scan_and_pushdown(spark, tmp_path):
     px = pixel_frame(spark, {"b1": np.arange(512 * 64).reshape(512, 64), "b2": np.zeros((512, 64), int)})
     scene = scene_frame(spark, 512, 64, lon=74.56, lat=34.166)
     aoi = tiles.AreaOfInterest(34.13, 34.15, 74.561, 74.563)
-    out = tiles.scan_window(px, scene, aoi, ["b1", "b7"]).collect()
+    out = tile_store.scan_window(px, scene, aoi, ["b1", "b7"]).collect()
     assert len(out) == 200 * 20 and max(r.row for r in out) == 199 and max(r.col for r in out) == 19
     far = tiles.window_bounds(scene.withColumns(tiles.AreaOfInterest(10, 10.1, 10, 10.1).columns())).first()
     near = tiles.window_bounds(scene.withColumns(aoi.columns())).first()
     assert far.status == "NO_COVERAGE" and near.status == "OK" and 5 <= near.gsd_m <= 20
     with pytest.raises(ValueError):
-        tiles.scan_window(px, scene, aoi, ["b8"])
+        tile_store.scan_window(px, scene, aoi, ["b8"])
     path = str(tmp_path / "tiles")
     tiles.write_tiles(tiles.pack_tiles(px, ["b1", "b2"], 32), path)
     part = tiles.read_tiles(spark, path, ["b1"], rows=(100, 140), cols=(0, 40), tile=32)
