@@ -9,7 +9,7 @@ from checks.views import (
     LAT0, LON0, NODE_SQL, T1_EPOCH, T2_EPOCH, ZONE_SQL, hav_sql, near_sql, nodes_t1, nodes_t2, plane_sql, zones,
 )
 from terradrift.functions import classify, geo, gridref
-from terradrift.operators import graph
+from terradrift.operators import footprint, graph
 from terradrift.operators.spatial_join import Plane, bbox_query, distance_join, has_within, nearest_join, radius_query, zone_join
 from terradrift.plans import structural
 from terradrift.session import save_table
@@ -133,6 +133,38 @@ def _(spark, d):
     return nodes_t1(spark, d).withColumn("ring", ring).select("node_id", F.round(geo.ring_area_m2("ring"), 2).alias("area"))
 
 
+_SHAPE = "CAST(substr(node_id, 2) AS BIGINT) % 3"
+
+
+def _box_ring(a, b, lo, hi):
+    """Corners at fractions of the node's box, as columns; a ring of four sides."""
+    x = {f: F.col("min_lon") + (F.col("max_lon") - F.col("min_lon")) * f for f in (a, b)}
+    y = {f: F.col("min_lat") + (F.col("max_lat") - F.col("min_lat")) * f for f in (lo, hi)}
+    return F.array(*[F.array(x[i], y[j]) for i, j in ((a, lo), (b, lo), (b, hi), (a, hi), (a, lo))])
+
+
+def _part_q(a, b):
+    at = "(min_lat + (max_lat - min_lat) * {}::DOUBLE)"
+    return f"({_zone_q(at.format(b))} - {_zone_q(at.format(a))})"
+
+
+@check("p8_footprint", with_ctes(NODE_SQL, select=(
+    f"SELECT node_id, round(radians(max_lon - min_lon) * {geo.WGS84_B**2 / 2!r} * CASE {_SHAPE} WHEN 0 THEN {_part_q(0, 1)} / 2 "
+    f"WHEN 1 THEN {_part_q(0, 1)} - {_part_q(0.25, 0.75)} / 2 ELSE {_part_q(0, 1)} - {_part_q(0.25, 0.75)} / 2 + {_part_q(0.375, 0.625)} / 4 END, 2) AS area_sq_m, "
+    f"round(CASE {_SHAPE} WHEN 1 THEN min_lon + (max_lon - min_lon) * 7 / 12.0::DOUBLE ELSE (min_lon + max_lon) / 2 END, 6) AS lon, "
+    "round((min_lat + max_lat) / 2, 6) AS lat FROM node1")))
+def _(spark, d):
+    """Bow-ties, rectangles with a hole at their edge, and islands in holes, one shape per node."""
+    nodes = nodes_t1(spark, d)
+    bow = F.array(*[F.array(x, y) for x, y in (("min_lon", "min_lat"), ("max_lon", "min_lat"), ("min_lon", "max_lat"), ("max_lon", "max_lat"))])
+    full, edge = _box_ring(0.0, 1.0, 0.0, 1.0), _box_ring(0.0, 0.5, 0.25, 0.75)
+    ring, isle = _box_ring(0.25, 0.75, 0.25, 0.75), _box_ring(0.375, 0.625, 0.375, 0.625)
+    shape = F.expr(_SHAPE)
+    geometry = F.when(shape == 0, F.array(F.array(bow))).when(shape == 1, F.array(F.array(full, edge))).otherwise(F.array(F.array(full, ring), F.array(isle)))
+    found = footprint.footprints(nodes.select("node_id", geometry.alias("geometry")), "node_id")
+    return found.select("node_id", F.round("area_sq_m", 2).alias("area_sq_m"), "lon", "lat")
+
+
 _GRID_POINTS = [
     "node_id", "-83.0 + (area_m2 * 7.31) % 168.0 AS lat", "-180.0 + area_m2 * 0.0119 AS lon",
 ]

@@ -79,7 +79,7 @@ def ground_sample_distance(affine, is_geographic, mean_lat) -> Column:
     return F.when(_c(is_geographic), F.sqrt(pixel_area * per_lat * per_lon)).otherwise(F.sqrt(pixel_area))
 
 
-def _zone(lat) -> Column:
+def authalic_zone(lat) -> Column:
     """Ellipsoidal zone function q; area of a lat band is b^2/2 * dlon * (q2 - q1)."""
     s = F.sin(F.radians(_c(lat)))
     return s / (1 - WGS84_E2 * s * s) + F.atanh(WGS84_E * s) / WGS84_E
@@ -87,7 +87,7 @@ def _zone(lat) -> Column:
 
 def cell_area_m2(lat_a, lat_b, lon_span_deg) -> Column:
     """Exact WGS84 area of a latitude-longitude cell."""
-    return F.abs(F.radians(_c(lon_span_deg)) * (_zone(lat_a) - _zone(lat_b))) * (WGS84_B**2 / 2)
+    return F.abs(F.radians(_c(lon_span_deg)) * (authalic_zone(lat_a) - authalic_zone(lat_b))) * (WGS84_B**2 / 2)
 
 
 def ring_area_m2(ring) -> Column:
@@ -97,7 +97,7 @@ def ring_area_m2(ring) -> Column:
     """
     ring = _c(ring)
     nxt = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-    strips = F.zip_with(ring, nxt, lambda p, n: F.radians(n[0] - p[0]) * (_zone(p[1]) + _zone(n[1])) / 2)
+    strips = F.zip_with(ring, nxt, lambda p, n: F.radians(n[0] - p[0]) * (authalic_zone(p[1]) + authalic_zone(n[1])) / 2)
     return F.abs(F.aggregate(strips, F.lit(0.0), lambda acc, s: acc + s)) * (WGS84_B**2 / 2)
 
 
