@@ -353,6 +353,21 @@ def _(spark, d):
 _HAB = hav_sql("a", "b")
 
 
+@check("g1_gabriel_network", with_ctes(
+    NODE_SQL, edge_sql(1),
+    f"ge AS (SELECT e.*, (a.lat + b.lat) / 2 AS mlat, (a.lon + b.lon) / 2 AS mlon, {plane_sql('a', 'b')} / 2 AS half FROM edge1 e "
+    "JOIN node1 a ON a.node_id = source_id JOIN node1 b ON b.node_id = target_id), "
+    "near_mid AS (SELECT g.*, CAST(floor(mlat / 0.002::DOUBLE) AS BIGINT) + dy AS cy, CAST(floor(mlon / 0.0025::DOUBLE) AS BIGINT) + dx AS cx FROM ge g, "
+    "(SELECT unnest([-1, 0, 1]) AS dy) y, (SELECT unnest([-1, 0, 1]) AS dx) x), "
+    "m AS (SELECT m.*, c.lat AS lat, c.lon AS lon FROM near_mid m JOIN node1 c ON CAST(floor(c.lat / 0.002::DOUBLE) AS BIGINT) = cy "
+    "AND CAST(floor(c.lon / 0.0025::DOUBLE) AS BIGINT) = cx), "
+    "mm AS (SELECT edge_id, half, mlat AS lat, mlon AS lon, struct_pack(lat := lat, lon := lon) AS c FROM m), "
+    f"blocked AS (SELECT edge_id FROM (SELECT edge_id, half, {plane_sql('mm', 'mm.c')} AS d FROM mm) WHERE d < half * (1 - 1e-9) - 1e-6::DOUBLE)",
+    select=f"SELECT {EDGE_COLS} FROM edge1 WHERE edge_id NOT IN (SELECT edge_id FROM blocked)"))
+def _(spark, d):
+    return graph.gabriel_network(nodes_t1(spark, d), EDGE_M, LAT0, LON0)
+
+
 @check("g1_triangulated_network")
 def _(spark, d):
     return graph.triangulated_network(nodes_t1(spark, d), 1200.0, LAT0, LON0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terradrift.functions.classify import relation_type
 from terradrift.functions.geo import METRES_PER_DEGREE
-from terradrift.operators.spatial_join import GLOBE, Plane, distance_join, nearest_join
+from terradrift.operators.spatial_join import GLOBE, Plane, distance_join, nearest_join, nearest_k, zone_join
 from terradrift.operators.triangulate import delaunay_pairs
 from terradrift.session import save_table
 
@@ -55,15 +55,51 @@ def radius_network(nodes: DataFrame, max_distance_m: float = PROXIMITY_M, connec
     return as_edges(close_pairs(nodes, max_distance_m), connect_roads)
 
 
+def _with_ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs ``(source_id, target_id)`` with class, place and epoch of their nodes."""
+    left, right = _ends(nodes)
+    return pairs.join(left, "source_id").join(right, "target_id")
+
+
 def knn_network(nodes: DataFrame, k: int, max_distance_m: float = PROXIMITY_M, connect_roads: bool = True) -> DataFrame:
     """Edges from each node to its k nearest within reach, each unordered pair once."""
-    pairs = close_pairs(nodes, max_distance_m)
-    ways = pairs.select("*", F.col("source_id").alias("_me"), F.col("target_id").alias("_you")).unionByName(
-        pairs.select("*", F.col("target_id").alias("_me"), F.col("source_id").alias("_you"))
+    near = nearest_k(nodes, "node_id", k, max_distance_m)
+    pairs = near.select(F.least("node_id", "other").alias("source_id"), F.greatest("node_id", "other").alias("target_id"), "distance_m")
+    return as_edges(_with_ends(pairs.dropDuplicates(["source_id", "target_id"]), nodes), connect_roads)
+
+
+def _plane(nodes: DataFrame, lat0: float | None, lon0: float | None) -> tuple[float, float] | None:
+    """The place where the plane touches: as given, else the middle of the nodes' box; None without nodes."""
+    if lat0 is not None and lon0 is not None:
+        return lat0, lon0
+    box = nodes.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    return None if box[0] is None else ((box[0] + box[1]) / 2, (box[2] + box[3]) / 2)
+
+
+def gabriel_network(
+    nodes: DataFrame, max_distance_m: float = PROXIMITY_M, lat0: float | None = None, lon0: float | None = None,
+    connect_roads: bool = True,
+) -> DataFrame:
+    """Edges within reach whose diameter circle holds no other node; a part of the triangulation.
+
+    The triangulation's edges are the candidates; a node inside the circle about an edge's middle, by more than a micrometre, rules it out.
+    Circles meet nodes on cells of their own size, so long edges do not widen the search of short ones.
+    """
+    touch = _plane(nodes, lat0, lon0)
+    if touch is None:
+        return radius_network(nodes, max_distance_m, connect_roads)
+    plane = Plane(*touch)
+    pairs = delaunay_pairs(nodes, *touch).withColumnsRenamed({"a": "source_id", "b": "target_id"})
+    ends = _with_ends(pairs, nodes).withColumn("distance_m", GLOBE.distance("lat", "lon", "r_lat", "r_lon"))
+    ends = save_table(ends.filter(F.col("distance_m") <= max_distance_m), "gabriel-candidates")
+    circles = ends.select(
+        F.struct("source_id", "target_id").alias("zone_name"), ((F.col("lat") + F.col("r_lat")) / 2).alias("lat"),
+        ((F.col("lon") + F.col("r_lon")) / 2).alias("lon"), (plane.distance("lat", "lon", "r_lat", "r_lon") / 2).alias("radius_m"),
     )
-    rank = F.row_number().over(W.partitionBy("_me").orderBy("distance_m", "_you"))
-    kept = ways.withColumn("_k", rank).filter(F.col("_k") <= k).drop("_k", "_me", "_you")
-    return as_edges(kept.dropDuplicates(["source_id", "target_id"]), connect_roads)
+    held = zone_join(nodes.select("node_id", "lat", "lon"), circles, plane)
+    half = circles.select("zone_name", F.col("radius_m").alias("half"))
+    inside = held.join(half, "zone_name").filter("distance_m < half * (1 - 1e-9) - 1e-6").select("zone_name.source_id", "zone_name.target_id").distinct()
+    return as_edges(ends.join(inside, ["source_id", "target_id"], "left_anti"), connect_roads)
 
 
 def triangulated_network(
@@ -71,14 +107,11 @@ def triangulated_network(
     connect_roads: bool = True,
 ) -> DataFrame:
     """Edges of the Delaunay triangulation within reach. The plane touches at the given place, else mid-box."""
-    if lat0 is None or lon0 is None:
-        box = nodes.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-        if box[0] is None:
-            return radius_network(nodes, max_distance_m, connect_roads)
-        lat0, lon0 = (box[0] + box[1]) / 2, (box[2] + box[3]) / 2
-    pairs = delaunay_pairs(nodes, lat0, lon0)
-    left, right = _ends(nodes)
-    ends = pairs.withColumnsRenamed({"a": "source_id", "b": "target_id"}).join(left, "source_id").join(right, "target_id")
+    touch = _plane(nodes, lat0, lon0)
+    if touch is None:
+        return radius_network(nodes, max_distance_m, connect_roads)
+    pairs = delaunay_pairs(nodes, *touch)
+    ends = _with_ends(pairs.withColumnsRenamed({"a": "source_id", "b": "target_id"}), nodes)
     dist = GLOBE.distance("lat", "lon", "r_lat", "r_lon")
     return as_edges(ends.withColumn("distance_m", dist).filter(F.col("distance_m") <= max_distance_m), connect_roads)
 

@@ -67,28 +67,65 @@ def scene_dims(px: DataFrame) -> DataFrame:
 # --- statistics -------------------------------------------------------------------------------
 
 
+def _rank_bins(values: DataFrame, open_ranks: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """One round of the selection: the open ranks with the range of the bin each falls into, and its rank within that bin.
+
+    ``open_ranks`` has ``keys``, ``r`` (a rank from 0 among the values within ``lo``..``hi``) and that range. Bins hold a count, a
+    least and a greatest value; what is left over is at most ``bins`` rows per rank.
+    """
+    ranges = open_ranks.select(*keys, "lo", "hi").distinct()
+    inside = values.join(ranges, keys).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    # Halves, because the span of two doubles may overflow.
+    share = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+    place = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1))
+    counted = inside.groupBy(*keys, "lo", "hi", place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
+    order = W.partitionBy(*keys, "lo", "hi").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    seen = counted.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    hit = open_ranks.join(seen, [*keys, "lo", "hi"]).filter((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("n")))
+    return hit.select(*keys, "rank", (F.col("r") - F.col("before")).alias("r"), F.col("first").alias("lo"), F.col("last").alias("hi"))
+
+
+def select_ranks(values: DataFrame, ranks: DataFrame, keys: list[str], bins: int = 4096) -> DataFrame:
+    """``(keys, rank, v)``: the exact value at every rank (from 0, in ascending order) of ``values(keys, v)`` without nulls or NaN.
+
+    ``ranks`` has ``keys, rank`` and the least and greatest value ``lo``, ``hi`` of the key. Each pass counts the values between
+    the ends of a rank's bin in ``bins`` finer bins, until its bin holds one number; only counts and ends are shuffled, so no
+    task meets the values of a key. Evenly spread doubles take two or three passes, 16-bit numbers two.
+    """
+    now = ranks.select(*keys, "rank", F.col("rank").alias("r"), "lo", "hi")
+    settled = []
+    while True:
+        found = save_table(_rank_bins(values, now, keys, bins), "rank-bins")
+        settled.append(found.filter("lo = hi").select(*keys, "rank", F.col("lo").alias("v")))
+        now = found.filter("lo < hi")
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+
+
 def band_percentiles(
     px: DataFrame, bands: Sequence[str], low: float = 2.0, high: float = 98.0, nodata: float | None = None
 ) -> DataFrame:
     """Linear-interpolated percentiles per scene and band over valid pixels.
 
-    Values are counted first, so a scene holding most of the data reaches its final
-    task as at most one row per distinct number (65 536 for 16-bit bands).
+    The values at the two or four ranks that bracket the percentiles are selected by nested histograms, so a scene's task
+    reads counts of bins, however many distinct numbers its bands hold.
     """
     if not 0.0 <= low < high <= 100.0:
         raise ValueError("percentiles must satisfy 0 <= low < high <= 100")
     pairs = F.array(*[F.struct(F.lit(b).alias("band"), valid_or_null(b, nodata).alias("v")) for b in bands])
-    counts = (
-        px.select(SCENE, F.explode(pairs).alias("x"))
-        .select(SCENE, "x.band", "x.v")
-        .filter(F.col("v").isNotNull())
-        .groupBy(SCENE, "band", "v")
-        .agg(F.count("*").alias("n"))
-    )
-    return counts.groupBy(SCENE, "band").agg(
-        F.percentile("v", low / 100.0, F.col("n")).alias("p_low"),
-        F.percentile("v", high / 100.0, F.col("n")).alias("p_high"),
-    )
+    keys = [SCENE, "band"]
+    values = px.select(SCENE, F.explode(pairs).alias("x")).select(SCENE, "x.band", F.col("x.v").cast("double").alias("v")).filter(F.col("v").isNotNull())
+    ends = save_table(values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "ends")
+    places = {"p_low": (F.col("n") - 1) * (low / 100.0), "p_high": (F.col("n") - 1) * (high / 100.0)}
+    sides = F.array(*[f(at).cast("bigint") for at in places.values() for f in (F.floor, F.ceil)])
+    ranks = ends.withColumn("rank", F.explode(F.array_distinct(sides))).select(*keys, "rank", "lo", "hi")
+    found = select_ranks(values, ranks, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+
+    def between(at: Column) -> Column:
+        under, over = F.col("at")[F.floor(at).cast("bigint")], F.col("at")[F.ceil(at).cast("bigint")]
+        return F.when(under == over, under).otherwise((F.ceil(at) - at) * under + (at - F.floor(at)) * over)
+
+    return ends.join(found, keys).select(*keys, *[between(at).alias(k) for k, at in places.items()])
 
 
 def percentile_normalise(

@@ -376,14 +376,65 @@ def bbox_query(nodes: DataFrame, min_lat: float, min_lon: float, max_lat: float,
     return nodes.filter(F.col("lat").between(min_lat, max_lat) & F.col("lon").between(min_lon, max_lon))
 
 
-def zone_join(nodes: DataFrame, zones: DataFrame) -> DataFrame:
+def zone_join(nodes: DataFrame, zones: DataFrame, metric=GLOBE) -> DataFrame:
     """Nodes inside zones of individual radius; adds ``zone_name`` and ``distance_m``.
 
-    The zone table is the one that is copied to cells; nodes keep one row each.
+    Zones are joined level by level: those whose radius lies between two powers of two share one cell size, so a wide zone
+    does not coarsen the cells of the others. There are as many joins as levels in use, a few dozen at most. Zones with a
+    null or negative radius hold nothing.
     """
-    widest = zones.agg(F.max("radius_m")).first()[0]
-    if widest is None:
-        widest = 1.0
-    centres = zones.select("zone_name", F.col("lat").alias("z_lat"), F.col("lon").alias("z_lon"), "radius_m")
-    pairs = distance_join(centres, nodes, float(widest), left_pos=("z_lat", "z_lon"), right_pos=("lat", "lon"))
-    return pairs.filter(F.col("distance_m") <= F.col("radius_m")).drop("z_lat", "z_lon", "radius_m")
+    level = F.ceil(F.log2(F.greatest("radius_m", F.lit(1.0)))).cast("int")
+    centres = zones.select("zone_name", F.col("lat").alias("z_lat"), F.col("lon").alias("z_lon"), "radius_m", level.alias("_level"))
+    centres = save_table(centres.filter("radius_m >= 0"), "zones")
+    levels = [r[0] for r in centres.select("_level").distinct().collect()] or [0]
+
+    def at(k: int) -> DataFrame:
+        mine = centres.filter(F.col("_level") == k).drop("_level")
+        pairs = distance_join(mine, nodes, float(2**k), metric, left_pos=("z_lat", "z_lon"), right_pos=("lat", "lon"))
+        return pairs.filter(F.col("distance_m") <= F.col("radius_m")).drop("z_lat", "z_lon", "radius_m")
+
+    return _union([at(k) for k in sorted(levels)])
+
+
+def _top(pairs: DataFrame, owner: str, order: list[str], k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy(owner).orderBy(*order))
+    return pairs.withColumn("_k", rank).filter(F.col("_k") <= k).drop("_k")
+
+
+def nearest_k(points: DataFrame, ident: str, k: int, max_distance_m: float, metric=GLOBE) -> DataFrame:
+    """``(ident, other, distance_m)``: of every point the ``k`` nearest others within ``max_distance_m``, ties to the smaller id.
+
+    The search widens in steps of four. A point starts at the finest step at which its cell holds more than ``k`` places, and
+    stops as soon as ``k`` places lie within the step's radius; so each place meets a bounded number of starting points,
+    whatever the density, and no list of all pairs within reach is made. Points at one exact place search as one.
+    """
+    me = points.select(F.col(ident).alias("_id"), "lat", "lon").filter("_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    me = save_table(me.join(me.groupBy("lat", "lon").agg(F.min("_id").alias("_spot")), ["lat", "lon"]), "knn-points")
+    spots = save_table(me.filter("_id = _spot").select("_spot", "lat", "lon").distinct(), "knn-spots")
+    members = save_table(_top(me.select("_id", "_spot").distinct(), "_spot", ["_id"], k + 1), "knn-members")
+    steps = [float(max_distance_m)]
+    while len(steps) < 12:
+        fullest = with_cell(spots, steps[-1], metric).groupBy(*CELL).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if (fullest or 0) <= 32 * (k + 1):
+            break
+        steps.append(steps[-1] / 4)
+    others = spots.select(F.col("_spot").alias("_other"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    waiting, settled = spots, []
+    for i, radius in reversed(list(enumerate(steps))):
+        asking = waiting
+        if i:
+            full = with_cell(spots, radius, metric).groupBy(*CELL).agg(F.count("*").alias("n")).filter(F.col("n") > k)
+            asking = with_cell(waiting, radius, metric).join(full, CELL, "left_semi").drop(*CELL)
+        near = distance_join(asking, others, radius, metric).filter("_spot <> _other").select("_spot", "_other", "distance_m")
+        best = save_table(_top(near, "_spot", ["distance_m", "_other"], k), "knn-best")
+        done = best.groupBy("_spot").agg(F.count("*").alias("n")).filter(F.col("n") >= (k if i else 1)).select("_spot")
+        settled.append(best.join(done, "_spot", "left_semi"))
+        if i:
+            waiting = save_table(waiting.join(done, "_spot", "left_anti"), "knn-waiting")
+    mine = members.withColumnsRenamed({"_id": "_other_id", "_spot": "_other"})
+    around = _union(settled).join(mine, "_other").select("_spot", "_other_id", "distance_m")
+    own = members.select("_spot", F.col("_id").alias("_other_id"), F.lit(0.0).alias("distance_m"))
+    listed = save_table(_top(around.unionByName(own), "_spot", ["distance_m", "_other_id"], k + 1), "knn-lists")
+    pairs = me.select("_id", "_spot").distinct().join(listed, "_spot").filter("_id <> _other_id")
+    best = _top(pairs, "_id", ["distance_m", "_other_id"], k)
+    return best.select(F.col("_id").alias(ident), F.col("_other_id").alias("other"), "distance_m")
