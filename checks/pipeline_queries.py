@@ -11,7 +11,7 @@ from checks.registry import check, with_ctes
 from checks.views import LAT0, LON0, PX_SQL, SCENE_SQL, T2_EPOCH, nodes_t1, nodes_t2, pixels, scenes, table, with_scene
 from terradrift.functions import pixel, text
 from terradrift.functions.registry import register_sql_functions
-from terradrift.operators import align, chips, guards, mosaic, vectors
+from terradrift.operators import align, chips, guards, mosaic, similarity_cells, vectors
 from terradrift.plans import features, pipeline, report
 from terradrift.session import save_table, work_dir
 from terradrift.sources import geojson, tables, tile_store
@@ -327,7 +327,7 @@ def _(spark, d):
 def _(spark, d):
     items = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("item_vec"))
     queries = _centroids(spark, d).select(F.col("label").alias("query_id"), F.col("centre").alias("query_vec"))
-    return vectors.top_similar(queries, items, 5).withColumn("score", F.round("score", 6))
+    return similarity_cells.top_similar(queries, items, 5).withColumn("score", F.round("score", 6))
 
 
 # --- digests and reports ----------------------------------------------------------------------

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terradrift.operators.tiling import DEFAULT_TILE, PIXEL_KEYS, SCENE, at_offset, drop_halo, with_halo
+from terradrift.session import save_table
 
 MIN_CORRELATION = 0.65
 MIN_SPREAD = 1e-4
@@ -24,11 +26,12 @@ def _correlation(a: str, b: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), spread)
 
 
-def shift_scores(planes: DataFrame, reach: int = 2, tile: int = DEFAULT_TILE) -> DataFrame:
+def shift_scores(planes: DataFrame, reach: int = 2, tile: int = DEFAULT_TILE, counts: bool = False) -> DataFrame:
     """Correlation of ``l1[r, c]`` with ``l2[r + dy, c + dx]`` for every shift within ``reach``.
 
     All shifts are columns made by neighbour lookups inside halo tiles, so the pixels are
-    shuffled once and reduced in one aggregate instead of being copied per shift.
+    shuffled once and reduced in one aggregate instead of being copied per shift. ``counts`` adds the places ``n`` that both
+    planes hold at a shift and ``n_first`` of the first plane.
     """
     steps = range(-reach, reach + 1)
     tiles = with_halo(planes.select(*PIXEL_KEYS, "l1", "l2"), reach, tile)
@@ -37,14 +40,17 @@ def shift_scores(planes: DataFrame, reach: int = 2, tile: int = DEFAULT_TILE) ->
     tiles = tiles.withColumns({_name("s", dy, dx): at_offset(_name("v", dy), "col", dx) for dy in steps for dx in steps})
     scores = [_correlation("l1", _name("s", dy, dx)).alias(_name("s", dy, dx)) for dy in steps for dx in steps]
     spread = F.least(F.stddev_pop("l1"), F.stddev_pop("l2")).alias("spread")
-    wide = drop_halo(tiles, tile).groupBy(SCENE).agg(spread, *scores)
+    both = [F.count(F.when(F.col("l1").isNotNull(), F.col(_name("s", dy, dx)))).alias(_name("n", dy, dx)) for dy in steps for dx in steps] if counts else []
+    wide = drop_halo(tiles, tile).groupBy(SCENE).agg(spread, F.count("l1").alias("n_first"), *scores, *both)
     listed = F.array(
         *[
-            F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.col(_name("s", dy, dx)).alias("score"))
+            F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.col(_name("s", dy, dx)).alias("score"),
+                     *([F.col(_name("n", dy, dx)).alias("n")] if counts else []))
             for dy in steps for dx in steps
         ]
     )
-    return wide.select(SCENE, "spread", F.explode(listed).alias("s")).select(SCENE, "spread", "s.*")
+    kept = [SCENE, "spread", *(["n_first"] if counts else [])]
+    return wide.select(*kept, F.explode(listed).alias("s")).select(*kept, "s.*")
 
 
 def best_shift(scores: DataFrame, min_correlation: float = MIN_CORRELATION) -> DataFrame:
@@ -78,6 +84,61 @@ def best_shift(scores: DataFrame, min_correlation: float = MIN_CORRELATION) -> D
     )
 
 
+def _halved(plane: DataFrame, level: int) -> DataFrame:
+    """Means of a plane ``(scene_id, row, col, v)`` over squares of ``2 ** level`` pixels."""
+    if not level:
+        return plane
+    place = {k: F.floor(F.col(k) / 2**level).cast("int") for k in ("row", "col")}
+    return plane.groupBy(SCENE, *[v.alias(k) for k, v in place.items()]).agg(F.avg("v").alias("v"))
+
+
+def pyramid_shift(
+    planes: DataFrame, max_shift: int = 32, min_correlation: float = MIN_CORRELATION, beam: int = 3, tile: int = DEFAULT_TILE, min_cells: int = 64
+) -> DataFrame:
+    """Best shift per scene as :func:`best_shift`, searched from coarse to fine up to ``max_shift`` pixels along both axes.
+
+    ``planes`` holds ``(scene_id, row, col, l1, l2)``. Level k compares means over squares of ``2 ** k`` pixels; it tries the
+    shifts within two squares of every candidate of the level above and keeps the ``beam`` best for the next. The finest level
+    starts from the best one, compares pixels and refines by a parabola, so every level has 25 score columns however far the
+    scenes are apart. A scene joins in at the first level at which it has ``min_cells`` squares; of the places of a shift
+    at least a quarter must be seen.
+    """
+    top = 0
+    while 2 * 2**top < max_shift:
+        top += 1
+    one, two = (planes.select(*PIXEL_KEYS, F.col(c).alias("v")) for c in ("l1", "l2"))
+    known = None
+    for level in range(top, -1, -1):
+        a = _halved(one.filter(F.col("v").isNotNull()), level)
+        b = _halved(two.filter(F.col("v").isNotNull()), level)
+        a, b = (save_table(x, "pyramid") for x in (a, b)) if level else (a, b)
+        wide = a.groupBy(SCENE).agg(F.count("*").alias("n"))
+        if level:
+            wide = wide.filter(F.col("n") >= min_cells)
+        start = wide.select(SCENE, F.lit(0).alias("base"), F.lit(0).alias("by"), F.lit(0).alias("bx"))
+        if known is not None:
+            start = start.join(known.select(SCENE).distinct(), SCENE, "left_anti").unionByName(
+                known.filter(F.col("base") < (beam if level else 1)).select(SCENE, "base", (2 * F.col("dy")).alias("by"), (2 * F.col("dx")).alias("bx")))
+        start = save_table(start, "shift-candidates")
+        # Every candidate is a scene of its own: the second plane, moved by the candidate, beside the first.
+        name = F.concat_ws("@", SCENE, F.col("base").cast("string"))
+        first = a.join(start, SCENE).select(name.alias(SCENE), "row", "col", F.col("v").alias("l1"))
+        second = b.join(start, SCENE).select(name.alias(SCENE), (F.col("row") - F.col("by")).alias("row"), (F.col("col") - F.col("bx")).alias("col"), F.col("v").alias("l2"))
+        second = second.filter("row >= 0 AND col >= 0")
+        pair = first.join(second, PIXEL_KEYS, "full") if level else first.join(second, PIXEL_KEYS, "left")
+        scores = shift_scores(pair, 2, tile, counts=True).withColumnRenamed(SCENE, "_name")
+        named = start.withColumn("_name", name)
+        moved = scores.join(named, "_name").withColumns({"dy": F.col("dy") + F.col("by"), "dx": F.col("dx") + F.col("bx")})
+        seen = F.when(F.col("n") * 4 >= F.col("n_first"), F.col("score"))
+        scored = save_table(moved.select(SCENE, "spread", "dy", "dx", seen.alias("score")), "shift-scores")
+        if not level:
+            return best_shift(scored, min_correlation)
+        order = [F.desc_nulls_last("score"), F.abs("dy") + F.abs("dx"), F.col("dy"), F.col("dx")]
+        rank = F.row_number().over(W.partitionBy(SCENE).orderBy(*order)) - 1
+        best = scored.groupBy(SCENE, "dy", "dx").agg(F.max("score").alias("score"))
+        known = save_table(best.withColumn("base", rank).filter(F.col("base") < beam).select(SCENE, "base", "dy", "dx"), "shift-beam")
+
+
 def shift_warp(shifts: DataFrame, fine: bool = True) -> DataFrame:
     """Warp coefficients ``(m00..m12)``, destination to source, of a shift per scene."""
     dx, dy = ("dx_fine", "dy_fine") if fine else ("dx", "dy")

@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terradrift.functions.pixel import dot, norm, unit
 from terradrift.functions.text import words
-from terradrift.session import save_table
+from terradrift.operators.similarity_cells import top_similar  # noqa: F401  (part of this module's interface)
 
 DIM = 512
 BETA = 0.65
-BLOCK = 256  # queries per block
 
 
 def _hashed(df: DataFrame, key: str, text: str, dim: int, anchors: Mapping[str, str] | None) -> DataFrame:
@@ -64,32 +62,3 @@ def condition(positive, negative, beta: float = BETA) -> Column:
 
 def cosine(u, v) -> Column:
     return F.try_divide(dot(u, v), norm(u) * norm(v))
-
-
-def top_similar(
-    queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "item_id",
-    query_vec: str = "query_vec", item_vec: str = "item_vec",
-) -> DataFrame:
-    """The k most similar items per query: ``(query_id, item_id, score, rank)``, ties by item id.
-
-    Queries are gathered into blocks of bounded size and every item meets a block at a time.
-    Block and salt together form the join key, so no key is hot whichever side is large, and
-    the ranking keeps k rows per query in each partition before it shuffles.
-    """
-    salts = max(items.sparkSession.sparkContext.defaultParallelism, 8)
-    asked = save_table(queries.select(F.col(query_id).alias("q"), unit(query_vec).alias("v")), "queries")
-    blocks = asked.count() // BLOCK + 1
-    block = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")
-    sets = asked.groupBy(block.alias("_b")).agg(F.collect_list(F.struct("q", "v")).alias("_qs"))
-    sets = sets.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    placed = items.select(
-        item_id, unit(item_vec).alias("_v"), F.pmod(F.xxhash64(item_id), F.lit(salts)).cast("int").alias("_s"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"),
-    )
-    scored = placed.join(sets, ["_b", "_s"]).select(item_id, "_v", F.explode("_qs").alias("_q"))
-    order = W.partitionBy(query_id).orderBy(F.desc("score"), item_id)
-    return (
-        scored.select(F.col("_q.q").alias(query_id), item_id, dot("_q.v", "_v").alias("score"))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-    )

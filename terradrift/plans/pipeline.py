@@ -49,7 +49,7 @@ def analyze(
     bands: Sequence[str] = ("b1", "b2", "b3"),
     cloud_mask: DataFrame | TileStore | None = None,
     tile: int = DEFAULT_TILE,
-    align_reach: int = 2,
+    max_shift: int = 32,
 ) -> Analysis:
     """Guards, windows, normalisation, alignment, scoring, vectorising and totals for all requests.
 
@@ -91,7 +91,7 @@ def analyze(
         n1.select(*PIXEL_KEYS, luminance(*bands[:3]).alias("l1"))
         .join(n2.select(*PIXEL_KEYS, luminance(*bands[:3]).alias("l2")), PIXEL_KEYS)
     )
-    shifts = save_table(align.best_shift(align.shift_scores(planes, align_reach, tile)), "alignment")
+    shifts = save_table(align.pyramid_shift(planes, max_shift, tile=tile), "alignment")
     aligned = shifts.filter("status = 'OK'").select(SCENE)
     moved = align.warp(n2.join(aligned, SCENE, "left_semi"), dims, align.shift_warp(shifts), bands)
     score, _ = features.spectral_score(n1.join(aligned, SCENE, "left_semi"), moved, bands, tile=tile)
