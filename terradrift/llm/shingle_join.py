@@ -307,9 +307,14 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = save_table(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last"), "jaccard-classes")
     copies = known.join(small_side(classes), "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     copies = save_table(copies, "jaccard-copies")
-    once = every.filter("doc_id IS NOT NULL").join(small_side(copies.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_anti")
+    # An id leaves the search only if every version of it is a copy of another id's: a version of its own may have links of its own.
+    copied = copies.select(F.col("a").alias("doc_id")).distinct()
+    versions = known.join(small_side(copied), "doc_id", "left_semi").join(small_side(classes.select("digest", "rep")), "digest", "left")
+    gone = versions.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("rep") != F.col("doc_id"), F.lit(False))).alias("all")).filter("all")
+    gone = save_table(gone.select("doc_id"), "jaccard-gone")
+    once = every.filter("doc_id IS NOT NULL").join(small_side(gone), "doc_id", "left_anti")
     join.docs = once
-    sizes = known.join(small_side(copies.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_anti")
+    sizes = known.join(small_side(gone), "doc_id", "left_anti")
 
     counted = join.prefixes(once, 1, "token").groupBy("token").count()
     often = counted.filter(F.col("count") > frequent).orderBy(F.desc("count"), "token").limit(common).select("token")

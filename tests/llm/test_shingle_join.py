@@ -89,3 +89,10 @@ def test_nulls_repeats_and_clashing_columns(frame):
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in similar_documents(df).collect())
     assert got == [(0, 2, None), (1, 0, 1), (2, 2, 2), (2, 2, 2), (3, 2, 2), (4, 29_996, 4), (5, 29_997, 4)]
     assert similar_documents(frame([], SCHEMA)).count() == 0
+
+
+def test_a_version_beside_a_copy_keeps_its_links(frame):
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(1, x), (2, x), (2, y), (3, y + " more"), (4, x), (5, "something else entirely in this one")]
+    got = {(r["doc_id"], r["component_id"]) for r in similar_documents(frame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
