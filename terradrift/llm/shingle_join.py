@@ -52,10 +52,11 @@ def shingle_set(text: str, words: int) -> np.ndarray:
         sums = np.concatenate([[_U(0)], np.cumsum(_BYTE[raw] * _powers(_BASE, len(raw) - 1))])
         word = _mixed((sums[end] - sums[start]) * _powers(_INVERSE, len(raw))[start] + (end - start).astype(np.uint64))
         k = min(words, len(word))
-        total = np.full(len(word) - k + 1, _U(k))
-        for i in range(k):
-            total = _mixed(total + word[i : len(word) - k + 1 + i] * _U(2 * i + 3))
-    return np.unique(total)
+        # Words are scrambled already, so a weighted sum needs one more scramble only.
+        total = word[: len(word) - k + 1] * _U(2 * k + 1)
+        for i in range(1, k):
+            total = total * _BASE + word[i : len(word) - k + 1 + i]
+    return np.unique(_mixed(total))
 
 
 def least_overlap(a, b, t: tuple[int, int]):
