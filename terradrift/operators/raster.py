@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -95,10 +95,11 @@ def select_ranks(values: DataFrame, ranks: DataFrame, keys: list[str], bins: int
     now = ranks.select(*keys, "rank", F.col("rank").alias("r"), "lo", "hi")
     settled = []
     while True:
-        found = save_table(_rank_bins(values, now, keys, bins), "rank-bins")
+        seen = Observation()
+        found = save_table(_rank_bins(values, now, keys, bins).observe(seen, F.count_if(F.col("lo") < F.col("hi")).alias("open")), "rank-bins")
         settled.append(found.filter("lo = hi").select(*keys, "rank", F.col("lo").alias("v")))
         now = found.filter("lo < hi")
-        if now.isEmpty():
+        if not seen.get["open"]:
             return reduce(DataFrame.unionByName, settled)
 
 

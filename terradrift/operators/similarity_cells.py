@@ -82,9 +82,8 @@ def build_cells(items: DataFrame, item_id: str = "item_id", item_vec: str = "ite
 
 def _visits(asked: DataFrame, index: CellIndex) -> DataFrame:
     """``(q, cell, bound, before)``: every cell's greatest possible score, and the items of cells with better bounds."""
-    known = {r["cell"]: (r["n"], r["width"]) for r in index.cells.toLocalIterator()}  # one row per centre
-    ids = np.array(sorted(known), np.int32)
-    size, width = np.array([known[i][0] for i in ids.tolist()]), np.array([known[i][1] for i in ids.tolist()])
+    known = index.cells.toPandas().sort_values("cell")  # one row per centre
+    ids, size, width = known["cell"].to_numpy(np.int32), known["n"].to_numpy(np.int64), known["width"].to_numpy()
     shared = asked.sparkSession.sparkContext.broadcast((index.centres[ids], size, width))
     kind, dim = asked.schema["q"].dataType.simpleString(), index.centres.shape[1]
 
