@@ -201,6 +201,24 @@ def test_sql_functions(spark):
     assert d[0] == pytest.approx(111194.93, abs=0.1) and d[1] == 1.2345 and d[2] == pytest.approx(5.10065622e14, rel=1e-8)
 
 
+def test_sql_grid_references_and_rings_equal_the_columns(spark):
+    from pyspark.sql import functions as F
+
+    from terradrift.functions.geo import ring_area_m2
+    from terradrift.functions.gridref import format_grid_ref, with_grid_ref
+
+    register_sql_functions(spark)
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b)) for a, b in zip(rng.uniform(-89, 89, 300), rng.uniform(-180, 180, 300))] + [(60.0, 5.0), (78.0, 20.0), (25.0, 75.0), (-79.9, 179.99)]
+    points = with_grid_ref(spark.createDataFrame(rows, "lat double, lon double"), "lat", "lon")
+    assert points.filter(F.expr("grid_ref(lat, lon)") != F.col("grid_ref")).count() == 0
+    ring = F.array(*[F.array(F.col("lon") + x, F.col("lat") + y) for x, y in ((0.0, 0.0), (0.1, 0.0), (0.05, 0.2), (0.0, 0.0))])
+    rings = points.filter("lat BETWEEN -80 AND 80").withColumn("ring", ring)
+    assert rings.filter(F.abs(F.expr("ring_area_m2(ring)") / ring_area_m2("ring") - 1) > 1e-9).count() == 0
+    refs = spark.createDataFrame([("43RBK1234567890",), (" 4RBK12345 67890 ",), ("short",)], "ref string")
+    assert refs.filter(F.expr("format_grid_ref(ref)") != format_grid_ref("ref")).count() == 0
+
+
 def test_stream_drops_late_rows_and_repeats(spark, tmp_path):
     schema = "feature_id string, ts timestamp, class string, lat double, lon double, area_sq_m double"
     source = str(tmp_path / "in")
