@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a question keeps its template when its parameters change.
 Windows of template tokens of the benchmark are hashed and joined with the windows of all documents; windows that lie on
 one diagonal (the same shift between document and item) form a passage, and the values in its slots must map
-consistently from the item to the document unless most of the passage is a literal copy. Names are told by their capital letter, so a second kind of window, of lower-cased
+consistently from the item to the document unless enough of the passage is a literal copy. A window is looked up by its
+rarest word, so that documents are not hashed at every position. Names are told by their capital letter, so a second kind of window, of lower-cased
 words with placeholders for numbers and units only, finds copies in another letter case. Built from DataFrame functions only.
 """
 
@@ -94,8 +95,40 @@ def _windows(frame: DataFrame, keep: list[str], size: int, kinds: tuple[str, ...
     return frame.select(*keep, F.posexplode_outer(F.concat(*map(hashes, kinds))).alias("at", "hash")).filter("hash IS NOT NULL")
 
 
+def _anchors(windows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(anchor, offset, kind)``: for every window ``(hash, kind, lower, shown)`` the word that it is looked up by.
+
+    That is the word that is rarest in the benchmark (ties: the longest) of those that stand in every document with the
+    window: no placeholders, but in a window of values any word or number. The choice steers cost only.
+    """
+    at = F.posexplode(F.arrays_zip("lower", "shown")).alias("offset", "one")
+    words = windows.select("hash", "kind", at).filter((F.col("kind") == 2) | ~F.col("one.shown").isin(NUMBER, NAME, UNIT))
+    words = words.select("hash", "kind", "offset", F.col("one.lower").alias("word")).join(vocabulary, "word")
+    best = F.min(F.struct("count", (-F.length("word")).alias("short"), "word", "offset")).alias("best")
+    return words.groupBy("hash", "kind").agg(best).select(F.xxhash64("best.word").alias("anchor"), "best.offset", "kind").distinct()
+
+
+def _anchored_windows(texts: DataFrame, keep: list[str], size: int, anchors: DataFrame) -> DataFrame:
+    """``keep`` plus ``pos`` and ``hash`` of the windows of ``texts (keep, words)`` that have an anchor in its place.
+
+    Every word is looked up once, in generated code; only the few windows around an anchor are cut out, brought into their form
+    and hashed. ``anchors`` is broadcast: the caller checks its size.
+    """
+    placed = texts.select(*keep, "words", F.posexplode_outer("words").alias("at", "word")).withColumn("anchor", F.xxhash64(F.lower("word")))
+    placed = placed.join(F.broadcast(anchors), "anchor").withColumn("pos", F.col("at") - F.col("offset"))
+    placed = placed.filter((F.col("pos") >= 0) & (F.col("pos") + size <= F.size("words")))
+    # The word before the window comes along: it tells whether the first one is a unit.
+    before = F.when(F.col("pos") > 0, 1).otherwise(0)
+    cut = placed.select(*keep, "pos", "kind", before.alias("before"), F.slice("words", F.greatest("pos", F.lit(1)), before + size).alias("cut"))
+    words = F.col("cut")
+    form = F.when(F.col("kind") == 0, canonical(words)).when(F.col("kind") == 1, caseless(words)).otherwise(literal(words))
+    hashes = [F.xxhash64(F.slice("form", F.col("before") + 1, size), F.lit(kind)) for kind in KINDS_OF_WINDOWS]
+    formed = cut.select(*keep, "pos", "kind", "before", F.transform(form, lambda t: F.xxhash64(t)).alias("form"))
+    return formed.select(*keep, "pos", F.when(F.col("kind") == 0, hashes[0]).when(F.col("kind") == 1, hashes[1]).otherwise(hashes[2]).alias("hash"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-               item_text: str = "text", window: int = 10, min_windows: int = 3) -> DataFrame:
+               item_text: str = "text", window: int = 10, min_windows: int = 3, max_anchors: int = 500_000) -> DataFrame:
     """``(doc_id, text_hash, item_id, n_windows, n_slots, exact)``: one row per document and benchmark item found in it.
 
     A passage counts if at least ``min_windows`` windows of ``window`` template tokens match on one diagonal, or all windows
@@ -105,12 +138,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     must stand for one value of the document, and different names for different names. Where template windows do not
     suffice, windows that ignore letter case count beside them, and letter case of the values is ignored, too; of items that
     differ in letter case only, those that a document has by template stand for the others there. Of the windows of any kind
-    only tokens in matching windows are judged, and not even they are if more than half of the windows, and enough to count,
-    stand word for word in an item of the class. Slots are compared with the words of every item of a class.
+    only tokens in matching windows are judged, and not even they are if as many windows as it takes to count stand word for word,
+    one right after the other, in an item of the class. Slots are compared with the words of every item of a class.
     ``n_windows`` and ``n_slots`` are those of the longest passage of template windows, else of the longest passage
     (ties: with more slots), ``exact`` tells whether a passage has the item's own values or only windows that are word for word in the class.
     Items with the same template are one class named by their smallest id. Null or empty texts match nothing; null ids and
     repeated rows are allowed, rows with equal id and text give one result; an empty benchmark gives no rows.
+
+    Windows are looked up by one word each, their anchor. A benchmark of more than ``max_anchors`` of them, too many to be
+    sent to every executor, is joined with the windows at all positions instead, by a shuffle; the result is the same.
     """
     item_words = benchmark.select(F.col(item).alias("item_id"), tokens(text_or_empty(item_text)).alias("words"))
     item_words = save_table(item_words.withColumn("template", canonical(F.col("words"))).filter(F.size("words") > 0)
@@ -124,24 +160,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     sizes = [r[0] for r in classes.select(F.least(F.size("template"), F.lit(window)).alias("n")).distinct().orderBy("n").collect()]
     doc_rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), tokens(text_or_empty(text)).alias("words"))
     templates = doc_rows.select("doc_id", "text_hash", F.size("words").alias("n"), *_hashed(F.col("words")))
+    vocabulary = save_table(classes.select(F.explode(lower).alias("word")).groupBy("word").count(), "leak-vocabulary")
     found = None
     for size in sizes:  # at most ``window`` sizes; only items shorter than a window add one
         of_size = classes.filter(F.least(F.size("template"), F.lit(window)) == size)
-        item_forms = of_size.select("class", F.struct(F.col("template"), caseless(F.col("words")).alias("caseless")).alias("form"), *_hashed(F.col("words")))
+        item_forms = of_size.select("class", F.struct(F.col("template"), caseless(F.col("words")).alias("caseless"), lower.alias("lower")).alias("form"), *_hashed(F.col("words")))
         n_windows = F.size("form.template") - (size - 1)
         per_item = _windows(item_forms, ["class", "form"], size, KINDS_OF_WINDOWS).select(
             "class", "form", "hash", (F.col("at") % n_windows).alias("item_pos"), F.floor(F.col("at") / n_windows).alias("kind"))
         shown = F.slice(F.when(F.col("kind") == 0, F.col("form.template")).otherwise(F.col("form.caseless")), F.col("item_pos") + 1, size)
         says_little = F.size(F.filter(shown, lambda t: t.isin(NUMBER, NAME, UNIT))) * 2 > size
-        per_item = save_table(per_item.filter(says_little == (F.col("kind") == 2)).select(
-            "class", "item_pos", (F.col("kind") == 0).alias("is_template"), (F.col("kind") == 2).alias("is_literal"), "hash"), "leak-windows")
-        # Documents are cut into windows with their values only if an item has one.
-        kinds = KINDS_OF_WINDOWS if per_item.filter("is_literal").limit(1).count() else KINDS_OF_WINDOWS[:2]
+        per_item = per_item.withColumns({"shown": shown, "lower": F.slice("form.lower", F.col("item_pos") + 1, size)}).filter(says_little == (F.col("kind") == 2))
+        per_item = save_table(per_item.select("class", "item_pos", "kind", (F.col("kind") == 0).alias("is_template"), "hash", "shown", "lower"), "leak-windows")
+        anchors = save_table(_anchors(per_item, vocabulary), "leak-anchors")
+        per_item = per_item.select("class", "item_pos", "kind", "is_template", "hash")
         per_class = per_item.groupBy("class").agg(
             F.count_if("is_template").alias("class_templates"), F.count_distinct("item_pos").alias("class_windows"))
         wanted = save_table(per_item.select("hash").distinct(), "leak-hashes")
-        hits = _windows(templates, ["doc_id", "text_hash", "n"], size, kinds).join(small_side(wanted), "hash")
-        hits = hits.select("doc_id", "text_hash", (F.col("at") % (F.col("n") - (size - 1))).alias("pos"), "hash").distinct()
+        if anchors.limit(max_anchors + 1).count() <= max_anchors:
+            candidates = _anchored_windows(doc_rows, ["doc_id", "text_hash"], size, anchors)
+        else:  # Documents are cut into windows with their values only if an item has one.
+            kinds = KINDS_OF_WINDOWS if per_item.filter("kind = 2").limit(1).count() else KINDS_OF_WINDOWS[:2]
+            candidates = _windows(templates, ["doc_id", "text_hash", "n"], size, kinds).withColumn("pos", F.col("at") % (F.col("n") - (size - 1)))
+        hits = candidates.join(small_side(wanted), "hash").select("doc_id", "text_hash", "pos", "hash").distinct()
         hits = save_table(hits, "leak-hits")
         matches = hits.join(per_item, "hash").withColumn("shift", F.col("pos") - F.col("item_pos")).groupBy(
             "doc_id", "text_hash", "class", "shift", "item_pos").agg(F.max("is_template").alias("is_template"))
@@ -178,11 +219,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         "doc_id", "text_hash", "class", "shift", F.explode(
             F.transform("at", lambda p: F.struct(p.alias("item_pos"), window_at(F.col("lower"), p + F.col("shift")).alias("literal")))).alias("one"))
     theirs = theirs.select("doc_id", "text_hash", "class", "shift", "one.*")
-    counts = theirs.join(own, ["class", "item_pos", "literal"]).groupBy("doc_id", "text_hash", "class", "shift").agg(F.count("*").alias("n_literal"))
-    counts = counts.select(*[F.col(c).alias("_" + c) for c in ("doc_id", "text_hash", "class", "shift")], "n_literal")
+    # At most one position per window of an item; literal windows that follow each other are one longer literal stretch.
+    counts = theirs.join(own, ["class", "item_pos", "literal"]).groupBy("doc_id", "text_hash", "class", "shift").agg(
+        F.sort_array(F.collect_set("item_pos")).alias("literal_at"))
+    counts = counts.select(*[F.col(c).alias("_" + c) for c in ("doc_id", "text_hash", "class", "shift")], "literal_at")
     spans = spans.join(counts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash"))
                        & (F.col("class") == F.col("_class")) & (F.col("shift") == F.col("_shift")), "left").drop("_doc_id", "_text_hash", "_class", "_shift")
-    spans = spans.fillna({"n_literal": 0}).join(classes.select("class", "item_id", "template", "patterns", F.col("words").alias("item_words")), "class")
+    spans = spans.withColumn("literal_at", F.coalesce("literal_at", F.array().cast("array<bigint>"))).join(classes.select("class", "item_id", "template", "patterns", F.col("words").alias("item_words")), "class")
     length = F.col("end") - F.col("first")
     aligned = F.arrays_zip(
         F.sequence(F.col("first"), F.col("end") - 1).alias("i"), F.slice("template", F.col("first") + 1, length).alias("kind"), F.slice("item_words", F.col("first") + 1, length).alias("mine"),
@@ -214,7 +257,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
     judged = spans.withColumns({
         "slots": F.when(F.col("by_template"), slots_of(aligned)), "any_slots": F.when(F.col("by_any"), slots_of(caseless_aligned))})
-    copied = (F.col("n_literal") >= F.col("enough")) & (F.col("n_literal") * 2 > F.size("at"))
+    # Positions ascend, so ``enough`` windows in a row end where the position has grown as much as the index.
+    last = F.col("enough").cast("int") - 1
+    copied = F.exists(F.transform("literal_at", lambda p, i: F.get("literal_at", i + last) == p + last), lambda in_a_row: F.coalesce(in_a_row, F.lit(False)))
     judged = judged.withColumns({
         "by_template": F.col("by_template") & consistent("slots", "own"),
         "by_any": F.col("by_any") & (copied | consistent("any_slots", "caseless"))}).filter("by_template OR by_any")
@@ -222,7 +267,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         "doc_id", "text_hash", "item_id", "by_template", F.xxhash64(caseless(F.col("item_words"))).alias("twins"),
         F.when(F.col("by_template"), F.col("n_templates")).otherwise(F.size("at").cast("bigint")).alias("n_windows"),
         F.when(F.col("by_template"), F.size("slots")).otherwise(F.size("any_slots")).alias("n_slots"),
-        (F.when(F.col("by_template"), own_values("slots")).otherwise(own_values("any_slots")) | (F.col("n_literal") == F.size("at"))).alias("exact"))
+        (F.when(F.col("by_template"), own_values("slots")).otherwise(own_values("any_slots")) | (F.size("literal_at") == F.size("at"))).alias("exact"))
     best = F.max(F.struct("by_template", "n_windows", "n_slots")).alias("best")
     rows = judged.groupBy("doc_id", "text_hash", "item_id", "twins").agg(best, F.max("exact").alias("exact"))
     by_template = F.max("best.by_template").over(Window.partitionBy("doc_id", "text_hash", "twins"))

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,7 +107,7 @@ BENCH = "item_id long, text string"
 
 @pytest.mark.parametrize(("change", "found", "exact"), [
     ({}, True, True), ({"Tom": "Eva", "12": "7", "kg": "lb"}, True, False), ({"of red apples for 30": "of red, apples -- for 30"}, True, True),
-    ({"Tom gives": "Joe gives"}, False, None), ({"Tom": "Ann"}, False, None), ({"buys": "sells", "red": "old", "gives": "lends", "five": "six", "many": "few"}, False, None),
+    ({"Tom gives": "Joe gives"}, True, False), ({"to Ann": "to Tom"}, True, False), ({"Tom": "Ann"}, False, None), ({"buys": "sells", "red": "old", "gives": "lends", "five": "six", "many": "few"}, False, None),
 ])
 def test_templates_find_changed_parameters_only_if_consistent(frame, change, found, exact):
     text = ITEM
@@ -155,6 +156,20 @@ def test_templates_find_items_of_numbers_and_names(frame):
     assert got == {(1, 1, True), (2, 2, True), (3, 3, True)}
 
 
+def test_templates_by_anchors_equal_those_at_every_position(frame):
+    rng = np.random.default_rng(5)
+    words = ["Tom", "Ann", "Eve", "the", "of", "apples", "buys", "12", "7", "kg", "km", "und", "çà", "Élan", "3.5"]
+    items = [(i, " ".join(rng.choice(words, rng.integers(1, 30)))) for i in range(30)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(60)]
+    for i, text in items:
+        texts += [f"kg {text} und", text.upper(), f"{text} {items[(i + 7) % 30][1]}", text.replace("Tom", "Joe").replace("12", "99")]
+    docs, bench = frame(list(enumerate(texts)), DOC), frame(items, BENCH)
+    columns = ["doc_id", "item_id", "n_windows", "n_slots", "exact"]
+    by_anchor = sorted(map(tuple, templates.find_leaks(docs, bench).select(columns).collect()))
+    everywhere = sorted(map(tuple, templates.find_leaks(docs, bench, max_anchors=0).select(columns).collect()))
+    assert by_anchor == everywhere and {r[:2] for r in by_anchor} >= {(60 + 4 * i, i) for i, _ in items}
+
+
 # --- classifiers --------------------------------------------------------------------------------
 
 
