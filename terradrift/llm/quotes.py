@@ -39,24 +39,30 @@ def _own(lines: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["words"]), "\n"), r"^\s*\n|\s+$", "")
 
 
-def _starts(lines: Column, paragraphs: bool) -> Column:
-    """Indexes at which a passage starts: the level changes or, for paragraphs, a blank line lies before."""
+def _begins(lines: Column, paragraphs: bool):
+    """Whether a passage starts at line ``i``: the level changes or, for paragraphs, a blank line lies before."""
     def begins(i: Column) -> Column:
         this, before = F.get(lines, i), F.get(lines, i - 1)
         change = (i == 0) | (this["level"] != before["level"])
         return change | (F.trim(before["words"]) == "") if paragraphs else change
 
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), begins)
+    return begins
 
 
-def _passages(lines: Column, starts: Column) -> Column:
-    """``(level, norm)`` of the passages between starts."""
-    def one(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(starts, k + 1), F.size(lines))
-        words = F.transform(F.slice(lines, start + 1, end - start), lambda x: x["words"])
-        return F.struct(F.get(lines, start)["level"].alias("level"), normalised(F.array_join(words, " ")).alias("norm"))
+#: Stands before each passage while a message's passages are one string; in the text itself it counts as white space.
+_CUT = "\x01"
 
-    return F.transform(starts, one)
+
+def _units(lines: Column, kind: int, begins) -> Column:
+    """Passages of one kind as texts of kind, level, a colon and words; ``begins(i)`` tells whether line ``i`` starts one.
+
+    The lines are joined and split at their starts, which takes time in proportion to the message's length.
+    """
+    def marked(x: Column, i: Column) -> Column:
+        head = F.concat(F.lit(f"{_CUT}{kind}"), x["level"].cast("string"), F.lit(":"))
+        return F.concat(F.when(begins(i), head).otherwise(" "), F.translate(x["words"], _CUT, " "))
+
+    return F.split(F.array_join(F.transform(lines, marked), ""), _CUT)
 
 
 def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
@@ -76,17 +82,14 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
         F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), text_or_empty(text).alias("body"))
     rows = rows.withColumn("mark", F.xxhash64("role", "body")).withColumn("lines", parsed_lines(F.col("body")))
     quoting = F.exists("lines", lambda x: x["level"] > 0)
-    long_enough = F.length("unit.norm") >= min_chars
     lines = F.col("lines")
-    runs = rows.select("conv_id", "turn", "mark", "lines", _starts(lines, False).alias("runs"), _starts(lines, True).alias("paragraphs"))
-    units = runs.select("conv_id", "turn", "mark", F.array_distinct(F.concat(
-        F.transform(_passages(lines, F.col("runs")), lambda p: F.struct(F.lit(0).alias("kind"), p["level"].alias("level"), p["norm"].alias("norm"))),
-        F.transform(_passages(lines, F.col("paragraphs")), lambda p: F.struct(F.lit(1).alias("kind"), p["level"].alias("level"), p["norm"].alias("norm"))),
-        F.transform(lines, lambda x: F.struct(F.lit(2).alias("kind"), x["level"].alias("level"), normalised(x["words"]).alias("norm"))),
-    )).alias("units")).select("conv_id", "turn", "mark", F.explode_outer("units").alias("unit"))
+    units = F.concat(_units(lines, 0, _begins(lines, False)), _units(lines, 1, _begins(lines, True)), _units(lines, 2, lambda i: F.lit(True)))
     # An outer explode: for a plain one Spark would test the array's size first, with all of its expressions written out once more.
-    units = units.filter((F.length("unit.norm") > 0) & (long_enough | (F.col("unit.kind") == 0))).select(
-        "conv_id", "turn", "mark", "unit.kind", "unit.level", F.xxhash64("unit.norm").alias("hash"), F.md5("unit.norm").alias("digest"))
+    units = rows.select("conv_id", "turn", "mark", F.explode_outer(units).alias("unit")).select(
+        "conv_id", "turn", "mark", F.left("unit", F.lit(1)).alias("kind"), F.regexp_extract("unit", "^[0-9]([0-9]+):", 1).alias("level"),
+        normalised(F.regexp_replace("unit", "^[0-9]+:", "")).alias("norm"))
+    units = units.filter((F.length("norm") > 0) & ((F.length("norm") >= min_chars) | (F.col("kind") == "0"))).select(
+        "conv_id", "turn", "mark", F.col("level").cast("int").alias("level"), F.xxhash64("norm").alias("hash"), F.md5("norm").alias("digest"))
     units = save_table(units, "quote-units")
 
     # One row per passage and conversation: the earliest message that has it as own text.
@@ -119,8 +122,8 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     threads = save_table(seen.select("conv_id", "turn", "mark", F.col("up_turn").alias("thread_turn"), "depth").join(
         parents.select("conv_id", "turn", "mark", "n_linked", F.col("up_turn").alias("parent_turn")), ["conv_id", "turn", "mark"]), "quote-linked")
 
-    starts = _starts(lines, False)
-    n_quoted = F.when(quoting, F.size(F.filter(starts, lambda i: F.get(lines, i)["level"] > 0))).otherwise(0)
+    begins = _begins(lines, False)
+    n_quoted = F.when(quoting, F.size(F.filter(lines, lambda x, i: (x["level"] > 0) & begins(i)))).otherwise(0)
     out = rows.select("conv_id", "turn", "role", "mark", n_quoted.cast("bigint").alias("n_quoted"),
                       F.when(quoting, _own(lines)).otherwise(F.col("body")).alias("own_text"))
     out = out.join(small_side(threads), ["conv_id", "turn", "mark"], "left")
