@@ -53,16 +53,15 @@ def _begins(lines: Column, paragraphs: bool):
 _CUT = "\x01"
 
 
-def _units(lines: Column, kind: int, begins) -> Column:
-    """Passages of one kind as texts of kind, level, a colon and words; ``begins(i)`` tells whether line ``i`` starts one.
+def _head(kind: int, line: Column) -> Column:
+    return F.concat(F.lit(str(kind)), line["level"].cast("string"), F.lit(":"))
 
-    The lines are joined and split at their starts, which takes time in proportion to the message's length.
-    """
-    def marked(x: Column, i: Column) -> Column:
-        head = F.concat(F.lit(f"{_CUT}{kind}"), x["level"].cast("string"), F.lit(":"))
-        return F.concat(F.when(begins(i), head).otherwise(" "), F.translate(x["words"], _CUT, " "))
 
-    return F.split(F.array_join(F.transform(lines, marked), ""), _CUT)
+def _passages(lines: Column, kind: int, paragraphs: bool) -> Column:
+    """Passages as texts of kind, level, a colon and words. The lines are joined and split where passages start, in linear time."""
+    begins = _begins(lines, paragraphs)
+    marked = F.transform(lines, lambda x, i: F.concat(F.when(begins(i), F.concat(F.lit(_CUT), _head(kind, x))).otherwise(" "), x["words"]))
+    return F.split(F.array_join(marked, ""), _CUT)
 
 
 def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
@@ -83,11 +82,12 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     rows = rows.withColumn("mark", F.xxhash64("role", "body")).withColumn("lines", parsed_lines(F.col("body")))
     quoting = F.exists("lines", lambda x: x["level"] > 0)
     lines = F.col("lines")
-    units = F.concat(_units(lines, 0, _begins(lines, False)), _units(lines, 1, _begins(lines, True)), _units(lines, 2, lambda i: F.lit(True)))
+    plain = rows.withColumn("lines", parsed_lines(F.translate("body", _CUT, " ")))
+    units = F.concat(_passages(lines, 0, False), _passages(lines, 1, True), F.transform(lines, lambda x: F.concat(_head(2, x), x["words"])))
     # An outer explode: for a plain one Spark would test the array's size first, with all of its expressions written out once more.
-    units = rows.select("conv_id", "turn", "mark", F.explode_outer(units).alias("unit")).select(
-        "conv_id", "turn", "mark", F.left("unit", F.lit(1)).alias("kind"), F.regexp_extract("unit", "^[0-9]([0-9]+):", 1).alias("level"),
-        normalised(F.regexp_replace("unit", "^[0-9]+:", "")).alias("norm"))
+    units = plain.select("conv_id", "turn", "mark", F.explode_outer(units).alias("unit")).withColumn("head", F.substring_index("unit", ":", 1))
+    units = units.select("conv_id", "turn", "mark", F.left("head", F.lit(1)).alias("kind"), F.substr("head", F.lit(2)).alias("level"),
+                         normalised(F.substr("unit", F.length("head") + 2)).alias("norm"))
     units = units.filter((F.length("norm") > 0) & ((F.length("norm") >= min_chars) | (F.col("kind") == "0"))).select(
         "conv_id", "turn", "mark", F.col("level").cast("int").alias("level"), F.xxhash64("norm").alias("hash"), F.md5("norm").alias("digest"))
     units = save_table(units, "quote-units")
