@@ -82,7 +82,7 @@ def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str =
     rows = rows.withColumn("mark", F.xxhash64("role", "body")).withColumn("lines", parsed_lines(F.col("body")))
     quoting = F.exists("lines", lambda x: x["level"] > 0)
     lines = F.col("lines")
-    plain = rows.withColumn("lines", parsed_lines(F.translate("body", _CUT, " ")))
+    plain = rows.withColumn("lines", parsed_lines(F.replace("body", F.lit(_CUT), F.lit(" "))))
     units = F.concat(_passages(lines, 0, False), _passages(lines, 1, True), F.transform(lines, lambda x: F.concat(_head(2, x), x["words"])))
     # An outer explode: for a plain one Spark would test the array's size first, with all of its expressions written out once more.
     units = plain.select("conv_id", "turn", "mark", F.explode_outer(units).alias("unit")).withColumn("head", F.substring_index("unit", ":", 1))
