@@ -116,17 +116,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, key: str
         max_rows: int = 20_000, n_features: int = 256, ridge: float = 1e-2, folds: int = 5, seed: int = 11) -> Model:
     """Fit on labelled rows for which ``learn`` (over ``doc_id``) holds.
 
-    ``max_rows`` bounds the training sample: the labelled ids with the smallest seeded hash. Of documents that share an
-    id every row takes part. Without any labelled row the model scores 0.5 everywhere.
+    ``max_rows`` bounds the training sample: the labelled ids with the smallest seeded hash, and of their rows, where ids
+    repeat, those with the smallest seeded hash of id and text. Without any labelled row the model scores 0.5 everywhere.
     """
     picked = one_label(labels, label, key).filter(learn)
     picked = save_table(picked.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows), "quality-sample")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("body_text"))
     # Bounded by max_rows, so it may be sent to every executor.
     rows = rows.join(F.broadcast(picked), "doc_id").select(
-        F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(folds)).cast("int").alias("fold"), F.col("y").alias("y"), "body_text"
+        F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(folds)).cast("int").alias("fold"), F.col("y").alias("y"), "body_text", F.xxhash64("doc_id", "body_text", F.lit(seed + 2)).alias("at")
     )
-    sample = save_table(with_statistics(rows, "body_text", ["fold", "y"]), "quality-statistics")
+    # An id given many times brings all its rows; the bound holds for rows. Only statistics are ordered, not texts.
+    sample = with_statistics(rows, "body_text", ["fold", "y", "at"]).orderBy("at").limit(max_rows)
+    sample = save_table(sample.repartition(8, "at"), "quality-statistics")
     moments = sample.select("y", F.posexplode("stats")).groupBy("pos").agg(
         F.avg("col").alias("mean"), F.stddev_pop("col").alias("sd")).orderBy("pos").collect()
     rng = np.random.default_rng(seed)

@@ -197,6 +197,40 @@ def test_quality_learns_and_takes_any_text(frame):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_fit_equals_a_direct_ridge_and_a_plain_pool(frame):
+    rows, labels = labelled(frame)
+    model = quality.fit(frame(rows, DOC), labels, "quality", F.lit(True), ridge=1e-2, n_features=64)
+    z = model.features(np.array([quality.statistics(text) for _, text in rows]))
+    y = np.array([i % 2 for i, _ in rows], dtype=float)
+    # The last feature is the constant one; the penalty is scaled by the number of rows.
+    penalty = 1e-2 * len(y) / 64
+    stacked = np.vstack([z, np.sqrt(penalty) * np.eye(z.shape[1])])
+    direct = np.linalg.lstsq(stacked, np.concatenate([y, np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(z @ model.weights, z @ direct, atol=1e-6)
+
+    rng = np.random.default_rng(4)
+    x, target = rng.permutation(60).astype(float), rng.integers(0, 2, 60).astype(float)
+    knots, values = quality.isotonic(x, target)
+    ordered = target[np.argsort(x)]
+    plain = np.round([max(min(ordered[a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)], 9)
+    levels = np.unique(plain)
+    assert np.allclose(values, levels) and np.allclose(knots, [np.sort(x)[plain == v].mean() for v in levels])
+
+
+def test_quality_sample_is_bounded_by_rows(frame):
+    rows, labels = labelled(frame)
+    repeated = [(5, f"{text} {i}") for i, (_, text) in enumerate(rows)] * 3 + rows
+    seen = []
+    plain = quality.isotonic
+    quality.isotonic = lambda scores, y: (seen.append(len(y)), plain(scores, y))[1]
+    try:
+        quality.fit(frame(repeated, DOC), labels, "quality", F.lit(True), max_rows=100)
+        quality.fit(frame(rows, DOC), labels, "quality", F.lit(True))
+    finally:
+        quality.isotonic = plain
+    assert seen[0] <= 100 and seen[1] == 240
+
+
 def test_toxicity_learns_and_takes_any_text(frame):
     rows, labels = labelled(frame)
     docs = frame(rows + [(None, None), (900, ""), (902, "calm " * 3000 + "stupid"), (902, "calm " * 3000 + "stupid")], DOC).selectExpr("*", "1 AS h", "2 AS score")
