@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import raster_sql as R
@@ -431,23 +433,29 @@ def _(spark, d):
 
 
 @check("s8_task_export", with_ctes(*R.TO_COMPONENTS, *FEATURE_SQL, recursive=True, select=(
-    "SELECT scene_id, 'changes_t9' AS name, 'urn:ogc:def:crs:OGC:1.3:CRS84' AS crs, CAST(count(*) AS INT) AS n_features FROM feat GROUP BY 1")))
-def _(spark, d):
-    found = features.extract_features(_score(spark, d)[0], scenes(spark, d), geometry=True)
-    doc = geojson.collection_text(save_table(found, "features"), "scene_id", "t9")
-    get = lambda p: F.get_json_object("document", p)
-    return doc.select(
-        "scene_id", get("$.name").alias("name"), get("$.crs.properties.name").alias("crs"),
-        F.json_array_length(get("$.features")).alias("n_features"),
-    )
+    "SELECT scene_id, 'changes_t9' AS name, 'urn:ogc:def:crs:OGC:1.3:CRS84' AS crs, count(*) OVER (PARTITION BY scene_id) AS n_features, "
+    "row_number() OVER (PARTITION BY scene_id ORDER BY feature_id) = 1 AS leads, feature_id, 't9' AS task_id, confidence, area_sq_m, lat, lon FROM feat")))
+def _(spark, d):
+    found = save_table(features.extract_features(_score(spark, d)[0], scenes(spark, d), geometry=True), "features")
+    path = f"{work_dir(spark)}/tasks-{uuid.uuid4().hex}"
+    manifest = geojson.write_collections(found, path, "scene_id", "t9")
+    lines = geojson.read_collections_lines(spark, path, found.schema["scene_id"].dataType.simpleString(), "scene_id")
+    get = lambda p: F.get_json_object("one", p)
+    heads = lines.filter(F.col("value").endswith("[")).withColumn("one", F.concat("value", F.lit("]}"))).select(
+        "scene_id", get("$.name").alias("name"), get("$.crs.properties.name").alias("crs"))
+    counts = manifest.groupBy("scene_id").agg(F.sum("n_features").alias("n_features"))
+    one = lines.filter(F.col("value").contains('"Feature"')).withColumn("one", F.ltrim("value", F.lit(",")))
+    place = F.from_json(get("$.properties.centroid_wgs84"), "array<double>")
+    return one.join(heads, "scene_id").join(counts, "scene_id").select(
+        "scene_id", "name", "crs", "n_features", F.col("value").startswith("{").alias("leads"), get("$.properties.feature_id").alias("feature_id"),
+        get("$.properties.task_id").alias("task_id"), get("$.properties.confidence").cast("double").alias("confidence"),
+        get("$.properties.area_sq_meters").cast("double").alias("area_sq_m"), place[0].alias("lat"), place[1].alias("lon"))
 
 
 @check("s9_persist_detections", with_ctes(*R.TO_COMPONENTS, *FEATURE_SQL, _TASKS, recursive=True, select=(
     "SELECT t.task_id, count(feature_id) AS stored, count(feature_id) AS polygons_detected, round(coalesce(sum(area_sq_m), 0), 2) AS total_area_sq_m "
     "FROM task t LEFT JOIN feat f ON f.scene_id = t.scene_id GROUP BY 1")))
 def _(spark, d):
-    import uuid
-
     root = f"{work_dir(spark)}/store-{uuid.uuid4().hex}"
     found = _features(spark, d).withColumn("epoch", F.lit("2025-01-15").cast("date"))
     tables.persist_run(found, tables.audit_row(found, _runs(spark, d).select("task_id", F.lit("q").alias("prompt"))), root)
@@ -459,8 +467,6 @@ def _(spark, d):
 @check("s10_insert_absent", with_ctes(NODE_SQL, select=(
     "SELECT node_id, CAST(epoch AS DATE) AS epoch FROM node1 UNION ALL SELECT node_id, epoch FROM node2 WHERE node_id NOT IN (SELECT node_id FROM node1)")))
 def _(spark, d):
-    import uuid
-
     path = f"{work_dir(spark)}/nodes-{uuid.uuid4().hex}"
     tables.insert_absent(nodes_t1(spark, d), path, "node_id")
     tables.insert_absent(nodes_t2(spark, d), path, "node_id")
@@ -497,8 +503,6 @@ def _(spark, d):
 @check("l2_requery", with_ctes(*R.TO_COMPONENTS, *FEATURE_SQL, recursive=True, select=(
     "SELECT feature_id, confidence, area_sq_m, 'second look' AS class FROM feat WHERE scene_id = 'S1'").replace("S1", "S0")))
 def _(spark, d):
-    import uuid
-
     path = f"{work_dir(spark)}/scores-{uuid.uuid4().hex}"
     score = _score(spark, d)[0].join(scenes(spark, d).select("scene_id", "affine"), "scene_id")
     keyed = score.withColumn("cache_key", text.cache_key("scene_id", F.lit("t1"), F.lit("t2")))
@@ -605,8 +609,6 @@ def _(spark, d):
 @check("x1_streamed_counts", with_ctes(_DET_SQL, _WINDOWED, select=(
     "SELECT * FROM win WHERE window_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM det)")))
 def _(spark, d):
-    import uuid
-
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     out = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -635,8 +637,6 @@ def _(spark, d):
     "SELECT 'EMERGED' AS status, node_id FROM added UNION ALL SELECT 'REMOVED', node_id FROM removed UNION ALL "
     "SELECT 'MODIFIED', old_id FROM modified")))
 def _(spark, d):
-    import uuid
-
     root = f"{work_dir(spark)}/ingest-{uuid.uuid4().hex}"
     # The first epoch comes in two batches of its own, its last part together with the second epoch.
     first, second = nodes_t1(spark, d), nodes_t2(spark, d)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terradrift.functions.classify import CLASSES, classify_geometry
 from terradrift.functions.geo import METRES_PER_DEGREE
+from terradrift.session import save_table
 
 _FEATURE = "struct<geometry: struct<type: string, coordinates: string>, properties: string>"
 DEFAULT_CONFIDENCE = 0.95
@@ -120,8 +121,8 @@ def nodes_from_features(
     )
 
 
-def feature_json(features: DataFrame, task_id: str | None = None) -> DataFrame:
-    """One GeoJSON feature text per record, ready to be written as feature lines.
+def feature_record(task_id: str | None = None) -> Column:
+    """GeoJSON feature of a record, a struct.
 
     Without a task id the centroid is split into two properties; with one it is a pair and
     the task id is a property, as in a task export.
@@ -137,8 +138,12 @@ def feature_json(features: DataFrame, task_id: str | None = None) -> DataFrame:
     props = F.struct(*head, *place, F.col("grid_ref").alias("centroid_mgrs"), *tail)
     geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.col("geometry").alias("coordinates"))
     ident = [F.col("feature_id").alias("id")] if task_id is None else []
-    record = F.struct(F.lit("Feature").alias("type"), *ident, geometry.alias("geometry"), props.alias("properties"))
-    return features.select("feature_id", F.to_json(record).alias("feature"))
+    return F.struct(F.lit("Feature").alias("type"), *ident, geometry.alias("geometry"), props.alias("properties"))
+
+
+def feature_json(features: DataFrame, task_id: str | None = None) -> DataFrame:
+    """One GeoJSON feature text per record, ready to be written as feature lines."""
+    return features.select("feature_id", F.to_json(feature_record(task_id)).alias("feature"))
 
 
 def collection_header(task_id: str) -> str:
@@ -154,11 +159,50 @@ def write_feature_lines(features: DataFrame, path: str, task_id: str | None = No
     feature_json(features, task_id).select("feature").write.mode(mode).text(path)
 
 
-def collection_text(features: DataFrame, key: str, task_id: str | None = None) -> DataFrame:
-    """One FeatureCollection document per value of ``key``, for results small enough to be one document."""
-    lines = feature_json(features, task_id).join(features.select("feature_id", key), "feature_id")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feature_id", "feature"))), lambda x: x["feature"]), ",")
+def write_collections(features: DataFrame, path: str, key: str, task_id: str | None = None) -> DataFrame:
+    """One FeatureCollection per value of ``key``, each a folder ``key=value`` of part files that follow each other by name.
+
+    The lines of all parts of a folder, read in the order of their names, are one JSON document: a header, the features by
+    ``feature_id``, a footer. Rows are dealt by range, so a collection of any size is spread over tasks and no string or
+    group holds one. Parts appear only when the job commits, and the manifest, ``path/_manifest``, is written after them: an export without
+    a manifest is not complete, a failed or repeated task leaves no part of its own. An existing export is replaced.
+    Rows that are equal throughout are written once; a key without features has no collection, a null or empty key is refused. Returns the manifest
+    ``(key, part_no, file, n_features)``.
+    """
+    spark = features.sparkSession
+    keyed = features.withColumn("_key", F.col(key))
+    record = feature_record(task_id).alias("line")
+    lines = save_table(keyed.select(F.col("_key").alias(key), "feature_id", F.to_json(record).alias("line")).distinct(), "collection-lines")
+    if lines.filter(F.col(key).isNull() | (F.col(key).cast("string") == "")).limit(1).count():
+        raise ValueError(f"{key}: null and empty keys have no folder name of their own")
+    # A comma stands before every feature but the first of its collection.
+    first = lines.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct("feature_id", "line")).alias("first"))
+    first = save_table(first, "collection-first")
     head = collection_header(task_id) if task_id else '"type":"FeatureCollection"'
-    return lines.groupBy(key).agg(
-        F.concat(F.lit("{" + head + ',"features":['), listed, F.lit("]}")).alias("document")
-    )
+    at_first = F.struct("feature_id", "line").eqNullSafe(F.col("first"))
+    body = lines.join(first, F.col(key) == F.col("_key")).select(
+        key, F.lit(1).alias("_at"), "feature_id", F.col("line").alias("_record"), F.when(at_first, F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("line"))
+    frame = [first.select(F.col("_key").alias(key), F.lit(at).alias("_at"), F.lit(None).cast(lines.schema["feature_id"].dataType).alias("feature_id"),
+                          F.lit(text).alias("_record"), F.lit(text).alias("line")) for at, text in ((0, "{" + head + ',"features":['), (2, "]}"))]
+    order = [F.col(c) for c in (key, "_at", "feature_id", "_record")]
+    document = body.unionByName(frame[0]).unionByName(frame[1]).repartitionByRange(*order).sortWithinPartitions(*order)
+    document.select(key, "line").write.mode("overwrite").partitionBy(key).text(path)
+
+    folder = F.element_at(F.split("file", "/"), -2)
+    parts = read_collections_lines(spark, path, lines.schema[key].dataType.simpleString(), key).groupBy(key, "file").agg(
+        F.count_if(F.endswith("value", F.lit("}")) & (F.col("value") != "]}")).alias("n_features"))
+    # Numbered within a collection; one row per file.
+    number = F.row_number().over(Window.partitionBy(folder).orderBy("file"))
+    manifest = parts.withColumn("part_no", number).select(key, "part_no", "file", "n_features")
+    manifest.write.mode("overwrite").parquet(f"{path}/_manifest")
+    return spark.read.schema(manifest.schema).parquet(f"{path}/_manifest")
+
+
+def read_collections_lines(spark: SparkSession, path: str, key_type: str, key: str) -> DataFrame:
+    """Lines of an export of ``write_collections``: ``(key, value, file)``."""
+    lines = spark.read.text(path)
+    if key in lines.columns:  # with the key's own type: an inferred one would read 007 as 7
+        lines = spark.read.schema(f"value string, `{key}` {key_type}").text(path)
+    else:  # an export without any collection has no folders
+        lines = lines.withColumn(key, F.lit(None).cast(key_type))
+    return lines.select(key, "value", F.col("_metadata.file_path").alias("file"))

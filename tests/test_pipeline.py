@@ -1,3 +1,6 @@
+import json
+from urllib.parse import unquote, urlparse
+
 import numpy as np
 import pytest
 from helpers import pixel_frame, scene_frame
@@ -167,6 +170,34 @@ def test_exports_round_trip(spark, tmp_path):
     assert (audit.polygons_detected, audit.total_area_sq_m) == (20, 21000.0)
 
 
+def test_collections_are_documents_cut_into_ordered_parts(spark, tmp_path):
+    feats = sample_features(spark)
+    other = feats.withColumn("task_id", F.lit("u/2")).withColumn("class", F.lit('line\nbreak "quoted", [x]'))
+    both = feats.unionByName(other).unionByName(feats.limit(3))
+    path = tmp_path / "tasks"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many parts although there are few rows
+    try:
+        for rows in (feats.withColumn("task_id", F.lit("old")), both):
+            manifest = geojson.write_collections(rows.repartition(5), str(path), "task_id", "t9")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    listed = {}
+    for r in manifest.orderBy("task_id", "part_no").collect():
+        listed.setdefault(r.task_id, []).append((r.file, r.n_features))
+    assert set(listed) == {"t", "u/2"} and all(sum(n for _, n in files) == 20 for files in listed.values())
+    assert max(map(len, listed.values())) > 1
+    for task, files in listed.items():
+        names = [unquote(urlparse(f).path) for f, _ in files]
+        found = json.loads("".join(open(n).read() for n in sorted(names)))
+        ids = [f["properties"]["feature_id"] for f in found["features"]]
+        assert found["name"] == "changes_t9" and ids == sorted(ids) and len(set(ids)) == 20 and names == sorted(names)
+        want = {r.feature_id: json.loads(r.feature) for r in geojson.feature_json(both.filter(F.col("task_id") == task), "t9").collect()}
+        assert {f["properties"]["feature_id"]: f for f in found["features"]} == want
+    assert geojson.write_collections(feats.limit(0), str(tmp_path / "none"), "task_id").count() == 0
+    with pytest.raises(ValueError, match="task_id"):
+        geojson.write_collections(feats.withColumn("task_id", F.lit("")), str(tmp_path / "bad"), "task_id")
+
+
 def test_vectors(spark):
     docs = spark.createDataFrame([(1, "paved runway near road"), (2, "cloud shadow"), (3, "  "), (4, None)], "id long, t string")
     v = {r.id: np.array(r.vector) for r in vectors.embed_text(docs, "id", "t", 64).collect()}
