@@ -605,27 +605,35 @@ def _(spark, d):
 
 
 @check("s10_graph_statements", with_ctes(NODE_SQL, edge_sql(1), select=(
-    "SELECT 0 AS part, class AS kind, count(*) AS n FROM node1 GROUP BY 2 UNION ALL "
-    "SELECT 1, relation_type, count(*) FROM edge1 GROUP BY 2")))
+    "SELECT 0 AS part, class AS kind, node_id AS ids, area_m2 AS value FROM node1 UNION ALL "
+    "SELECT 1, relation_type, source_id || ' ' || target_id || ' ' || edge_id, distance_m FROM edge1")))
 def _(spark, d):
     s = tables.graph_statements(nodes_t1(spark, d), _edges(spark, d, 1))
-    kind = F.regexp_extract("statement", r"(?:n:SpatialEntity:|\[r:)(\w+)", 1)
-    return s.groupBy("part", kind.alias("kind")).agg(F.count("*").alias("n"))
+    return s.select(
+        "part", F.regexp_extract("statement", r"(?:n:SpatialEntity:|\[r:)(\w+)", 1).alias("kind"),
+        F.array_join(F.regexp_extract_all("statement", F.lit(r"\{id: '([^']*)'\}")), " ").alias("ids"),
+        F.regexp_extract("statement", r"(?:area_m2|distance_m) = ([^,]+),", 1).cast("double").alias("value"))
 
 
 @check("s11_delta_statements", with_ctes(*DELTA, select=(
-    "SELECT 'EMERGED' AS status, count(*) AS n FROM added UNION ALL SELECT 'MODIFIED', count(*) FROM modified")))
+    "SELECT 'EMERGED' AS status, node_id, area_m2 AS value FROM added UNION ALL SELECT 'MODIFIED', old_id, area_t2_m2 FROM modified")))
 def _(spark, d):
     _, _, _, added, removed, modified = _delta(spark, d)
     s = tables.delta_statements(graph.tagged_delta(added, removed, modified))
-    return s.filter(F.col("statement").contains("delta_status")).groupBy("status").agg(F.count("*").alias("n"))
+    return s.filter(F.col("statement").contains("delta_status")).select(
+        "status", F.regexp_extract("statement", r"\{id: '([^']*)'\}", 1).alias("node_id"),
+        F.regexp_extract("statement", r"n\.area_(?:t2_)?m2 = ([^,]+),", 1).cast("double").alias("value"))
 
 
 @check("s12_graph_document", with_ctes(NODE_SQL, edge_sql(1), select=(
-    "SELECT kind, n FROM (SELECT 'header' AS kind, 1::BIGINT AS n UNION ALL SELECT 'node', count(*) FROM node1 "
-    "UNION ALL SELECT 'edge', count(*) FROM edge1)")))
+    "SELECT 'header' AS kind, (SELECT count(*) FROM node1) || ' ' || (SELECT count(*) FROM edge1) AS id, NULL AS class, NULL::DOUBLE AS value "
+    "UNION ALL SELECT 'node', node_id, class, area_m2 FROM node1 UNION ALL SELECT 'edge', edge_id, relation_type, distance_m FROM edge1")))
 def _(spark, d):
     doc = tables.graph_document(nodes_t1(spark, d), _edges(spark, d, 1))
-    return doc.groupBy("kind").agg(F.count("*").alias("n"))
+    get = lambda p: F.get_json_object("json", p)
+    counts = F.when(F.col("kind") == "header", F.concat_ws(" ", get("$.node_count"), get("$.edge_count")))
+    return doc.select(
+        "kind", F.coalesce(counts, get("$.node_id"), get("$.edge_id")).alias("id"), F.coalesce(get("$.class"), get("$.relation_type")).alias("class"),
+        F.coalesce(get("$.area_m2"), get("$.distance_m")).cast("double").alias("value"))
 
 
