@@ -1,14 +1,16 @@
 """Exact n-gram Jaccard join with adaptive multi-match prefixes.
 
 Documents are sets of hashed word shingles in one common order, by hash, the most frequent ones last. Two sets of a Jaccard similarity t share a token in the
-first n - ceil(t * n) + 1 of each. Tokens that few documents have in that prefix generate pairs directly. A document
-whose prefix holds frequent tokens, so that it would cost many candidates, gets a longer prefix and must match more of
-it at once: of all tokens of both sets at most (1 - t) of the union differ, so the shared tokens, in order, are cut into
-few runs and one run has ``run`` tokens or more. The runs of the longer prefix replace single tokens there.
-
-Documents with equal sets are one class. A first round links every document to the earliest one of its best bucket;
-afterwards only buckets that still join different components are worked on. Candidates pass a bound on the overlap from
-small histograms and are verified on whole sets.
+first n - ceil(t * n) + 1 of each. What those tokens would cost a document is estimated from their counts: the documents of
+other components it would meet. A document within the budget lists its candidates itself; one beyond it gets a longer prefix
+and must match more of it at once: of all tokens of both sets at most (1 - t) of the union differ, so the shared tokens, in
+order, are cut into few runs and one run has ``run`` tokens or more. Each level asks for one token more in a row, estimates
+again, and only documents still beyond the budget go on. A pair is found at the level of its cheaper document, for its
+partner has the keys of every level up to its own. What is left after the last level is compared block by block.
+
+Documents with equal sets are one class. At every level each document is first linked to the earliest one of its best
+bucket; afterwards only buckets that still join different components are worked on. Candidates pass a bound on the overlap
+from small histograms and are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -280,15 +282,50 @@ def _buckets(rows: DataFrame, bucket: str, name: str) -> DataFrame:
     return save_table(rows.join(stats, bucket), name)
 
 
+def _best_leaders(members: DataFrame, bucket: str) -> DataFrame:
+    """``(a, b)``: every document with the bucket leader it shares most buckets with, ties to the smaller id."""
+    votes = members.filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("n"))
+    best = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("leader")).alias("minus"))).alias("best"))
+    return best.select(F.col("doc_id").alias("a"), (-F.col("best.minus")).alias("b"))
+
+
 def _still_open(members: DataFrame, bucket: str, roots: DataFrame, name: str) -> DataFrame:
     """Members with their component of buckets that join at least two components."""
     rooted = members.join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
     mixed = rooted.groupBy(bucket).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select(bucket)
-    return save_table(rooted.join(mixed, bucket).select(bucket, "doc_id", "comp", "df"), name)
+    return save_table(rooted.join(mixed, bucket).select(bucket, "doc_id", "comp"), name)
+
+
+def _priced(members: DataFrame, bucket: str, budget: int, name: str) -> DataFrame:
+    """Open members with ``cheap``: whether the members of other components, over all buckets of a document, are within the budget.
+
+    ``df`` counts a bucket's members, ``rest`` those outside its largest component, which ``main`` marks.
+    """
+    parts = members.groupBy(bucket, "comp").agg(F.count("*").alias("own"))
+    whole = parts.groupBy(bucket).agg(F.sum("own").alias("df"), F.max(F.struct("own", "comp")).alias("most"))
+    parts = parts.join(whole, bucket).select(
+        bucket, "comp", "df", (F.col("df") - F.col("own")).alias("others"), (F.col("df") - F.col("most.own")).alias("rest"),
+        (F.col("comp") == F.col("most.comp")).alias("main"))
+    rows = members.join(save_table(parts, f"{name}-parts"), [bucket, "comp"])
+    cost = rows.groupBy("doc_id").agg((F.sum("others") <= budget).alias("cheap"))
+    return save_table(rows.join(cost, "doc_id"), name)
+
+
+def _cheap_pairs(priced: DataFrame, bucket: str, budget: int) -> DataFrame:
+    """``(a, b)``: every cheap document with the members of other components in its buckets.
+
+    A cheap document of a bucket over twice the budget is of its largest component, and few are outside; so no list exceeds twice the budget.
+    """
+    small = F.col("df") <= 2 * budget
+    few_outside = ~F.col("main") & (F.col("rest") <= budget)
+    lists = priced.filter(small | few_outside).groupBy(bucket).agg(F.collect_set(F.struct("doc_id", "comp", "cheap")).alias("m"))
+    met = priced.filter("cheap").join(lists, bucket).select("doc_id", "comp", F.explode("m").alias("y"))
+    met = met.filter((F.col("y.comp") != F.col("comp")) & (~F.col("y.cheap") | (F.col("doc_id") < F.col("y.doc_id"))))
+    return met.select(F.greatest("doc_id", "y.doc_id").alias("a"), F.least("doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: tuple[int, int] = (4, 5),
-                      frequent: int = 64, common: int = 200_000, run: int = 3, block: int = 1024) -> DataFrame:
+                      frequent: int = 64, common: int = 200_000, budget: int = 256, run: int = 3, block: int = 1024) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: one row per row of ``docs``.
 
     Two documents link when the Jaccard similarity of their sets of ``words``-word shingles is at least the threshold, a
@@ -298,8 +335,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     null id takes no part and has a null component.
 
     The at most ``common`` most frequent tokens with more than ``frequent`` documents in plain prefixes come last in the common
-    order; every task gets their list, which that number bounds. ``frequent`` is also the most documents a
-    token may have to generate pairs directly, ``run`` the tokens in a row that count beyond it. All of them steer the cost, none the result.
+    order; every task gets their list, which that number bounds. ``budget`` is the estimated number of candidates from which
+    on a document gets a longer prefix, ``run`` the most tokens in a row that its keys then hold. All of them steer the cost, none the result.
     """
     every = docs.select(F.col(key).cast("bigint").alias("doc_id"), text_or_empty(text).alias("body"))
     join = Join(every, words, threshold, block)
@@ -321,29 +358,24 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     often = counted.filter(F.col("count") > frequent).orderBy(F.desc("count"), "token").limit(common).select("token")
     join.common = np.array(sorted(r[0] for r in often.collect()), dtype=np.int64)
 
-    # First round: every document with the earliest one of the bucket leader it shares most tokens with.
-    rows = save_table(join.prefixes(once, 1, "token"), "jaccard-prefixes")
-    members = _buckets(rows, "token", "jaccard-members")
-    votes = members.filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("n"))
-    best = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("leader")).alias("minus"))).alias("best"))
-    links = join.verified(best.select(F.col("doc_id").alias("a"), (-F.col("best.minus")).alias("b")), sizes, "first")
-    roots = connected_components(links)
-
-    # Buckets that still join different components: pairs where few documents meet, runs where many do.
-    open_ = _still_open(members, "token", roots, "jaccard-open")
-    few = open_.filter(F.col("df") <= frequent).groupBy("token").agg(F.sort_array(F.collect_set(F.struct("doc_id", "comp"))).alias("m"))
-    left = few.select(F.posexplode("m").alias("i", "x"), "m")
-    pairs = left.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y")).filter("x.comp <> y.comp")
-    pairs = pairs.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
-    links = links.unionByName(join.verified(pairs, sizes, "few"))
-    costly = save_table(open_.filter(F.col("df") > frequent).select("doc_id").distinct(), "jaccard-costly")
-    run_rows = save_table(join.prefixes(once.join(small_side(costly), "doc_id", "left_semi"), run, "run"), "jaccard-runs")
-    run_members = _buckets(run_rows, "run", "jaccard-run-members")
-    run_open = _still_open(run_members, "run", roots, "jaccard-run-open")
-    stars = run_open.groupBy("run").agg(F.min("doc_id").alias("leader"))
-    groups = connected_components(run_open.join(stars, "run").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
-    grouped = groups.toDF("doc_id", "grp").join(sizes.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
-    links = links.unionByName(join.blocks(grouped)).unionByName(copies)
+    links, todo = copies, once
+    for level in range(1, run + 1):
+        rows = save_table(join.prefixes(todo, level, "bucket"), f"jaccard-keys-{level}")
+        members = _buckets(rows, "bucket", f"jaccard-members-{level}")
+        links = links.unionByName(join.verified(_best_leaders(members, "bucket"), sizes, f"first-{level}"))
+        open_ = _still_open(members, "bucket", connected_components(links), f"jaccard-open-{level}")
+        priced = _priced(open_, "bucket", budget, f"jaccard-priced-{level}")
+        links = links.unionByName(join.verified(_cheap_pairs(priced, "bucket", budget), sizes, f"cheap-{level}"))
+        costly = save_table(priced.filter("NOT cheap").select("doc_id").distinct(), f"jaccard-costly-{level}")
+        if costly.isEmpty():
+            break
+        todo = once.join(small_side(costly), "doc_id", "left_semi")
+    else:
+        left = save_table(priced.filter("NOT cheap").select("bucket", "doc_id"), "jaccard-left")
+        stars = left.groupBy("bucket").agg(F.min("doc_id").alias("leader"))
+        groups = connected_components(left.join(stars, "bucket").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
+        grouped = groups.toDF("doc_id", "grp").join(sizes.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
+        links = links.unionByName(join.blocks(grouped))
 
     final = connected_components(links).toDF("doc_id", "component_id")
     out = profiles.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")

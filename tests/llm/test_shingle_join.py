@@ -52,7 +52,8 @@ def corpus(seed):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("options", [{}, {"frequent": 2, "common": 30, "block": 7}, {"frequent": 1, "common": 0, "run": 2, "block": 5}])
+@pytest.mark.parametrize("options", [{}, {"frequent": 2, "common": 30, "budget": 12, "block": 7}, {"frequent": 1, "common": 0, "budget": 2, "run": 2, "block": 5},
+                                     {"common": 0, "budget": 30}, {"budget": 0, "run": 1, "block": 5}])
 def test_matches_all_pairs(frame, options):
     rows = corpus(len(options) + 5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_documents(frame(rows, SCHEMA), **options).collect()}
